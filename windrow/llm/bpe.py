@@ -74,7 +74,7 @@ class Codec:
             self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
         self.lookahead = max(self.reach, default=0)
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.whole = {i for t, i in self.ids.items() if self._merged(t) == [i]}
+        self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memory: dict[str, bytes] = {}
 
@@ -89,6 +89,13 @@ class Codec:
             tokens[i : i + 2] = [self.ranks[tokens[i], tokens[i + 1]][1]]
         return tokens
 
+    def _whole(self, token: int) -> bool:
+        """Whether the token's own bytes encode to it."""
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self._merged(self.bytes[token]) == [token]
+        return known
+
     def _stable(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
@@ -107,7 +114,7 @@ class Codec:
                 for p in range(len(last), len(window) + 1):
                     for n in range(min(p, self.reach[window[p - 1]]), 0, -1):
                         token = self.ids.get(window[p - n : p])
-                        if token is None or token not in self.whole:
+                        if token is None or not self._whole(token):
                             continue
                         previous = last[p - n] if p > n else before
                         if previous is None:

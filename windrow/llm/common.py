@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_00
             continue
         sizes = batch.column(batch.schema.get_field_index(text))
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
         for i, n in enumerate(lengths):
             if i > start and (held + n > chars or i - start >= rows):
                 yield batch.slice(start, i - start)

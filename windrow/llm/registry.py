@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from windrow.llm.bpe import op2_bpe_roundtrip
+from windrow.llm.quality import op1_quality_classifier
 
-QUERIES = {"op2_bpe_roundtrip": op2_bpe_roundtrip}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_bpe_roundtrip": op2_bpe_roundtrip,
+}
 ORACLES: dict[str, str] = {}
