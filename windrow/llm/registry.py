@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from windrow.llm.bpe import op2_bpe_roundtrip
 from windrow.llm.quality import op1_quality_classifier
+from windrow.llm.toxicity import op8_toxicity_grammar
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op8_toxicity_grammar": op8_toxicity_grammar,
 }
 ORACLES: dict[str, str] = {}
