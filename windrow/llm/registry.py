@@ -6,6 +6,7 @@ from windrow.llm import chat, ngram_join, warc
 from windrow.llm.bpe import op2_bpe_roundtrip
 from windrow.llm.chat import op6_chat_formatting
 from windrow.llm.html import op9_html_extraction
+from windrow.llm.minhash import op3_minhash_fingerprints
 from windrow.llm.ngram_join import op5_ngram_jaccard
 from windrow.llm.quality import op1_quality_classifier
 from windrow.llm.toxicity import op8_toxicity_grammar
@@ -14,6 +15,7 @@ from windrow.llm.warc import op7_warc_archives
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_warc_archives": op7_warc_archives,
