@@ -26,17 +26,26 @@ from windrow.llm.similarity import U, Words, cluster_links, components, mix, shi
 
 
 class Bands:
-    """Size bands and the number of column blocks of each."""
+    """Size bands and the number of column blocks of each.
+
+    A band reaches over two times the ratio of linked sizes, so partners of one document lie in at most two bands, and only
+    documents of a band's upper half have partners in the next.
+    """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         lows = [1]
         while lows[-1] < largest:
-            lows.append(max(lows[-1] + 1, -(-lows[-1] * den // num)))
+            lows.append(max(lows[-1] + 1, -(-lows[-1] * den * den // (num * num))))
         self.num, self.den, self.lows = num, den, np.array(lows, dtype=np.int64)
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
+    def schemes(self, n: int) -> list[int]:
+        """The bands in which a set of n takes part: its own, and the next if a larger partner may lie there."""
+        own = self.of(n)
+        return [own, own + 1] if n * self.den // self.num >= self.lows[own + 1] else [own]
+
     def blocks(self, band: int) -> int:
         """More than the n-grams that linked sets of sizes up to this band's largest can differ in."""
         both = 2 * int(self.lows[band + 1] - 1)
@@ -62,8 +71,7 @@ def block_signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
     b = bands(num, den)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes ^ U(0xA24BAED4963EE407)), dtype=np.uint64)])
     out = []
-    own = b.of(len(hashes))
-    for band in (own, own + 1):
+    for band in b.schemes(len(hashes)):
         k = b.blocks(band)
         if k < 2:
             continue
@@ -79,26 +87,47 @@ def word_set(words: Words, text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words.hashes(text.encode().lower().split()), size))
 
 
-def incidence(documents: DataFrame, size: int, num: int, den: int, signatures: bool) -> DataFrame:
-    """doc_id, n, cls and the column blocks' signatures, or the sorted shingle hashes themselves.
+def incidence(documents: DataFrame, size: int, shingles: bool) -> DataFrame:
+    """doc_id, n, cls and, if asked for, the sorted shingle hashes.
 
     cls is a 64-bit hash of the whole set, null for an empty one.
     """
-    out = "signatures" if signatures else "shingles"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches(it):
-            counts, classes, arrays = [], [], []
-            for text in strings(batch.column(1)):
+            sets = [word_set(words, text, size) for text in strings(batch.column(1))]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())]
+            if shingles:
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "shingles"][: len(columns)])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint" + ", shingles array<bigint>" * shingles)
+
+
+def class_of(s: np.ndarray) -> int | None:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+
+
+def column_blocks(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(cls, block): the signature of every column block of every document's set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches(it, rows=256):
+            classes, counts, arrays = [], [], []
+            for text in strings(batch.column(0)):
                 s = word_set(words, text, size)
-                counts.append(len(s))
-                classes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-                arrays.append((block_signatures(s, num, den) if signatures else s).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n", "cls", out])
+                if len(s):
+                    found = block_signatures(s, num, den)
+                    classes.append(class_of(s))
+                    counts.append(len(found))
+                    arrays.append(found)
+            if arrays:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(classes, dtype=np.int64), counts)), pa.array(np.concatenate(arrays).view(np.int64))], ["cls", "block"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, n bigint, cls bigint, {out} array<bigint>")
+    return documents.select("text").mapInArrow(run, "cls bigint, block bigint")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -118,16 +147,18 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     """
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    read = stored(incidence(documents, size, num, den, True), "incidence")
-    classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signatures").alias("signatures")), "classes")
-    cells = classes.select("cls", F.explode("signatures").alias("block"))
+    read = stored(incidence(documents, size, False), "incidence")
+    classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
+    # dealt out once; both the blocks' leaders and their members are read from the same shuffle
+    cells = column_blocks(documents, size, num, den).repartition("block")
     leaders = cells.groupBy("block").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("block", "leader")
     members = stored(cells.join(leaders, "block").select("leader", "cls").distinct(), "members")
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep", "n"), "cls").select(F.col("cls").alias("own"), "rep")
-    wanted = stored(wanted, "wanted")
-    hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = documents.join(hint.select(F.col("rep").alias("doc_id")).distinct(), "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
-    sets = incidence(texts.select("doc_id", "text"), size, num, den, False).where("cls IS NOT NULL").join(wanted.select(F.col("own").alias("cls")), "cls", "left_semi").select("cls", "n", "shingles").dropDuplicates(["cls"])
+    wanted = stored(members.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("own"), "rep"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    texts = documents.join(F.broadcast(ids) if few else ids, "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
+    own = wanted.select(F.col("own").alias("cls"))
+    sets = incidence(texts, size, True).join(F.broadcast(own) if few else own, "cls", "left_semi").select("cls", "n", "shingles").dropDuplicates(["cls"])
     sets = stored(sets, "sets")
     found = components(cluster_links(members, sets, num, den))
     named = found.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
