@@ -1,0 +1,66 @@
+import math
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from windrow.functions import alerts, spatial
+
+SQUARE = "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))"
+
+
+def distances(spark, wkt, points):
+    df = spark.createDataFrame([(wkt, float(x), float(y)) for x, y in points], "wkt string, x double, y double")
+    return [r.d for r in df.select(spatial.distance(spatial.point(F.col("x"), F.col("y")), spatial.from_wkt(F.col("wkt"))).alias("d")).collect()]
+
+
+def test_distance_to_a_polygon_with_a_hole(spark):
+    assert distances(spark, SQUARE, [(3, 3), (5, 4), (7, 8), (1.5, 1.5), (-3, 2), (0, 0)]) == [0.0, 1.0, 5.0, 0.5, 3.0, 0.0]
+
+
+def test_points_and_lines(spark):
+    assert distances(spark, "POINT(3 4)", [(0, 0)]) == [5.0]
+    assert distances(spark, "LINESTRING(0 0, 2 0, 2 2)", [(1, 1), (1, -1)]) == [1.0, 1.0]
+
+
+def test_unreadable_wkt_has_no_distance(spark):
+    assert distances(spark, "nothing", [(0, 0)]) == [None]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(-9, 9)), min_size=1, max_size=8), st.integers(0, 3))
+def test_rings_may_start_anywhere(spark, points, turn):
+    corners = [(0, 0), (5, 0), (5, 3), (0, 3)]
+    turned = corners[turn:] + corners[:turn]
+    text = "POLYGON((" + ", ".join(f"{x} {y}" for x, y in [*turned, turned[0]]) + "))"
+    want = [math.hypot(max(-x, 0, x - 5), max(-y, 0, y - 3)) for x, y in points]
+    assert distances(spark, text, points) == pytest.approx(want)
+
+
+def test_sql_functions_agree(spark):
+    for order in ("authority", "xy"):
+        spatial.register(spark, order)
+        sql = spark.sql(f"SELECT st_distance(st_transform(st_point(5, 6), 'EPSG:4326', 'EPSG:3857'), st_transform(st_geomfromtext('{SQUARE}'), 'EPSG:4326', 'EPSG:3857')) AS d").first().d
+        g = spark.range(1).select(spatial.distance(spatial.mercator(spatial.point(F.lit(5.0), F.lit(6.0)), order), spatial.mercator(spatial.from_wkt(F.lit(SQUARE)), order)).alias("d")).first().d
+        assert sql == pytest.approx(g) and sql > 0
+
+
+def test_near_zones_joins_without_shuffling_events(spark):
+    zones = spark.createDataFrame([("z", "POLYGON((10 57, 11 57, 11 58, 10 58, 10 57))", 2.0)], "zone_name string, geom_wkt string, threshold_nm double")
+    ships = spark.createDataFrame([(1, 10.5, 57.5), (2, 11.01, 57.5), (3, 12.0, 57.5), (4, None, 57.5)], "id int, lon double, lat double")
+    found = spatial.near_zones(ships, zones, "lon", "lat", axis_order="xy")
+    assert {r.id: round(r.distance_nm, 2) for r in found.collect()} == {1: 0.0, 2: 0.6}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_alert_lines(spark):
+    df = spark.createDataFrame([("a", 1.5, None)], "name string, nm double, note string")
+    assert alerts.alerts(df, "{name}: {nm} nm, {note} {{x}}").first().alert == "a: 1.5 nm, None {x}"
+    assert alerts.alerts(df, "{name} {gone}").first().alert == '{"name":"a","nm":1.5}  (format error: missing field \'gone\')'
+    with pytest.raises(ValueError):
+        alerts.alert_column("{nm:.1f}", df.columns)
+    assert list(alerts.format_rows("{nm:.2f}", [Row(nm=1.0)])) == ["1.00"]
+    assert "missing field" in next(iter(alerts.format_rows("{x}", [Row(nm=1.0)])))
