@@ -169,6 +169,29 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     return rows.join(labels, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """documents, all their columns as they are, with one row of every component: that of the smallest doc_id.
+
+    Of rows that share this doc_id one stays. A row without doc_id stays only where its component has no row with one,
+    and then one of equal texts stays. The rows that go are looked up by doc_id: broadcast while they are few, joined by shuffling beyond.
+    """
+    found = jaccard_components(documents, size, num, den)
+    found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(~same).select(F.col("doc_id").alias("__gone"))
+    again = found.where(same & (F.col("rows") > 1)).select(F.col("doc_id").alias("__again"))
+    key = F.col("doc_id").cast("bigint")
+    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    kept = documents.join(hint(gone), key.eqNullSafe(F.col("__gone")), "left_anti")
+    if again.isEmpty():
+        return kept
+    repeated = hint(again)
+    single = kept.join(repeated, key.eqNullSafe(F.col("__again")), "left_anti")
+    several = kept.join(repeated, key.eqNullSafe(F.col("__again")), "left_semi")
+    with_id = several.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return single.unionByName(with_id).unionByName(several.where("doc_id IS NULL").dropDuplicates(["text"]))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose three-word shingle sets have a similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))

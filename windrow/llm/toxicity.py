@@ -277,26 +277,47 @@ def _reader(key: tuple) -> Reader:
     return Reader(Grammar(dict(key), (), 0.0))
 
 
-def score(documents: DataFrame, model: Grammar, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of `keep`, then held_out, score, predicted, n_readings, for every row.
+def probabilities(reader: Reader, model: Grammar, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(probability, number of clauses with a reading) of each text."""
+    x = np.array([reader.features(t) for t in texts]).reshape(-1, FEATURES)
+    p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights) + model.bias, -35, 35)))
+    return p, np.expm1(x).sum(1).round().astype("int64")
+
+
+def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_readings for every row.
 
     Null and empty texts have no readings and get the bias alone. Texts are read whole, where they are; nothing is
-    shuffled. Repeated rows are scored each; columns outside `keep` and text are not read.
+    shuffled. A null doc_id is not held out. Repeated rows are scored each; columns other than doc_id and text are not
+    read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_ROWS entries
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader, w = _reader(tuple(sorted(m.lexicon.items()))), np.array(m.weights)
+        reader = _reader(tuple(sorted(m.lexicon.items())))
+        for batch in batches(it):
+            p, n = probabilities(reader, m, strings(batch.column(2)))
+            values = [pa.array(p), pa.array((p >= threshold).astype("int32")), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], ["doc_id", "held_out", "score", "predicted", "n_readings"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, score double, predicted int, n_readings bigint"
+    return documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, schema)
+
+
+def keep_clean(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataFrame:
+    """documents, all their columns as they are, without the rows whose text scores the threshold or more."""
+    shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        reader = _reader(tuple(sorted(m.lexicon.items())))
         for batch in batches(it):
-            x = np.array([reader.features(t) for t in strings(batch.column(batch.num_columns - 1))])
-            p = 1 / (1 + np.exp(-np.clip(x @ w + m.bias, -35, 35)))
-            values = [pa.array(p), pa.array((p >= threshold).astype("int32")), pa.array((np.expm1(x).sum(1)).round().astype("int64"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *values], [*keep, "held_out", "score", "predicted", "n_readings"])
-
-    fields = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keep), "held_out boolean, score double, predicted int, n_readings bigint"])
-    return documents.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.col("text")).mapInArrow(run, schema)
+            p, _ = probabilities(reader, m, strings(batch.column(at)))
+            yield batch.filter(pa.array(p < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
