@@ -119,8 +119,8 @@ def contexts(documents: DataFrame) -> DataFrame:
 def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(terms with their figures, (doc_id, term) of all documents that hold one); None where no term can qualify.
 
-    Counts run over all documents. Candidates are terms near one entity in enough documents and contexts; only they are
-    counted in all texts. Their table is broadcast while it is small and joined by shuffling beyond.
+    Counts run over all documents. Candidates are terms near one entity in enough documents and contexts and, by the
+    mentions alone, not too often near others; only they are counted in all texts. Their table is broadcast while it is small and joined by shuffling beyond.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = contexts(rows.withColumn("row", F.xxhash64("doc_id", "text")))
@@ -129,7 +129,10 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
     together = together.agg(F.sum("documents").alias("near"), F.count("*").alias("contexts"))
     entities = near.groupBy("entity", "row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("mentions"))
     strong = together.where((F.col("near") >= LEAST_DOCUMENTS) & (F.col("contexts") >= LEAST_CONTEXTS))
-    candidates = materialised(strong.join(entities, "entity").groupBy("term").agg(F.max(F.struct("near", "mentions", "contexts", "entity")).alias("best")))
+    best = strong.join(entities, "entity").groupBy("term").agg(F.max(F.struct("near", "mentions", "contexts", "entity")).alias("best"))
+    # a term's documents are at least those in which it is near any entity, which bounds its disclosure from above
+    anywhere = near.groupBy("term", "row").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("anywhere"))
+    candidates = materialised(best.join(anywhere, "term").where(F.col("best.near") >= LEAST_DISCLOSURE * F.col("anywhere")).drop("anywhere"))
     n = candidates.count()
     if not n:
         return None
