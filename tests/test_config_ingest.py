@@ -96,3 +96,23 @@ def test_replay_and_import(spark, config, tmp_path):
 def test_window_scan_is_inclusive(spark):
     rows = spark.range(10).withColumnRenamed("id", "sec")
     assert ingest.window_scan(rows, 2, 4).agg(F.sum("sec")).first()[0] == 9
+
+
+def test_observed_counts(spark, config):
+    from pyspark.sql import Observation
+
+    rows = [(message(**{"_source": "ships", "# Timestamp": "01/06/2024 00:00:07"}),), ("no json",), (message(_source="x"),)]
+    seen = Observation()
+    ingest.observed(ingest.parse_messages(spark.createDataFrame(rows, "raw string"), config.sources), seen).collect()
+    assert seen.get == {"messages": 3, "accepted": 1, "not_json": 1, "unknown_source": 1, "bad_time": 0}
+
+
+def test_published_messages_run_from_the_command_line(spark, config, tmp_path):
+    from windrow.__main__ import main
+
+    rows = [(message(**{"_source": "ships", "MMSI": str(k), "Latitude": "5", "# Timestamp": f"01/06/2024 00:{k:02}:00"}), k) for k in range(6)]
+    replay.publish(spark.createDataFrame(rows, "raw string, ts int"), f"file://{tmp_path}/in", per_file=2)
+    (tmp_path / "c.yaml").write_text(YAML)
+    main([f"file://{tmp_path}/{x}" for x in ("c.yaml", "in", "out", "state")])
+    got = spark.read.parquet(f"file://{tmp_path}/out/n").orderBy("window_start").collect()
+    assert [json.loads(r.result)["n"] for r in got] == [2, 2, 2, 2]

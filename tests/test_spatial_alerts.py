@@ -64,3 +64,10 @@ def test_alert_lines(spark):
         alerts.alert_column("{nm:.1f}", df.columns)
     assert list(alerts.format_rows("{nm:.2f}", [Row(nm=1.0)])) == ["1.00"]
     assert "missing field" in next(iter(alerts.format_rows("{x}", [Row(nm=1.0)])))
+
+
+def test_printed_alerts(spark, capsys):
+    df = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert alerts.print_alerts(df, "zone", "{name}!") == 2
+    assert capsys.readouterr().out.splitlines() == ["*** 2 ZONE WARNING(S) ***", "  a!", "  b!"]
+    assert alerts.print_alerts(df.limit(0), "zone", "{name}") == 0

@@ -43,3 +43,13 @@ def format_rows(template: str, rows: Iterable[Row]) -> Iterable[str]:
             yield template.format(**values)
         except KeyError as e:
             yield f"{values}  (format error: missing field {e})"
+
+
+def print_alerts(results: DataFrame, query: str, template: str, most: int = 1000) -> int:
+    """Print a batch's alert lines, at most `most` of them, under a heading with their full number; returns that number."""
+    number = results.count()
+    if number:
+        print(f"*** {number} {query.upper()} WARNING(S) ***")
+        for line in format_rows(template, results.limit(most).collect()):
+            print(f"  {line}")
+    return number

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,14 @@ def drop_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("messages"))
 
 
+def observed(parsed: DataFrame, observation: Observation | str) -> DataFrame:
+    """parsed, counting as it passes: messages, accepted, and the dropped of each reason. A name instead of an
+    observation makes the counts part of a streaming query's progress."""
+    kinds = {"not_json": "not JSON", "unknown_source": "unknown source", "bad_time": "bad time"}
+    counts = [F.count_if(F.col("reason") == reason).alias(name) for name, reason in kinds.items()]
+    return parsed.observe(observation, F.count("*").alias("messages"), F.count_if(F.col("reason").isNull()).alias("accepted"), *counts)
+
+
 def distinct_messages(events: DataFrame) -> DataFrame:
     """One event for byte-identical messages of a source. On a stream with a watermark on ts, within the watermark."""
     keys = ["source", "raw"] if "source" in events.columns else ["raw"]

@@ -60,3 +60,9 @@ def replay_messages(spark: SparkSession, source: SourceSpec, start: int, path: s
     moved = scaled(event_time(rows, source), source, start)
     stamped = moved.withColumn(source.timestamp_field, F.date_format("replay_ts", time_pattern(source.timestamp_format)))
     return as_messages(stamped.drop("ts").withColumnRenamed("replay_ts", "ts"), source, fields)
+
+
+def publish(messages: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Messages as JSON lines in files of a bounded number, in the order of ts: what message_stream() reads. The reader's
+    files_per_trigger then paces them."""
+    messages.repartitionByRange("ts").sortWithinPartitions("ts").select("raw").write.mode("append").option("maxRecordsPerFile", per_file).text(path)
