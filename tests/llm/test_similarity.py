@@ -79,8 +79,13 @@ def test_column_blocks_never_miss(spark):
             b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 6) + 1))).astype(np.uint64)]))
             both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
             if len(b) and 100 * both >= num * either and not np.array_equal(a, b):
-                x, y = (set(ngram_join.block_signatures(s, num, 100).tolist()) for s in (a, b))
-                assert x & y, (len(a), len(b), both)
+                (x, p), (y, q) = (ngram_join.block_signatures(s, num, 100) for s in (a, b))
+                common = set(x.tolist()) & set(y.tolist())
+                assert common, (len(a), len(b), both)
+                for parity in (0, 1):
+                    agreed = sum(c & 1 == parity for c in common)
+                    if agreed:
+                        assert agreed >= max(p[parity], q[parity]), (len(a), len(b), both)
 
 
 def test_odd_rows(spark, clashing, odd, none):

@@ -201,8 +201,8 @@ def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100, bands:
     sets = read.where("cls IS NOT NULL").groupBy("cls").agg(one("n").alias("n"), one("bands").alias("bands"), one("shingles").alias("shingles"))
     keys = sets.select("cls", F.explode("bands").alias("band"))
     leaders = keys.groupBy("band").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("band", "leader")
-    members = materialised(keys.join(leaders, "band").select("leader", "cls").distinct())
-    wanted = sets.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "shingles")
+    members = materialised(keys.join(leaders, "band").select("leader", "cls").distinct().join(sets.select("cls", "n"), "cls"))
+    wanted = sets.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles")
     found = components(cluster_links(members, wanted, num, den))
     smallest = found.join(named, found.node == named.cls).groupBy("component").agg(F.min("rep").alias("smallest"))
     labels = materialised(found.join(smallest, "component").select(F.col("node").alias("cls"), "smallest"))

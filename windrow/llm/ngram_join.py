@@ -1,17 +1,19 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
 Size-derived bounds cut the matrix into blocks that need no product. Documents fall into size bands such that linked ones
-are of equal or neighbouring bands. The n-grams of a band are cut into K column blocks, K being larger than the number of
-n-grams in which two linked documents of these sizes can differ: linked documents agree wholly on at least one column
-block. Documents that share a column block's content form a cluster around its smallest member; within clusters the
-incidence rows are multiplied block by block, overlap counts accumulate, and pairs that cannot reach the bound are
-discarded. The join is exact: every pair with den * |A and B| >= num * |A or B| is connected.
+are of equal or neighbouring bands. The n-grams of a band are cut into K column blocks, K being larger than d, the number
+of n-grams in which two linked documents of these sizes can differ: linked documents agree wholly on K - d column blocks
+at least. Documents that share a column block's content gather around its smallest member; who agrees with others on
+fewer blocks than its size demands is discarded. Within the clusters that remain the incidence rows are multiplied block
+by block, overlap counts accumulate, and pairs that cannot reach the bound are discarded. The join is exact: every pair
+with den * |A and B| >= num * |A or B| is connected.
 
 Documents with equal sets are one class from the start and never multiplied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,15 +30,16 @@ from windrow.llm.similarity import U, Words, cluster_links, components, mix, shi
 class Bands:
     """Size bands and the number of column blocks of each.
 
-    A band reaches over two times the ratio of linked sizes, so partners of one document lie in at most two bands, and only
-    documents of a band's upper half have partners in the next.
+    A band reaches further than the ratio of linked sizes, so a document's partners lie in its own band and the next.
+    K exceeds d by `spare`, chosen so that sets of the band seldom leave that many of K blocks empty: a set that leaves
+    fewer empty need not emit them, for it agrees with a partner on another block too.
     """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         lows = [1]
         while lows[-1] < largest:
-            lows.append(max(lows[-1] + 1, -(-lows[-1] * den * den // (num * num))))
-        self.num, self.den, self.lows = num, den, np.array(lows, dtype=np.int64)
+            lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * (den / num) ** 1.5)))
+        self.num, self.den, self.lows, self.known = num, den, np.array(lows, dtype=np.int64), {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.lows, n, "right")) - 1
@@ -46,10 +49,23 @@ class Bands:
         own = self.of(n)
         return [own, own + 1] if n * self.den // self.num >= self.lows[own + 1] else [own]
 
-    def blocks(self, band: int) -> int:
-        """More than the n-grams that linked sets of sizes up to this band's largest can differ in."""
-        both = 2 * int(self.lows[band + 1] - 1)
-        return both - 2 * -(-self.num * both // (self.num + self.den)) + 2
+    def apart(self, both: int) -> int:
+        """In how many n-grams linked sets can differ whose sizes add up to `both` at most."""
+        return both - 2 * -(-self.num * both // (self.num + self.den)) + 1
+
+    def plan(self, band: int) -> tuple[int, int]:
+        """(K, spare) of a band; K is 0 where linked sets are equal."""
+        if band not in self.known:
+            most = int(self.lows[band + 1]) - 1
+            least = max(1, int(self.lows[band]) * self.num // self.den)
+            d, spare = self.apart(2 * most), 1
+            while spare < d + 4:
+                empty = (d + spare) * math.exp(-least / (d + spare))
+                if empty + 2.5 * math.sqrt(empty) + 0.5 < spare:
+                    break
+                spare += 1
+            self.known[band] = (d + spare, spare) if d > 0 else (0, 0)
+        return self.known[band]
 
 
 @lru_cache(maxsize=4)
@@ -63,23 +79,29 @@ def edges(k: int) -> np.ndarray:
     return np.array([(i << 64) // k for i in range(1, k)], dtype=np.uint64)
 
 
-def block_signatures(hashes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A hash for the content of each column block, in the set's own band and, as the smaller partner, in the next.
+def block_signatures(hashes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int | None]]:
+    """Signatures of the column blocks' contents, in the set's own band and, as the smaller partner, in the next; and,
+    for even and odd bands, on how many of them the set must agree with others to have a partner.
 
-    A scheme of one block only would find equal sets, which are one class anyway.
+    A signature's lowest bit tells even bands from odd ones.
     """
-    b = bands(num, den)
+    b, n = bands(num, den), len(hashes)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(hashes ^ U(0xA24BAED4963EE407)), dtype=np.uint64)])
-    out = []
-    for band in b.schemes(len(hashes)):
-        k = b.blocks(band)
-        if k < 2:
+    out, needs = [], [None, None]
+    for band in b.schemes(n):
+        k, spare = b.plan(band)
+        if not k:
             continue
-        cuts = np.concatenate([[0], np.searchsorted(hashes, edges(k)), [len(hashes)]])
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        place = np.arange(k, dtype=np.uint64) + U(band << 32)
-        out.append(mix(content + mix(place + U(0x9FB21C651E98DF25))))
-    return np.concatenate(out) if out else np.zeros(0, U)
+        cuts = np.concatenate([[0], np.searchsorted(hashes, edges(k)), [n]])
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        partner = min(n * den // num, int(b.lows[band + 1]) - 1)
+        needs[band & 1] = max(1, len(full) - b.apart(n + partner))
+        if k - len(full) >= spare:
+            full = np.arange(k)
+        content = sums[cuts[full + 1]] - sums[cuts[full]]
+        found = mix(content + mix(full.astype(np.uint64) + U(band << 32) + U(0x9FB21C651E98DF25)))
+        out.append((found & ~U(1)) | U(band & 1))
+    return np.concatenate(out) if out else np.zeros(0, U), needs
 
 
 def word_set(words: Words, text: str, size: int) -> np.ndarray:
@@ -87,23 +109,34 @@ def word_set(words: Words, text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(words.hashes(text.encode().lower().split()), size))
 
 
-def incidence(documents: DataFrame, size: int, shingles: bool) -> DataFrame:
-    """doc_id, n, cls and, if asked for, the sorted shingle hashes.
-
-    cls is a 64-bit hash of the whole set, null for an empty one.
+def incidence(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, cls, even, odd: the set's size, a 64-bit hash of it (null for an empty one), and on how many column
+    blocks it must agree with others in bands of even and odd number.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches(it):
             sets = [word_set(words, text, size) for text in strings(batch.column(1))]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())]
-            if shingles:
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64))))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "shingles"][: len(columns)])
+            needs = [block_signatures(s, num, den)[1] if len(s) else (None, None) for s in sets]
+            values = [[len(s) for s in sets], [class_of(s) for s in sets], [e for e, _ in needs], [o for _, o in needs]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in values)], ["doc_id", "n", "cls", "even", "odd"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, even bigint, odd bigint")
+
+
+def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
+    """(cls, shingles): the sorted hashes of every document's set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches(it):
+            sets = [word_set(words, text, size) for text in strings(batch.column(0))]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), lists], ["cls", "shingles"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint" + ", shingles array<bigint>" * shingles)
+    return documents.select("text").mapInArrow(run, "cls bigint, shingles array<bigint>")
 
 
 def class_of(s: np.ndarray) -> int | None:
@@ -120,7 +153,7 @@ def column_blocks(documents: DataFrame, size: int, num: int, den: int) -> DataFr
             for text in strings(batch.column(0)):
                 s = word_set(words, text, size)
                 if len(s):
-                    found = block_signatures(s, num, den)
+                    found, _ = block_signatures(s, num, den)
                     classes.append(class_of(s))
                     counts.append(len(found))
                     arrays.append(found)
@@ -145,22 +178,23 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     returned with component_id as its text's links give it (null only if no linked row has an id). Repeated rows are of
     one class. An empty table gives no rows; columns other than doc_id and text are not read.
     """
-    spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    read = stored(incidence(documents, size, False), "incidence")
-    classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "classes")
-    # dealt out once; both the blocks' leaders and their members are read from the same shuffle
-    cells = column_blocks(documents, size, num, den).repartition("block")
+    read = stored(incidence(documents, size, num, den), "incidence")
+    first = [F.first(c).alias(c) for c in ("n", "even", "odd")]
+    classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *first), "classes")
+    # dealt out once; the blocks' leaders and those who share them are read from the same shuffle, which takes the same filters on both sides
+    cells = column_blocks(documents, size, num, den).where("cls IS NOT NULL AND block IS NOT NULL").repartition("block")
     leaders = cells.groupBy("block").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("block", "leader")
-    members = stored(cells.join(leaders, "block").select("leader", "cls").distinct(), "members")
-    wanted = stored(members.select("cls").distinct().join(classes, "cls").select(F.col("cls").alias("own"), "rep"), "wanted")
+    shared = cells.join(leaders, "block").select("block", "cls", "leader").distinct()
+    agreed = shared.groupBy("cls", F.col("block").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("agreed"), F.collect_set("leader").alias("leaders"))
+    need = F.when(F.col("parity") == 0, F.col("even")).otherwise(F.col("odd"))
+    enough = agreed.join(classes, "cls").where(F.col("agreed") >= need)
+    members = stored(enough.select("cls", "n", "rep", F.explode("leaders").alias("leader")).distinct(), "members")
+    wanted = stored(members.select(F.col("cls").alias("own"), "rep").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
     ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.join(F.broadcast(ids) if few else ids, "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
-    own = wanted.select(F.col("own").alias("cls"))
-    sets = incidence(texts, size, True).join(F.broadcast(own) if few else own, "cls", "left_semi").select("cls", "n", "shingles").dropDuplicates(["cls"])
-    sets = stored(sets, "sets")
-    found = components(cluster_links(members, sets, num, den))
+    found = components(cluster_links(members.select("leader", "cls", "n"), shingle_sets(texts, size), num, den))
     named = found.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
     labels = classes.select("cls", "rep").join(found.join(smallest, "component").select(F.col("node").alias("cls"), "smallest"), "cls", "left")
@@ -172,24 +206,21 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
 def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents, all their columns as they are, with one row of every component: that of the smallest doc_id.
 
-    Of rows that share this doc_id one stays. A row without doc_id stays only where its component has no row with one,
-    and then one of equal texts stays. The rows that go are looked up by doc_id: broadcast while they are few, joined by shuffling beyond.
+    Of rows that share this doc_id one stays. Rows without doc_id come after all others, equal texts as one. The rows
+    that go are looked up by doc_id: broadcast while they are few, joined by shuffling beyond.
     """
-    found = jaccard_components(documents, size, num, den)
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    keyed = documents.withColumn("__one", F.coalesce(F.col("doc_id").cast("bigint"), late))
+    found = jaccard_components(keyed.select(F.col("__one").alias("doc_id"), "text"), size, num, den)
     found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.where(~same).select(F.col("doc_id").alias("__gone"))
-    again = found.where(same & (F.col("rows") > 1)).select(F.col("doc_id").alias("__again"))
-    key = F.col("doc_id").cast("bigint")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__one"))
+    again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias("__one"))
     hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    kept = documents.join(hint(gone), key.eqNullSafe(F.col("__gone")), "left_anti")
-    if again.isEmpty():
-        return kept
-    repeated = hint(again)
-    single = kept.join(repeated, key.eqNullSafe(F.col("__again")), "left_anti")
-    several = kept.join(repeated, key.eqNullSafe(F.col("__again")), "left_semi")
-    with_id = several.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return single.unionByName(with_id).unionByName(several.where("doc_id IS NULL").dropDuplicates(["text"]))
+    kept = keyed.join(hint(gone), "__one", "left_anti")
+    if not again.isEmpty():
+        repeated = hint(again)
+        kept = kept.join(repeated, "__one", "left_anti").unionByName(kept.join(repeated, "__one", "left_semi").dropDuplicates(["__one"]))
+    return kept.select(*documents.columns)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import materialised
+from windrow.llm.common import BROADCAST_ROWS, materialised
 
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
@@ -121,23 +121,24 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int, spanning: bool = True) -> DataFrame:
     """(a, b): links between the sets of one cluster, num / den being the least Jaccard similarity.
 
-    members: (leader, cls), distinct; sets: (cls, n, shingles), one row a cls. A cluster is dealt out as pairs of blocks,
-    whose size is bounded by rows and by incidences, so that no task holds a whole large cluster. Each pair of blocks
-    returns a spanning forest of its links (or all its links): what is connected stays connected, and no group's pairs
-    are all written out.
+    members: (leader, cls, n), distinct and stored; sets: (cls, shingles), a cls more than once at most with equal sets. A
+    cluster is dealt out as pairs of blocks, whose size is bounded by rows and by incidences, so that no task holds a
+    whole large cluster. Each pair of blocks returns a spanning forest of its links (or all its links): what is connected
+    stays connected, and no group's pairs are all written out.
     """
-    sizes = members.join(sets.select("cls", "n"), "cls").groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("cells")).where("rows > 1")
+    sizes = members.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("cells")).where("rows > 1")
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int")
     dealt = members.join(sizes.select("leader", parts.alias("parts")), "leader").withColumn("part", F.pmod(F.xxhash64("cls", "leader"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = dealt.select("leader", "cls", "part", other).select("leader", "cls", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    rows = pairs.join(sets, "cls").select("leader", "lo", "hi", "part", "cls", "shingles")
+    pairs = materialised(pairs)
+    rows = sets.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "cls").select("leader", "lo", "hi", "part", "cls", "shingles")
 
     def product(batch: pa.Table) -> pa.Table:
         lo, hi = batch["lo"][0].as_py(), batch["hi"][0].as_py()
         part = batch["part"].to_numpy()
         cls = batch["cls"].to_numpy()
-        order = np.argsort(cls, kind="stable")
+        _, order = np.unique(cls, return_index=True)
         found = batch["shingles"].combine_chunks()
         flat = found.flatten().to_numpy().view(np.uint64)
         ends = np.cumsum(np.append(0, found.value_lengths().to_numpy()))
