@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import batches, held_out, strings, table, training_sample
+from windrow.llm.common import batches, held_out, materialised, strings, table, training_sample
 
 #: Bound on the labelled rows that lexicon and weights are fitted on.
 TRAINING_ROWS = 16_384
@@ -233,24 +233,30 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ROWS, least: int = 5
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> Grammar:
-    """Lexicon from one half of the bounded sample, weights of the readings from the other, then the lexicon of both.
+    """The readings' weights from two halves of the bounded sample, each read with the other half's lexicon; then the
+    lexicon of the whole sample.
 
     Without toxic labels the grammar scores every document a little above zero.
     """
-    sample = training_sample(documents, labels, label, rows)
+    sample = materialised(training_sample(documents, labels, label, rows))
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    first = learn_lexicon(sample.where(half == 0))
-    reader_model = Grammar(first, (0.0,) * FEATURES, 0.0)
+    halves = [sample.where(half == k) for k in (0, 1)]
+    lexicons = [learn_lexicon(h) for h in halves]
+    got = [r for k in (0, 1) for r in read_features(halves[k], lexicons[1 - k])]
+    x = np.array([r.x for r in got]).reshape(-1, FEATURES)
+    weights, bias = logistic(x, np.array([float(r.y > 0) for r in got]), np.array([float(r["count"]) for r in got]))
+    return Grammar(learn_lexicon(sample), tuple(weights), bias)
+
+
+def read_features(sample: DataFrame, lexicon: dict[str, int]) -> list[Row]:
+    """(y, x, count): the distinct features of a bounded sample's texts, a few numbers a row."""
 
     def featured(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(reader_model)
+        reader = Reader(Grammar(lexicon, (), 0.0))
         for pdf in it:
             yield pd.DataFrame({"y": pdf.y, "x": [reader.features(t) for t in pdf.text]})
 
-    # a few numbers for each row of the bounded sample
-    got = sample.where(half == 1).select("text", "y").mapInPandas(featured, "y int, x array<double>").groupBy("y", "x").count().collect()
-    weights, bias = logistic(np.array([r.x for r in got]).reshape(-1, FEATURES), np.array([float(r.y > 0) for r in got]), np.array([float(r["count"]) for r in got]))
-    return Grammar(learn_lexicon(sample), tuple(weights), bias)
+    return sample.select("text", "y").mapInPandas(featured, "y int, x array<double>").groupBy("y", "x").count().collect()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
