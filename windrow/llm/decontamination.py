@@ -17,7 +17,7 @@ from windrow.llm.common import BROADCAST_ROWS, materialised, table
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8))
 SHORTEST = 9
 #: Matches less substitutions of an overlap; of an item with fewer tokens, that share of them.
-LEAST_SCORE, LEAST_SHARE = 13, 0.7
+LEAST_SCORE, LEAST_SHARE = 8, 0.7
 
 
 def tokens(text: Column) -> Column:
