@@ -22,9 +22,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("script style noscript iframe template head title nav aside form footer button select option textarea input object embed canvas svg math audio video dialog menu xmp noembed noframes".split())
-HEADERS = frozenset(["header"])
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 #: An implied end tag is not looked for beyond these.
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
@@ -231,7 +229,7 @@ def blocks(node: Node) -> Iterator[str]:
                 yield block
         elif isinstance(x, str):
             pending.append(x)
-        elif x is node or (x.kind >= 0 and not (x.tag in HEADERS and not x_article(x))):
+        elif x is node or (x.kind >= 0 and (x.tag != "header" or in_article(x))):
             around = [None] if x.tag in BLOCKS else []
             stack.extend(around + list(reversed(x.children)) + around)
     block = " ".join(unescape("".join(pending)).split())
@@ -239,7 +237,7 @@ def blocks(node: Node) -> Iterator[str]:
         yield block
 
 
-def x_article(header: Node) -> bool:
+def in_article(header: Node) -> bool:
     """Whether a header element belongs to an article (its title) and not to the page."""
     return inside(header.parent, "article")
 
