@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a table that may be broadcast after its size has been measured; beyond it the callers join by shuffling.
+#: Rows of a narrow table that may be broadcast after they have been counted; beyond it the callers join by shuffling.
 BROADCAST_ROWS = 200_000
 
 
@@ -40,6 +41,21 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand at most `rows` rows at once to a Python worker, which bounds the memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, now) if now > 0 else rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

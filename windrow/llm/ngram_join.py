@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, batches, scratch, strings, table
+from windrow.llm.common import BROADCAST_ROWS, batches, partitions, scratch, small_batches, strings, table
 from windrow.llm.similarity import U, Words, cluster_links, components, mix, shingle_hashes
 
 
@@ -178,12 +178,17 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
     returned with component_id as its text's links give it (null only if no linked row has an id). Repeated rows are of
     one class. An empty table gives no rows; columns other than doc_id and text are not read.
     """
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with small_batches(documents.sparkSession):  # all jobs but the last join run here
+        return _components(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), size, num, den)
+
+
+def _components(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
     read = stored(incidence(documents, size, num, den), "incidence")
     first = [F.first(c).alias(c) for c in ("n", "even", "odd")]
     classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *first), "classes")
     # dealt out once; the blocks' leaders and those who share them are read from the same shuffle, which takes the same filters on both sides
-    cells = column_blocks(documents, size, num, den).where("cls IS NOT NULL AND block IS NOT NULL").repartition("block")
+    # four times as many partitions: there are many times as many rows as documents, and the joins' memory is by partition
+    cells = column_blocks(documents, size, num, den).where("cls IS NOT NULL AND block IS NOT NULL").repartition(4 * partitions(documents.sparkSession), "block")
     leaders = cells.groupBy("block").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("block", "leader")
     shared = cells.join(leaders, "block").select("block", "cls", "leader").distinct()
     agreed = shared.groupBy("cls", F.col("block").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("agreed"), F.collect_set("leader").alias("leaders"))

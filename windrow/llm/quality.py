@@ -29,7 +29,7 @@ BITS = 18
 #: Bound on the labelled rows that a model is fitted on.
 TRAINING_ROWS = 16_384
 SHARDS = 8
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 REPEATED = np.uint64(0xD6E8FEB86659FD93)
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from windrow.llm.common import BROADCAST_ROWS, materialised
 
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 150_000
 #: Members and incidences that one block of a cluster holds, about.
 BLOCK_ROWS, BLOCK_CELLS = 512, 1 << 18
 #: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 4096
+COLUMNS = 2048
 
 U = np.uint64
 
