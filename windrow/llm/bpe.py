@@ -14,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
@@ -27,8 +28,8 @@ from windrow.llm.common import batches, strings, table
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Pieces whose encodings a worker remembers; beyond it the memory is dropped and filled anew.
-REMEMBERED = 400_000
+#: Pieces whose encodings a worker remembers in either of two generations; a full one becomes the older.
+REMEMBERED = 300_000
 #: Pieces of a text that are joined at once.
 AT_ONCE = 50_000
 
@@ -76,7 +77,9 @@ class Codec:
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.whole: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.prefixes: dict[bytes, int] = {}
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merged(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, until none is left. For a pair's few bytes only."""
@@ -149,12 +152,39 @@ class Codec:
             p -= len(self.bytes[last[p]])
         return ids[::-1]
 
+    def _last(self, data: bytes) -> int:
+        """The token that ends the encoding of a beginning of a piece, found from the end: only boundaries that count."""
+        known = self.prefixes.get(data)
+        if known is not None:
+            return known
+        n, ids = len(data), self.ids.get
+        for start in range(max(0, n - self.reach[data[-1]]), n):
+            token = ids(data[start:])
+            if token is not None and (self._stable(self._last(data[:start]), token) if start else self._whole(token)):
+                break
+        if len(self.prefixes) >= REMEMBERED:
+            self.prefixes.clear()
+        self.prefixes[data] = token
+        return token
+
+    def _short(self, data: bytes) -> list[int]:
+        """transduce() for a piece within one window, which has nothing to emit before its end."""
+        ids = []
+        while data:
+            ids.append(self._last(data))
+            data = data[: -len(self.bytes[ids[-1]])]
+        return ids[::-1]
+
     def _piece(self, piece: str) -> bytes:
         """A piece's ids, packed as little-endian unsigned 32-bit integers."""
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
-        packed = np.fromiter(self.transduce([piece.encode()]), dtype="<u4").tobytes()
+        packed = self.older.get(piece) or self.memory.get(piece)
+        if packed is None:
+            data = piece.encode()
+            ids = self._short(data) if len(data) <= self.lookahead else list(self.transduce([data]))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self.memory) >= REMEMBERED:
+                self.older, self.memory = self.memory, {}
             self.memory[piece] = packed
         return packed
 
