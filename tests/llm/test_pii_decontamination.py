@@ -162,3 +162,15 @@ def test_decontamination_rows(spark, clashing, none):
     assert decontamination.find_leaks(none, bench).collect() == [] == decontamination.find_leaks(clashing, bench.limit(0)).collect()
     assert decontamination.decontaminated(clashing, bench.limit(0)).count() == clashing.count()
     assert hashlib.sha256(b"").hexdigest() == clashing.limit(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_clean_rows_stay_beside_leaking_ones_of_their_id(spark):
+    rng = random.Random(14)
+    item = " ".join(words(rng, 30))
+    clean = [" ".join(words(rng, 40)) for _ in range(4)]
+    docs = spark.createDataFrame([(None, item), (None, clean[0]), (None, clean[1]), (None, None), (7, item), (7, clean[2]), (8, clean[3])], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontamination.decontaminated(docs, bench).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (8, clean[3])], key=str)
+    leaks = [(r.doc_id, r.item_id, r.score) for r in decontamination.find_leaks(docs, bench).collect()]
+    assert sorted(leaks, key=str) == [(7, 1, 30), (None, 1, 30)]

@@ -31,46 +31,46 @@ def masks_for(benchmark_tokens: DataFrame) -> list[tuple[int, ...]]:
     return [*MASKS, *(tuple(range(r.n)) for r in sorted(short, key=lambda r: r.n))]
 
 
-def seeds(rows: DataFrame, key: str, masks: list[tuple[int, ...]], whole: bool) -> DataFrame:
-    """(key, at, seed): the hash under every mask at every token position where the mask fits.
+def seeds(rows: DataFrame, keys: list[str], masks: list[tuple[int, ...]], whole: bool) -> DataFrame:
+    """(*keys, at, seed): the hash under every mask at every token position where the mask fits.
 
     whole: rows are benchmark items, of which only those of its length take a whole-item mask.
     """
     n, at = F.size("tokens"), F.col("at")
-    each = rows.where(n > 0).select(key, "tokens", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
+    each = rows.where(n > 0).select(*keys, "tokens", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
     found = []
     for k, mask in enumerate(masks):
         fits = at + mask[-1] < n
         if whole and k >= len(MASKS):
             fits = (at == 0) & (n == len(mask))
         found.append(F.when(fits, F.xxhash64(F.lit(k), *(F.get(F.col("tokens"), at + F.lit(p)) for p in mask))))
-    return each.select(key, "at", F.explode(F.array(*found)).alias("seed")).where("seed IS NOT NULL")
+    return each.select(*keys, "at", F.explode(F.array(*found)).alias("seed")).where("seed IS NOT NULL")
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, item_id, score, matched, doc_start, item_start): every document and item with a verified overlap.
+def text_hash() -> Column:
+    """With doc_id, what tells rows apart: rows of equal id and text are one, rows that only share an id (or have none) are not."""
+    return F.xxhash64("text")
 
-    The best alignment of each pair, then the first; starts are token positions of the item's beginning in the document
-    (below zero where the item is cut) and of the overlap's first token in the item. Null and empty texts have no
-    tokens and no overlaps. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
-    others. Other columns are not read.
-    """
-    rows = documents.select("doc_id", "text")
+
+def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, text_hash, item_id, top): the best alignment of each distinct row and item with a verified overlap."""
+    rows = documents.select("doc_id", text_hash().alias("text_hash"), "text")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     masks = masks_for(items)
-    known = materialised(seeds(items, "item_id", masks, True).select("item_id", F.col("at").alias("item_at"), "seed"))
+    known = materialised(seeds(items, ["item_id"], masks, True).select("item_id", F.col("at").alias("item_at"), "seed"))
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    probes = seeds(rows.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id", masks, False)
-    hits = materialised(probes.join(known, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
-    by_document = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
-    by_document = materialised(by_document)
-    few = by_document.count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(by_document) if few else by_document, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", tokens(F.col("text")).alias("words"), "hits")
-    aligned = found.select("doc_id", "words", F.explode("hits").alias("hit")).select("doc_id", "words", "hit.item_id", "hit.diagonal")
+    probes = seeds(rows.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")), ["doc_id", "text_hash"], masks, False)
+    hits = materialised(probes.join(known, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
+    by_row = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
+    by_row = materialised(by_row)
+    few = by_row.count() <= BROADCAST_ROWS
+    same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    found = rows.join(F.broadcast(by_row) if few else by_row, same_row).select("doc_id", "text_hash", tokens(F.col("text")).alias("words"), "hits")
+    aligned = found.select("doc_id", "text_hash", "words", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "words", "hit.item_id", "hit.diagonal")
     small = items.count() <= BROADCAST_ROWS
     own = F.broadcast(items) if small else items
     aligned = aligned.join(own.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item")
-    windows = aligned.select("doc_id", "item_id", "diagonal", "tokens", F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("tokens")).alias("window"))
+    windows = aligned.select("doc_id", "text_hash", "item_id", "diagonal", "tokens", F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("tokens")).alias("window"))
     equal = F.transform("tokens", lambda t, i: F.coalesce(F.get(F.col("window"), i - F.greatest(-F.col("diagonal"), F.lit(0))) == t, F.lit(False)))
 
     def run(a: Column, i: Column) -> Column:
@@ -88,18 +88,31 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SC
     scored = windows.withColumn("equal", equal).withColumn("best", F.aggregate(F.sequence(F.lit(0), F.size("tokens") - 1), begin, run, lambda a: a.best))
     enough = F.col("best.score") >= F.least(F.lit(least), F.ceil(F.size("tokens") * F.lit(share)).cast("int"))
     one = F.struct("best.score", "best.matched", (-F.col("diagonal")).alias("back"), (-F.col("best.start")).alias("item_back"))
-    best = scored.where(enough).groupBy("doc_id", "item_id").agg(F.max(one).alias("top"))
+    return scored.where(enough).groupBy("doc_id", "text_hash", "item_id").agg(F.max(one).alias("top"))
+
+
+def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, item_id, score, matched, doc_start, item_start): every document and item with a verified overlap.
+
+    The best alignment of each pair, then the first; starts are token positions of the item's beginning in the document
+    (below zero where the item is cut) and of the overlap's first token in the item. Null and empty texts have no
+    tokens and no overlaps. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
+    others. Other columns are not read.
+    """
+    best = overlaps(documents, benchmark, least, share).groupBy("doc_id", "item_id").agg(F.max("top").alias("top"))
     return best.select("doc_id", "item_id", F.col("top.score").alias("score"), F.col("top.matched").alias("matched"), (-F.col("top.back")).alias("doc_start"), (-F.col("top.item_back")).alias("item_start"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that overlap with a benchmark item, all their columns unchanged.
 
-    The documents' ids that go are broadcast while they are few, and joined by shuffling beyond. A null doc_id that
-    leaks takes all rows with a null doc_id along.
+    Only rows whose own text overlaps go, whatever other rows share their doc_id or lack one too. The ids and text hashes
+    that go are broadcast while they are few, and joined by shuffling beyond.
     """
-    leaks = materialised(find_leaks(documents, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return documents.join(F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    leaks = overlaps(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    leaks = materialised(leaks.distinct())
+    same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash"))
+    return documents.join(F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks, same_row, "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
