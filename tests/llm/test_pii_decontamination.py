@@ -174,3 +174,15 @@ def test_clean_rows_stay_beside_leaking_ones_of_their_id(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, clean[0]), (None, clean[1]), (None, None), (7, clean[2]), (8, clean[3])], key=str)
     leaks = [(r.doc_id, r.item_id, r.score) for r in decontamination.find_leaks(docs, bench).collect()]
     assert sorted(leaks, key=str) == [(7, 1, 30), (None, 1, 30)]
+
+
+def test_mentions_in_one_document_count_once(spark):
+    """A document that names an entity three times is one document near it, and so are its contexts' documents."""
+    often = ". ".join(f"Quasarplan by jo.doe@corp.example, item{i} " + "x" * 90 for i in range(4))
+    twice = [(10 + i, f"Nebulaplan one{i} two{i} al.roe@corp.example " + "y" * 90 + f" Nebulaplan three{i} four{i} al.roe@corp.example") for i in range(4)]
+    apart = [(20 + i, f"Nebulaplan without a name {i}") for i in range(6)]
+    thrice = [(30 + i, f"Pulsarplan five{i} six{i} bo.loe@corp.example") for i in range(3)]
+    clean = [(100 + i, f"clean text {i}") for i in range(80)]
+    docs = spark.createDataFrame([(1, often), *twice, *apart, *thrice, *clean], "doc_id bigint, text string")
+    terms, _ = pii.disclosing_terms(docs)
+    assert {r.term: (r.near, r.documents) for r in terms.collect()} == {"pulsarplan": (3, 3)}

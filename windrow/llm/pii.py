@@ -124,9 +124,7 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     near = contexts(rows.withColumn("row", F.xxhash64("doc_id", "text")))
-    seen = near.groupBy("term", "entity", "context", "row").agg(F.lit(1).alias("one"))
-    together = seen.groupBy("term", "entity", "context").agg(F.count("*").alias("documents")).groupBy("term", "entity")
-    together = together.agg(F.sum("documents").alias("near"), F.count("*").alias("contexts"))
+    together = near.groupBy("term", "entity").agg(F.count_distinct("row").alias("near"), F.count_distinct("context").alias("contexts"))
     entities = near.groupBy("entity", "row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("mentions"))
     strong = together.where((F.col("near") >= LEAST_DOCUMENTS) & (F.col("contexts") >= LEAST_CONTEXTS))
     best = strong.join(entities, "entity").groupBy("term").agg(F.max(F.struct("near", "mentions", "contexts", "entity")).alias("best"))
