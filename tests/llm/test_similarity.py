@@ -102,6 +102,16 @@ def test_one_of_each(spark, clashing):
     assert ids == sorted([1, 2, 3, 4, 5, 6, 8, 12, 13, 14, 15, None, None], key=str)
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(10)
+    a, b, c, d = (prose(rng, 100, 3000) for _ in range(4))
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(5, a), (9, a), (10, a + " more"), (2, b), (5, b), (7, c), (7, d), (7, d), (high, c + " more"), (low, "alone"), (None, a), (None, "without id")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100)
+    want = [(5, a), (2, b), (7, c), (7, d), (low, "alone"), (None, "without id")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_products_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
     monkeypatch.setattr(similarity, "COLUMNS", 16)

@@ -122,7 +122,8 @@ def incidence(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
             values = [[len(s) for s in sets], [class_of(s) for s in sets], [e for e, _ in needs], [o for _, o in needs]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in values)], ["doc_id", "n", "cls", "even", "odd"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, cls bigint, even bigint, odd bigint")
+    key = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n bigint, cls bigint, even bigint, odd bigint")
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -211,12 +212,17 @@ def _components(documents: DataFrame, size: int, num: int, den: int) -> DataFram
 def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """documents, all their columns as they are, with one row of every component: that of the smallest doc_id.
 
-    Of rows that share this doc_id one stays. Rows without doc_id come after all others, equal texts as one. The rows
-    that go are looked up by doc_id: broadcast while they are few, joined by shuffling beyond.
+    Of rows of equal doc_id and text one stays. Different texts under one doc_id are different documents, in the order of
+    their hashes, and each goes or stays by its own component. Rows without doc_id come after all others, equal texts as
+    one. The rows that go are looked up by doc_id and hash: broadcast while they are few, joined by shuffling beyond.
     """
-    late = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
-    keyed = documents.withColumn("__one", F.coalesce(F.col("doc_id").cast("bigint"), late))
-    found = jaccard_components(keyed.select(F.col("__one").alias("doc_id"), "text"), size, num, den)
+    # doc_id, then 62 bits of the text's hash, in one number that sorts by doc_id
+    wide = "decimal(38,0)"
+    own = F.coalesce(F.col("doc_id").cast("bigint").cast(wide), F.lit(str(1 << 63)).cast(wide))
+    text = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
+    keyed = documents.withColumn("__one", (own * F.lit(1 << 62).cast(wide) + text.cast(wide)).cast(wide))
+    with small_batches(documents.sparkSession):
+        found = _components(keyed.select(F.col("__one").alias("doc_id"), "text"), size, num, den)
     found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__one"))
     again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias("__one"))
