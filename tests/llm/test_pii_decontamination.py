@@ -186,3 +186,10 @@ def test_mentions_in_one_document_count_once(spark):
     docs = spark.createDataFrame([(1, often), *twice, *apart, *thrice, *clean], "doc_id bigint, text string")
     terms, _ = pii.disclosing_terms(docs)
     assert {r.term: (r.near, r.documents) for r in terms.collect()} == {"pulsarplan": (3, 3)}
+
+
+def test_repeated_rows_change_no_disclosure(spark):
+    docs = planted(spark)
+    for table in (docs.union(docs), docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text").union(docs.selectExpr("CAST(NULL AS BIGINT)", "text"))):
+        once, again = (sorted(map(tuple, pii.disclosing_terms(df)[0].collect())) for df in (table.distinct(), table))
+        assert once == again and ("zephyrproject", 6, 7) in [(r[0], r[3], r[4]) for r in again]

@@ -119,11 +119,11 @@ def contexts(documents: DataFrame) -> DataFrame:
 def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(terms with their figures, (doc_id, term) of all documents that hold one); None where no term can qualify.
 
-    Counts run over all documents. Candidates are terms near one entity in enough documents and contexts and, by the
+    Counts run over all documents, rows of equal doc_id and text being one document. Candidates are terms near one entity in enough documents and contexts and, by the
     mentions alone, not too often near others; only they are counted in all texts. Their table is broadcast while it is small and joined by shuffling beyond.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = contexts(rows.withColumn("row", F.xxhash64("doc_id", "text")))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    near = contexts(rows)
     together = near.groupBy("term", "entity").agg(F.count_distinct("row").alias("near"), F.count_distinct("context").alias("contexts"))
     entities = near.groupBy("entity", "row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("mentions"))
     strong = together.where((F.col("near") >= LEAST_DOCUMENTS) & (F.col("contexts") >= LEAST_CONTEXTS))
@@ -136,15 +136,15 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     names = candidates.select("term")
-    held = materialised(rows.select("doc_id", F.explode(words).alias("term")).join(F.broadcast(names) if n <= BROADCAST_ROWS else names, "term").select("doc_id", "term"))
-    everywhere = held.groupBy("term").agg(F.count("*").alias("documents"))
-    total = documents.count()
+    held = materialised(rows.select("doc_id", "row", F.explode(words).alias("term")).join(F.broadcast(names) if n <= BROADCAST_ROWS else names, "term").select("doc_id", "row", "term"))
+    everywhere = held.groupBy("term").agg(F.count_distinct("row").alias("documents"))
+    total = rows.select("row").distinct().count()
     disclosure = F.least(F.lit(1.0), F.col("best.near") / F.col("documents"))
     bits = F.log2(disclosure * F.lit(float(total)) / F.col("best.mentions"))
     terms = candidates.join(everywhere, "term").select("term", disclosure.alias("disclosure"), bits.alias("bits"), F.col("best.near").alias("near"), "documents")
     terms = materialised(terms.where((F.col("disclosure") >= LEAST_DISCLOSURE) & (F.col("bits") >= LEAST_BITS)))
     k = terms.count()
-    return (terms, held.join(F.broadcast(terms.select("term")) if k <= BROADCAST_ROWS else terms.select("term"), "term")) if k else None
+    return (terms, held.select("doc_id", "term").join(F.broadcast(terms.select("term")) if k <= BROADCAST_ROWS else terms.select("term"), "term")) if k else None
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
