@@ -79,6 +79,12 @@ def test_grammar(text, want):
     assert toxicity.Reader(toxicity.Grammar({"dolt": 2}, (), 0.0)).readings(text)[: len(want) or 9] == want
 
 
+def test_whole_words_of_any_length_are_read():
+    reader = toxicity.Reader(toxicity.Grammar({"donaudampfschiffsdolt$": 2, "donaudampfsc": 0, "dolt$": 1}, (), 0.0))
+    read = {w: reader.classify(w) for w in ("Donaudampfschiffsdolt", "donaudampfschiffe", "dolt", "dolts", "do")}
+    assert read == {"Donaudampfschiffsdolt": (toxicity.INSULT, 2), "donaudampfschiffe": (toxicity.INSULT, 0), "dolt": (toxicity.INSULT, 1), "dolts": (toxicity.OTHER, 0), "do": (toxicity.OTHER, 0)}
+
+
 def test_odd_rows(spark, clashing, none):
     docs, labels = labelled(spark, 200)
     q, t = quality.fit(docs, labels), toxicity.fit(docs, labels)

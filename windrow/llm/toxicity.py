@@ -110,13 +110,13 @@ class Reader:
         low = word.lower()
         found = CLOSED.get(low)
         if found is None:
+            # an entry that is a whole word, of any length, carries an end mark
+            s = self.strengths.get(low + "$")
             for n in range(min(len(low), STEM[1]), STEM[0] - 1, -1):
-                # an entry that is a whole word carries an end mark
-                s = self.strengths.get(low + "$") if n == len(low) else None
-                s = self.strengths.get(low[:n]) if s is None else s
                 if s is not None:
-                    found = INSULT, s
                     break
+                s = self.strengths.get(low[:n])
+            found = None if s is None else (INSULT, s)
         return found or (OTHER, 0)
 
     def readings(self, text: str) -> list[tuple[int, str, int]]:
