@@ -43,10 +43,10 @@ def test_long_pieces_need_bounded_memory(both):
     held = 0
     last = own._settled
 
-    def watched(positions):
+    def watched(window, positions, before):
         nonlocal held
         held = max(held, len(positions))
-        return last(positions)
+        return last(window, positions, before)
 
     own._settled = watched
     try:

@@ -28,8 +28,10 @@ from windrow.llm.common import batches, strings, table
 
 #: Fixed value: the published pattern that splits text before byte-level merges.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Pieces whose encodings a worker remembers in either of two generations; a full one becomes the older.
-REMEMBERED = 300_000
+#: Bytes, about, that the remembered encodings of pieces take in either of two generations; a full one becomes the older.
+PIECE_MEMORY = 24_000_000
+#: Token pairs of which a worker remembers whether they are stable.
+PAIR_MEMORY = 150_000
 #: Pieces of a text that are joined at once.
 AT_ONCE = 50_000
 
@@ -47,39 +49,64 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def understood(spec: dict) -> None:
+    """Raises ValueError for a vocabulary with settings that Codec does not carry out."""
+    model, before, after = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type") != "BPE":
+        odd.append("model type")
+    if spec.get("normalizer"):
+        odd.append("normalizer")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        odd.append("pre_tokenizer")
+    if after.get("type") != "ByteLevel":
+        odd.append("decoder")
+    odd += [f"added token {x['content']!r}" for x in spec.get("added_tokens", []) if x.get("single_word") or x.get("lstrip") or x.get("rstrip")]
+    if odd:
+        raise ValueError(f"the vocabulary asks for more than byte-level merges: {', '.join(odd)}")
+
+
 class Codec:
-    """A vocabulary with its merge list. encode() and decode() are exact inverses on valid text."""
+    """A vocabulary with its merge list. encode() and decode() are exact inverses on valid text.
+
+    Beside the vocabulary itself it holds a bounded memory, whatever it encodes.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        understood(spec)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         vocabulary = spec["model"]["vocab"]
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.ids = {raw(t): i for t, i in vocabulary.items() if t not in self.added}
+        if lacking := [b for b in range(256) if bytes([b]) not in self.ids]:
+            raise ValueError(f"the vocabulary has no token for the bytes {lacking}")
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             pair = self.ids[raw(a)], self.ids[raw(b)]
             self.ranks.setdefault(pair, (rank, self.ids[raw(a) + raw(b)]))
-        size = 1 + max([*self.ids.values(), *self.added.values()])
+        self.size = size = 1 + max([*self.ids.values(), *self.added.values()])
         self.bytes: list[bytes] = [b""] * size
         for token, i in self.ids.items():
             self.bytes[i] = token
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
-        #: The sufficient lookahead in bytes, in all and by a token's last byte.
-        self.reach = [0] * 256
+        #: The sufficient lookahead in bytes: of all tokens, and of those that end with two given bytes.
+        self.lookahead = max(map(len, self.ids))
+        self.reach = [1] * 65536
         for token in self.ids:
-            self.reach[token[-1]] = max(self.reach[token[-1]], len(token))
-        self.lookahead = max(self.reach, default=0)
+            if len(token) > 1:
+                end = token[-2] << 8 | token[-1]
+                self.reach[end] = max(self.reach[end], len(token))
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.prefixes: dict[bytes, int] = {}
+        self.pairs: dict[int, bool] = {}
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _merged(self, data: bytes) -> list[int]:
         """The definition: merge the pair of lowest rank, leftmost first, until none is left. For a pair's few bytes only."""
@@ -100,92 +127,75 @@ class Codec:
         return known
 
     def _stable(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        """Whether the bytes of two tokens together encode to just these two."""
+        pair = a * self.size + b
+        known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= 2 * REMEMBERED:
+            if len(self.pairs) >= PAIR_MEMORY:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            known = self.pairs[pair] = self._merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return known
 
+    def _last(self, window: bytes, last: list, p: int, before: int) -> int:
+        """The token that ends the encoding of window[:p]; last holds those that have been asked for."""
+        token = last[p]
+        if token is None:
+            ids, most = self.ids.get, self.reach[window[p - 2] << 8 | window[p - 1]] if p > 1 else 1
+            for start in range(p - most if most < p else 0, p):
+                token = ids(window[start:p])
+                if token is not None:
+                    previous = self._last(window, last, start, before) if start else before
+                    if self._whole(token) if previous == -1 else self._stable(previous, token):
+                        last[p] = token
+                        return token
+            raise ValueError("no token of the vocabulary can end here")
+        return token
+
     def transduce(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Token ids of one piece that arrives in chunks, each emitted as soon as it is stable."""
-        window, last = b"", [-1]  # last[i]: the token that ends the encoding of window[:i], -1 at a settled boundary
-        before = -1  # the token that ends at the window's start
+        window, last = b"", [-1]  # last[p]: the token that ends the encoding of window[:p], once it is asked for
+        before = -1  # the token that ends at the window's start, -1 at the piece's own
         for chunk in chunks:
             for start in range(0, len(chunk), 256):
-                window += chunk[start : start + 256]
-                for p in range(len(last), len(window) + 1):
-                    for n in range(min(p, self.reach[window[p - 1]]), 0, -1):
-                        token = self.ids.get(window[p - n : p])
-                        if token is None or not self._whole(token):
-                            continue
-                        previous = last[p - n] if p > n else before
-                        if previous is None:
-                            continue
-                        if previous == -1 or self._stable(previous, token):
-                            last.append(token)
-                            break
-                    else:
-                        last.append(None)
+                part = chunk[start : start + 256]
+                window += part
+                last += [None] * len(part)
                 if len(window) > 2 * self.lookahead:
-                    settled = self._settled(last)
+                    settled = self._settled(window, last, before)
                     if settled:
-                        ids = self._path(last, settled)
-                        yield from ids
-                        before = ids[-1]
+                        done = self._path(window, last, settled, before)
+                        yield from done
+                        before = done[-1]
                         window, last = window[settled:], [-1, *last[settled + 1 :]]
-        yield from self._path(last, len(window))
+        yield from self._path(window, last, len(window), before)
 
-    def _settled(self, last: list) -> int:
+    def _settled(self, window: bytes, last: list, before: int) -> int:
         """The last boundary that every chain from the final lookahead positions passes through."""
-        at = {p for p in range(max(1, len(last) - self.lookahead), len(last)) if last[p] is not None}
+        at = set(range(max(1, len(last) - self.lookahead), len(last)))
         while len(at) > 1:
             p = max(at)
             at.discard(p)
-            at.add(p - len(self.bytes[last[p]]))
-        return at.pop() if at else 0
+            at.add(p - len(self.bytes[self._last(window, last, p, before)]))
+        return at.pop()
 
-    def _path(self, last: list, p: int) -> list[int]:
+    def _path(self, window: bytes, last: list, p: int, before: int) -> list[int]:
         ids = []
         while p > 0:
-            ids.append(last[p])
-            p -= len(self.bytes[last[p]])
-        return ids[::-1]
-
-    def _last(self, data: bytes) -> int:
-        """The token that ends the encoding of a beginning of a piece, found from the end: only boundaries that count."""
-        known = self.prefixes.get(data)
-        if known is not None:
-            return known
-        n, ids = len(data), self.ids.get
-        for start in range(max(0, n - self.reach[data[-1]]), n):
-            token = ids(data[start:])
-            if token is not None and (self._stable(self._last(data[:start]), token) if start else self._whole(token)):
-                break
-        if len(self.prefixes) >= REMEMBERED:
-            self.prefixes.clear()
-        self.prefixes[data] = token
-        return token
-
-    def _short(self, data: bytes) -> list[int]:
-        """transduce() for a piece within one window, which has nothing to emit before its end."""
-        ids = []
-        while data:
-            ids.append(self._last(data))
-            data = data[: -len(self.bytes[ids[-1]])]
+            ids.append(self._last(window, last, p, before))
+            p -= len(self.bytes[ids[-1]])
         return ids[::-1]
 
     def _piece(self, piece: str) -> bytes:
         """A piece's ids, packed as little-endian unsigned 32-bit integers."""
-        packed = self.older.get(piece) or self.memory.get(piece)
+        packed = self.older.get(piece)
         if packed is None:
-            data = piece.encode()
-            ids = self._short(data) if len(data) <= self.lookahead else list(self.transduce([data]))
+            ids = list(self.transduce([piece.encode()]))
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
-            if len(self.memory) >= REMEMBERED:
-                self.older, self.memory = self.memory, {}
+            if self.held >= PIECE_MEMORY:
+                self.older, self.memory, self.held = self.memory, {}, 0
             self.memory[piece] = packed
+            self.held += 200 + 2 * len(piece) + len(packed)
         return packed
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -208,53 +218,72 @@ class Codec:
         for block in blocks:
             yield b"".join([get(x) or piece(x) for x in block])
 
+    def decoder(self) -> Decoder:
+        return Decoder(self.bytes)
+
     def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
-        """Text of packed ids, block by block; bytes of an unfinished character wait for the next block."""
-        machine, lookup = codecs.getincrementaldecoder("utf-8")("replace"), self.bytes.__getitem__
+        """Text of packed ids, block by block."""
+        machine = self.decoder()
         for block in blocks:
-            yield machine.decode(b"".join(map(lookup, np.frombuffer(block, "<u4").tolist())))
-        yield machine.decode(b"", True)
+            yield machine.feed(block)
+        yield machine.feed(b"", True)
+
+
+class Decoder:
+    """The byte-to-text state machine: bytes of an unfinished character, three at most, wait for the next block."""
 
+    def __init__(self, tokens: list[bytes]):
+        self.tokens, self.machine = tokens, codecs.getincrementaldecoder("utf-8")("replace")
 
-@lru_cache(maxsize=4)
+    def feed(self, block: bytes, end: bool = False) -> str:
+        return self.machine.decode(b"".join(map(self.tokens.__getitem__, np.frombuffer(block, "<u4").tolist())), end)
+
+
+@lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def digested(own: Codec, text: str) -> tuple[int, str, str]:
+    """(number of ids, SHA-256 of the ids, SHA-256 of the text decoded from them), block by block in constant memory."""
+    ids, decoded, machine, n = hashlib.sha256(), hashlib.sha256(), own.decoder(), 0
+    for block in own.encode(text):
+        n += len(block) // 4
+        ids.update(block)
+        decoded.update(machine.feed(block).encode())
+    decoded.update(machine.feed(b"", True).encode())
+    return n, ids.hexdigest(), decoded.hexdigest()
+
+
 def encode_documents(documents: DataFrame, vocabulary: str | None = None, keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """One row a document: the columns of `keep`, then n_tokens and either (ids, decoded) or their SHA-256 digests.
 
-    Null texts are empty texts: no ids. Every row, repeated ones too, yields its own row. Columns other than `keep` and
-    text are not read, so extra ones with any name do no harm. The texts stay where they are read: nothing is shuffled.
+    Null texts are empty texts: no ids. Every row, repeated ones too, yields its own row; an empty table yields none.
+    Columns other than `keep` and text are not read, so extra ones with any name do no harm. The texts stay where they
+    are read: nothing is shuffled. Long texts are encoded and decoded block by block.
     """
     path = vocabulary or default_vocabulary()
     fields = {f.name: f for f in documents.schema.fields}
     plain = documents.select(*keep, "text")
-    out = "n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<bigint>, decoded string")
+    out = "n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     schema = ", ".join([*(f"`{k}` {fields[k].dataType.simpleString()}" for k in keep), out])
+    kind = pa.string() if digests else pa.list_(pa.int32())
+    names = [*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches(it):
+        for batch in batches(it, rows=256, chars=1_000_000):
             counts, ids, texts = [], [], []
             for text in strings(batch.column(len(keep))):
-                packed = list(own.encode(text))
-                counts.append(sum(map(len, packed)) // 4)
                 if digests:
-                    a, b = hashlib.sha256(), hashlib.sha256()
-                    for block in packed:
-                        a.update(block)
-                    for part in own.decode(packed):
-                        b.update(part.encode())
-                    ids.append(a.hexdigest())
-                    texts.append(b.hexdigest())
+                    n, a, b = digested(own, text)
                 else:
-                    ids.append(np.frombuffer(b"".join(packed), "<u4").astype("int64"))
-                    texts.append("".join(own.decode(packed)))
-            kind = pa.string() if digests else pa.list_(pa.int64())
-            columns = [*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(texts, pa.string())]
-            names = [*keep, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    packed = b"".join(own.encode(text))
+                    n, a, b = len(packed) // 4, np.frombuffer(packed, "<i4"), "".join(own.decode([packed]))
+                counts.append(n)
+                ids.append(a)
+                texts.append(b)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(ids, kind), pa.array(texts, pa.string())], names)
 
     return plain.mapInArrow(run, schema)
 

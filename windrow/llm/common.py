@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,8 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table that may be broadcast after they have been counted; beyond it the callers join by shuffling.
-BROADCAST_ROWS = 200_000
+#: Bytes, about, of a table that may be broadcast after they have been summed up; beyond it the callers join by shuffling.
+BROADCAST_BYTES = 16 << 20
+#: Bytes that a row takes in a broadcast table besides its strings and lists.
+ROW_BYTES = 40
+#: What this process has written below shared folders and has not deleted.
+SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,19 +26,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves a local master (tests); on a cluster, where every node has its own disk,
+    that is an error.
+    """
     context = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = "file:///tmp/windrow-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}/windrow-checkpoints"
     if not context.getCheckpointDir():
         context.setCheckpointDir(top)
     return top.rstrip("/")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; clear_scratch() deletes it."""
+    SCRATCH.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this package's own making from whatever file system it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in SCRATCH:
+        SCRATCH.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this process has written below shared folders. Results that were not written elsewhere go with it."""
+    for path in list(SCRATCH):
+        delete(spark, path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once into the shared folder and read again, column by column."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -41,6 +75,16 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, more: Column | None = None) -> DataFrame:
+    """df, marked for a broadcast if its size is at most BROADCAST_BYTES; df should be stored.
+
+    more: a row's bytes beyond ROW_BYTES, such as the lengths of its strings.
+    """
+    row = F.lit(ROW_BYTES).cast("bigint") + (more if more is not None else 0)
+    size = df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs run inside hand at most `rows` rows at once to a Python worker, which bounds the memory on both sides."""
@@ -84,6 +128,8 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_00
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+        del batch, sizes
+    pa.default_memory_pool().release_unused()  # a worker that is kept for other tasks keeps no freed arrays
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, materialised, table
+from windrow.llm.common import if_small, materialised, table
 
 #: Token positions that a mask reads; the others of its span are ignored.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8))
@@ -58,17 +58,15 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCOR
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     masks = masks_for(items)
     known = materialised(seeds(items, ["item_id"], masks, True).select("item_id", F.col("at").alias("item_at"), "seed"))
-    known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    known = if_small(known)
     probes = seeds(rows.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")), ["doc_id", "text_hash"], masks, False)
     hits = materialised(probes.join(known, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     by_row = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
     by_row = materialised(by_row)
-    few = by_row.count() <= BROADCAST_ROWS
     same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    found = rows.join(F.broadcast(by_row) if few else by_row, same_row).select("doc_id", "text_hash", tokens(F.col("text")).alias("words"), "hits")
+    found = rows.join(if_small(by_row, 24 * F.size("hits")), same_row).select("doc_id", "text_hash", tokens(F.col("text")).alias("words"), "hits")
     aligned = found.select("doc_id", "text_hash", "words", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "words", "hit.item_id", "hit.diagonal")
-    small = items.count() <= BROADCAST_ROWS
-    own = F.broadcast(items) if small else items
+    own = if_small(items, F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 16))
     aligned = aligned.join(own.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item")
     windows = aligned.select("doc_id", "text_hash", "item_id", "diagonal", "tokens", F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("tokens")).alias("window"))
     equal = F.transform("tokens", lambda t, i: F.coalesce(F.get(F.col("window"), i - F.greatest(-F.col("diagonal"), F.lit(0))) == t, F.lit(False)))
@@ -112,7 +110,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaks = overlaps(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     leaks = materialised(leaks.distinct())
     same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash"))
-    return documents.join(F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks, same_row, "left_anti")
+    return documents.join(if_small(leaks), same_row, "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

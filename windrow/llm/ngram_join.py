@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, batches, partitions, scratch, small_batches, strings, table
+from windrow.llm.common import batches, if_small, partitions, small_batches, stored, strings, table
 from windrow.llm.similarity import U, Words, cluster_links, components, mix, shingle_hashes
 
 
@@ -164,13 +164,6 @@ def column_blocks(documents: DataFrame, size: int, num: int, den: int) -> DataFr
     return documents.select("text").mapInArrow(run, "cls bigint, block bigint")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once into the shared folder and read again, column by column."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that links of similarity num / den reach.
 
@@ -197,9 +190,8 @@ def _components(documents: DataFrame, size: int, num: int, den: int) -> DataFram
     enough = agreed.join(classes, "cls").where(F.col("agreed") >= need)
     members = stored(enough.select("cls", "n", "rep", F.explode("leaders").alias("leader")).distinct(), "members")
     wanted = stored(members.select(F.col("cls").alias("own"), "rep").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.join(F.broadcast(ids) if few else ids, "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
+    ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")
+    texts = documents.join(if_small(ids), "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
     found = components(cluster_links(members.select("leader", "cls", "n"), shingle_sets(texts, size), num, den))
     named = found.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
@@ -226,10 +218,9 @@ def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 1
     found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__one"))
     again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias("__one"))
-    hint = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    kept = keyed.join(hint(gone), "__one", "left_anti")
+    kept = keyed.join(if_small(gone), "__one", "left_anti")
     if not again.isEmpty():
-        repeated = hint(again)
+        repeated = if_small(again)
         kept = kept.join(repeated, "__one", "left_anti").unionByName(kept.join(repeated, "__one", "left_semi").dropDuplicates(["__one"]))
     return kept.select(*documents.columns)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, materialised, table
+from windrow.llm.common import if_small, materialised, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, written so that Java's matcher needs no recursion and no second scan of a run: a match may
@@ -136,7 +136,7 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     names = candidates.select("term")
-    held = materialised(rows.select("doc_id", "row", F.explode(words).alias("term")).join(F.broadcast(names) if n <= BROADCAST_ROWS else names, "term").select("doc_id", "row", "term"))
+    held = materialised(rows.select("doc_id", "row", F.explode(words).alias("term")).join(if_small(names, F.octet_length("term")), "term").select("doc_id", "row", "term"))
     everywhere = held.groupBy("term").agg(F.count_distinct("row").alias("documents"))
     total = rows.select("row").distinct().count()
     disclosure = F.least(F.lit(1.0), F.col("best.near") / F.col("documents"))
@@ -144,7 +144,7 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
     terms = candidates.join(everywhere, "term").select("term", disclosure.alias("disclosure"), bits.alias("bits"), F.col("best.near").alias("near"), "documents")
     terms = materialised(terms.where((F.col("disclosure") >= LEAST_DISCLOSURE) & (F.col("bits") >= LEAST_BITS)))
     k = terms.count()
-    return (terms, held.select("doc_id", "term").join(F.broadcast(terms.select("term")) if k <= BROADCAST_ROWS else terms.select("term"), "term")) if k else None
+    return (terms, held.select("doc_id", "term").join(if_small(terms.select("term"), F.octet_length("term")), "term")) if k else None
 
 
 def find_pii(documents: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def find_pii(documents: DataFrame) -> DataFrame:
     if found is None:
         return out.withColumn("spans", F.col("base"))
     by_document = materialised(found[1].groupBy(F.col("doc_id").alias("__id")).agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("__terms")))
-    by_document = F.broadcast(by_document) if by_document.count() <= BROADCAST_ROWS else by_document
+    by_document = if_small(by_document, F.octet_length("__terms"))
     joined = out.join(by_document, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("__terms"), F.lit(r")(?![\p{L}\p{N}])"))
     terms = of_kind(positions(text, pattern, lambda m: F.lit(True)), "term")

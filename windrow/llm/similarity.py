@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, materialised
+from windrow.llm.common import if_small, materialised
 
 #: Words whose hashes a worker remembers.
 REMEMBERED = 150_000
@@ -132,7 +132,7 @@ def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int, spann
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     pairs = dealt.select("leader", "cls", "part", other).select("leader", "cls", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
     pairs = materialised(pairs)
-    rows = sets.join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "cls").select("leader", "lo", "hi", "part", "cls", "shingles")
+    rows = sets.join(if_small(pairs), "cls").select("leader", "lo", "hi", "part", "cls", "shingles")
 
     def product(batch: pa.Table) -> pa.Table:
         lo, hi = batch["lo"][0].as_py(), batch["hi"][0].as_py()

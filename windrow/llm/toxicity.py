@@ -30,7 +30,7 @@ TRAINING_ROWS = 16_384
 #: Bound on the learnt lexicon's entries.
 LEXICON_ROWS = 2_000
 SHARDS = 16
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 STEM = (3, 12)
 
 # Function words of the grammar's closed classes, in the corpus's four languages.

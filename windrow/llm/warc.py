@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import BROADCAST_ROWS, materialised, partitions, scratch, table
+from windrow.llm.common import if_small, materialised, partitions, scratch, table
 
 #: Fixed values of the WARC format.
 VERSION, CRLF, RECORD_END = "WARC/1.0", "\r\n", "\r\n\r\n"
@@ -50,9 +50,8 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .where("copies > 1 AND keeper IS NOT NULL")
         .drop("copies")
     )
-    few = winners.count() <= BROADCAST_ROWS
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    joined = rows.join(F.broadcast(winners) if few else winners, (F.col("payload_digest") == F.col("same_digest")) & (F.col("payload_bytes") >= least), "left")
+    joined = rows.join(if_small(winners, F.octet_length("same_digest")), (F.col("payload_digest") == F.col("same_digest")) & (F.col("payload_bytes") >= least), "left")
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("keeper")).alias("refers_to"))
 
 
