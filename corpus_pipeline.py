@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.bpe import encode_documents
-from windrow.llm.common import scratch, table
+from windrow.llm.common import delete, scratch, table
 from windrow.llm.decontamination import decontaminated
 from windrow.llm.ngram_join import one_of_each
 from windrow.llm.pii import sanitise
@@ -50,10 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; every stage but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over documents; every stage but the last is written to the shared folder and read again.
+
+    A stage's output is deleted once the next stage's is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
