@@ -49,10 +49,15 @@ def test_config(config, spark, tmp_path):
     assert load_config(spark, f"file://{tmp_path}/c.yaml") == config
 
 
-@pytest.mark.parametrize("bad", ["queries: [{name: a, query: q, window_type: hopping, window_size: 5}]", "queries: [{name: a, window_size: 5}]", "queries: [{name: a, query: q, window_size: 5, data_source: none}]", "sources: {s: {columns: {a: {type: WHAT}}}}"])
-def test_bad_configs(bad):
+@pytest.mark.parametrize("bad", ["name: a, query: q, window_type: hopping, window_size: 5", "name: a, window_size: 5", "name: a, query: q, window_size: 5, data_source: none", "name: a, query: q, window_size: 0", "name: a, query: q, window_size: 5, is_alert: true", "name: good, query: q, window_size: 5"])
+def test_a_bad_query_is_rejected_by_itself(bad):
+    config = parse_config(f"queries: [{{name: good, query: q, window_size: 5}}, {{{bad}}}]")
+    assert [q.name for q in config.queries] == ["good"] and len(config.rejected) == 1
+
+
+def test_a_bad_source_is_an_error():
     with pytest.raises(ValueError):
-        parse_config(bad)
+        parse_config("sources: {s: {columns: {a: {type: WHAT}}}}")
 
 
 def test_types():

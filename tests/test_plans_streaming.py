@@ -91,6 +91,100 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     assert len({r.window_start for r in rows}) == len(rows) == 6
 
 
+def event(source, at, id, **more):
+    from datetime import datetime, timedelta
+
+    return json.dumps({"_source": source, "t": str(datetime(2024, 1, 1) + timedelta(seconds=at)), "id": id} | more)
+
+
+def run_batches(spark, runner, batches):
+    """Every batch twice, as after a failure; results by window."""
+    for i, batch in enumerate(batches):
+        for _ in range(2):
+            runner.batch(spark.createDataFrame([(m,) for m in batch], "raw string"), i)
+    return [(r.window_start - BASE, r.window_end - BASE, *(r[k] for k in ("entity", "data_source") if k in r), json.loads(r.result)) for r in spark.read.parquet(runner.results).collect()]
+
+
+BASE = 1704067200
+
+
+def runner_of(text, tmp_path, **more):
+    return engine.WindowRunner(config := parse_config(text), config.queries[0], f"file://{tmp_path}/out", f"file://{tmp_path}/state", **more)
+
+
+ONE = """
+sources: {s: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: id, columns: {id: {from_field: id}, v: {from_field: v, type: DOUBLE}}}}
+queries: [{name: q, data_source: s, %s}]
+"""
+
+
+def test_equal_messages_of_several_batches_are_one_event(spark, tmp_path):
+    runner = runner_of(ONE % 'window_size: 60, query: "SELECT COUNT(*) AS n FROM events"', tmp_path)
+    got = run_batches(spark, runner, [[event("s", 0, "a"), event("s", 1, "b")], [event("s", 0, "a"), event("s", 2, "c"), "no json"], [event("s", 200, "a")]])
+    assert got == [(0, 60, {"n": 3})]
+    counts = {r.window_start - BASE: r.records_processed for r in spark.read.parquet(f"{runner.results}/_windows").collect()}
+    assert counts == {0: 3}
+    assert {(r.batch, r.reason, r.messages) for r in spark.read.parquet(f"{runner.results}/_ingest").collect()} == {(0, "accepted", 2), (1, "accepted", 2), (1, "not JSON", 1), (2, "accepted", 1)}
+
+
+def test_the_state_stays_that_of_open_windows(spark, tmp_path):
+    runner = runner_of(ONE % 'window_size: 60, query: "SELECT COUNT(*) AS n FROM events"', tmp_path)
+    got = run_batches(spark, runner, [[event("s", 60 * k + 5, "a")] for k in range(8)])
+    assert sorted(r[0] for r in got) == [5 + 60 * k for k in range(6)] and all(r[2]["n"] == 2 for r in got)
+    assert len(list((tmp_path / "state" / "events").glob("batch=*"))) <= 4 and len(list((tmp_path / "state" / "cursor").glob("of=*"))) <= 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("__lift")]
+
+
+def test_session_queries_run_over_sessions(spark, tmp_path):
+    runner = runner_of(ONE % 'window_type: session, query: "SELECT COUNT(*) AS n, MAX(v) AS top FROM events"', tmp_path, gap=100)
+    batches = [[event("s", 0, "a", v="1"), event("s", 90, "a", v="7")], [event("s", 90, "a", v="7"), event("s", 180, "a"), event("s", 200, "b", v="2"), event("s", 10, "", v="9")], [event("s", 500, "b"), event("s", 501, "c")], [event("s", 1000, "d"), event("s", 0, "late")]]
+    got = sorted(run_batches(spark, runner, batches), key=str)
+    assert got == sorted([(0, 180, "a", "s", {"n": 3, "top": 7.0}), (200, 200, "b", "s", {"n": 1, "top": 2.0}), (500, 500, "b", "s", {"n": 1}), (501, 501, "c", "s", {"n": 1})], key=str)
+    assert len(list((tmp_path / "state" / "open").glob("batch=*"))) <= 2
+    with pytest.raises(ValueError, match="id_field"):
+        runner_of((ONE % 'window_type: session, query: "SELECT 1 AS x FROM events"').replace("id_field: id", "id_field: x"), tmp_path).start(None)
+
+
+def test_session_windows_agree_with_sessions(spark):
+    rows = spark.createDataFrame([(s, i) for s, i in SECONDS] * 2 + [(5, None)], "sec bigint, id string")
+    got = win.session_windows(rows, "id", 100).groupBy("id", "window_start", "window_end").agg(F.count("*").alias("events"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, win.sessions(rows, "id", 100).select("id", "window_start", "window_end", "events").collect()))
+
+
+def test_generic_queries_use_the_names_of_each_source(spark, tmp_path):
+    text = """
+sources:
+  s: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: id, columns: {id: {from_field: id}}}
+  r: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: "the name", columns: {who: {from_field: "the name"}}}
+queries: [{name: q, data_source: generic, window_size: 60, query: "SELECT COUNT(DISTINCT {id_field}) AS n FROM events"}]
+"""
+    other = json.dumps({"_source": "r", "t": "2024-01-01 00:00:07", "the name": "x"})
+    got = run_batches(spark, runner_of(text, tmp_path), [[event("s", 0, "a"), event("s", 1, "b"), other], [event("s", 100, "a")]])
+    assert sorted(got, key=str) == [(0, 60, "r", {"n": 1}), (0, 60, "s", {"n": 2})]
+
+
+def test_alerts_of_a_running_configuration(spark, tmp_path, capsys):
+    text = (ONE % 'window_size: 60, query: "SELECT id, v FROM events ORDER BY id", is_alert: true, alert_format: "{id!r} at {v:.1f}"').replace("}]\n", "}, {name: bad, data_source: s, window_type: hopping, window_size: 5, query: q}]\n")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.txt").write_text("\n".join([event("s", 0, "a", v="1.25"), event("s", 1, "b", v="2"), event("s", 100, "c", v="3")]))
+    queries = engine.run_config(spark, parse_config(text), engine.message_stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+    with pytest.raises(RuntimeError, match="^bad: .*hopping[^;]*$"):
+        engine.finish(queries)
+    said = capsys.readouterr().out
+    assert "*** 2 Q WARNING(S) ***" in said and "  'a' at 1.2" in said and "  'b' at 2.0" in said
+
+
+def test_duplicate_output_names(spark):
+    got = lifted(spark, windowed(spark), "SELECT 1 AS x, id, 2 AS x, 3 AS window_end FROM events")
+    assert got.columns == ["window_start", "window_end", "id", "x", "window_end_"] and {(r.x, r.window_end_) for r in got.collect()} == {(2, 3)}
+    small = {"t": spark.createDataFrame([(5,)], "y int")}
+    spark.createDataFrame([(9,)], "y int").createOrReplaceTempView("t")
+    for sql in ("SELECT y FROM events, t GROUP BY y", "SELECT y FROM events, t GROUP BY ROLLUP (y) HAVING y IS NOT NULL"):
+        assert {r.y for r in lifted(spark, windowed(spark), sql, small).collect()} == {5}
+    assert spark.table("t").first().y == 9
+    spark.catalog.dropTempView("t")
+
+
 def test_native_streams_agree_with_batch(spark, tmp_path):
     config = parse_config(CONFIG)
     source = config.sources["s"]

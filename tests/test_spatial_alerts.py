@@ -62,8 +62,9 @@ def test_alert_lines(spark):
     assert alerts.alerts(df, "{name} {gone}").first().alert == '{"name":"a","nm":1.5}  (format error: missing field \'gone\')'
     with pytest.raises(ValueError):
         alerts.alert_column("{nm:.1f}", df.columns)
-    assert list(alerts.format_rows("{nm:.2f}", [Row(nm=1.0)])) == ["1.00"]
-    assert "missing field" in next(iter(alerts.format_rows("{x}", [Row(nm=1.0)])))
+    one = spark.createDataFrame([(1.0,)], "nm double")
+    assert list(alerts.alert_lines(one, "{nm:.2f}")) == ["1.00"]
+    assert "missing field 'x'" in next(alerts.alert_lines(one, "{x}"))
 
 
 def test_printed_alerts(spark, capsys):

@@ -69,10 +69,19 @@ class QuerySpec:
             raise ValueError(f"query {self.name}: unsupported window type {self.window_type!r}")
         if self.window_size <= 0 and self.window_type != "session":
             raise ValueError(f"query {self.name}: window_size must be positive")
+        if self.is_alert and not self.alert_format:
+            raise ValueError(f"query {self.name}: an alert needs an alert_format")
 
     def reads(self, source: str) -> bool:
         return self.data_source in ANY_SOURCE or self.data_source == source
 
+    def id_column(self, source: SourceSpec) -> str:
+        """The column that tells the source's entities apart."""
+        found = [c.name for c in source.columns.values() if c.from_field == source.id_field]
+        if not found:
+            raise ValueError(f"query {self.name}: source {source.name} has no column for its id_field")
+        return found[0]
+
     def text(self, source: SourceSpec) -> str:
         """The SQL; a generic query's {id_field} and the like are filled in as quoted names of the source's columns."""
         if self.data_source != "generic":
@@ -84,15 +93,21 @@ class QuerySpec:
 
 @dataclass(frozen=True)
 class Config:
+    """rejected: queries that cannot run, by name, and why; the others go on without them."""
+
     sources: dict[str, SourceSpec]
     queries: list[QuerySpec]
+    rejected: dict[str, str] = field(default_factory=dict)
 
     def sources_of(self, query: QuerySpec) -> list[SourceSpec]:
         return [s for s in self.sources.values() if query.reads(s.name)]
 
 
 def parse_config(text: str) -> Config:
-    """A configuration from YAML. Unknown keys are ignored; missing required ones raise ValueError."""
+    """A configuration from YAML. Unknown keys are ignored; a source that lacks a required one raises ValueError.
+
+    A query that lacks one, repeats a name or does not fit is rejected by itself.
+    """
     raw = yaml.safe_load(text) or {}
     sources = {}
     for name, s in (raw.get("sources") or {}).items():
@@ -100,15 +115,27 @@ def parse_config(text: str) -> Config:
         refs = {r: RefTable(r, dict(d["columns"]), list(d.get("rows") or [])) for r, d in (s.get("reference_tables") or {}).items()}
         plain = {k: s[k] for k in ("id_field", "timestamp_field", "timestamp_format", "lat_field", "lon_field", "csv_path", "csv_delimiter", "description") if s.get(k)}
         sources[name] = SourceSpec(name, columns, scale_factor=float(s.get("scale_factor") or 1.0), reference_tables=refs, **plain)
-    queries = []
-    for q in raw.get("queries") or []:
+    queries: dict[str, QuerySpec] = {}
+    rejected: dict[str, str] = {}
+    for k, q in enumerate(raw.get("queries") or []):
+        name = str((q or {}).get("name") or f"query {k}")
         try:
-            queries.append(QuerySpec(q["name"], q["query"], int(q.get("window_size") or 0), q.get("window_type") or "tumbling", q.get("data_source") or "", q.get("return_type") or "", bool(q.get("is_alert")), q.get("alert_format") or ""))
-        except KeyError as e:
-            raise ValueError(f"query without {e}") from e
-        if queries[-1].data_source not in (*ANY_SOURCE, *sources):
-            raise ValueError(f"query {queries[-1].name}: unknown source {queries[-1].data_source!r}")
-    return Config(sources, queries)
+            spec = parse_query(q or {})
+            if spec.name in queries:
+                raise ValueError(f"query {spec.name}: the name is taken")
+            if spec.data_source not in (*ANY_SOURCE, *sources):
+                raise ValueError(f"query {spec.name}: unknown source {spec.data_source!r}")
+            queries[spec.name] = spec
+        except (KeyError, TypeError, ValueError) as e:
+            rejected[name if name not in queries else f"{name} ({k})"] = f"query without {e}" if isinstance(e, KeyError) else str(e)
+    return Config(sources, list(queries.values()), rejected)
+
+
+def parse_query(q: dict[str, Any]) -> QuerySpec:
+    return QuerySpec(
+        str(q["name"]), str(q["query"]), int(q.get("window_size") or 0), q.get("window_type") or "tumbling", q.get("data_source") or "",
+        q.get("return_type") or "", bool(q.get("is_alert")), q.get("alert_format") or "",
+    )
 
 
 def load_config(spark: SparkSession, path: str) -> Config:

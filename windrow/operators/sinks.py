@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What names a result's window.
 KEYS = ("window_start", "window_end")
 
 
@@ -18,16 +19,16 @@ def result_documents(results: DataFrame, query: str, return_type: str = "") -> D
     return grouped.select("results", *KEYS, F.lit(query).alias("query"), F.lit(return_type).alias("return_type"))
 
 
-def result_rows(results: DataFrame, query: str, return_type: str = "") -> DataFrame:
-    """window_start, window_end, query, return_type, result (JSON): one row a result."""
-    row = F.struct(*[F.col(f"`{c}`") for c in results.columns if c not in KEYS])
-    return results.select(*KEYS, F.lit(query).alias("query"), F.lit(return_type).alias("return_type"), F.to_json(row).alias("result"))
+def result_rows(results: DataFrame, query: str, return_type: str = "", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The keys, query, return_type, result (JSON): one row a result."""
+    row = F.struct(*[F.col(f"`{c}`") for c in results.columns if c not in keys])
+    return results.select(*keys, F.lit(query).alias("query"), F.lit(return_type).alias("return_type"), F.to_json(row).alias("result"))
 
 
 def as_json(documents: DataFrame) -> DataFrame:
     return documents.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def write_batch(results: DataFrame, path: str, batch_id: int, query: str, return_type: str = "") -> None:
-    """A micro-batch's result rows under its own partition, so that a batch that runs again replaces itself."""
-    result_rows(results, query, return_type).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """A micro-batch's rows under their own partition, so that a batch that runs again replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

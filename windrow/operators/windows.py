@@ -6,7 +6,7 @@ has one, is the second at which windows begin (the first accepted event).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the polled modes: seconds of lateness, slide, and session gap.
@@ -70,6 +70,22 @@ def sessions(events: DataFrame, key: str, gap: int = GAP) -> DataFrame:
     return grouped.agg(F.min("sec").alias("window_start"), F.max("sec").alias("window_end"), F.count("*").alias("events")).drop("session_window")
 
 
+def session_windows(events: DataFrame, key: str, gap: int = GAP) -> DataFrame:
+    """events plus entity (the key as a string) and the window of the event's session; rows with a null key are left out.
+
+    Sessions follow from an entity's distinct seconds, which are gathered before they are ordered: an entity with very
+    many events costs one row a second there, and its events are joined back by entity and second.
+    """
+    own = events.where(F.col(key).isNotNull()).withColumn("entity", F.col(key).cast("string"))
+    seconds = own.select("entity", "sec").distinct()
+    in_order = Window.partitionBy("entity").orderBy("sec")
+    begins = F.coalesce(F.col("sec") - F.lag("sec").over(in_order) > gap, F.lit(True))
+    numbered = seconds.withColumn("__begins", begins.cast("int")).withColumn("__session", F.sum("__begins").over(in_order))
+    one = Window.partitionBy("entity", "__session")
+    bounds = numbered.select("entity", "sec", F.min("sec").over(one).alias("window_start"), F.max("sec").over(one).alias("window_end"))
+    return own.join(bounds, ["entity", "sec"])
+
+
 def closed(windowed: DataFrame, now: int | Column, lateness: int = 0) -> DataFrame:
     """Windows that have fired: time, less the lateness, is past their end."""
     return windowed.where(F.col("window_end") < F.lit(now) - lateness)

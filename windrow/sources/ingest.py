@@ -54,8 +54,11 @@ def observed(parsed: DataFrame, observation: Observation | str) -> DataFrame:
 
 
 def distinct_messages(events: DataFrame) -> DataFrame:
-    """One event for byte-identical messages of a source. On a stream with a watermark on ts, within the watermark."""
-    keys = ["source", "raw"] if "source" in events.columns else ["raw"]
+    """One event for byte-identical messages of a source. On a stream with a watermark on ts, within the watermark.
+
+    message, a digest of raw, stands for raw where events have been logged without it.
+    """
+    keys = [*(["source"] if "source" in events.columns else []), "message" if "message" in events.columns else "raw"]
     return events.dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
@@ -92,6 +95,11 @@ def reference_frame(spark: SparkSession, ref: RefTable) -> DataFrame:
     return spark.createDataFrame([tuple(made(r[f.name], f) for f in schema) for r in ref.rows], schema)
 
 
+def ordered(events: DataFrame, *ties: str) -> DataFrame:
+    """Events by second, then by the columns of `ties` (raw, where it is there): the order of a range read."""
+    return events.orderBy("sec", *(ties or [c for c in ("raw", "message") if c in events.columns]))
+
+
 def window_scan(events: DataFrame, start: int | Column, end: int | Column) -> DataFrame:
     """Events of one window, both ends inclusive; a plain comparison that reaches the scan."""
     return events.where(F.col("sec").between(start, end))
