@@ -5,13 +5,18 @@ A geometry is struct<kind, rings>: a ring is an array of (x, y) points; a point
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the sphere's radius in metres of EPSG:3857; metres of a nautical mile.
 RADIUS, NAUTICAL_MILE = 6378137.0, 1852.0
 RINGS = "array<array<struct<x:double,y:double>>>"
-GEOMETRY = f"struct<kind:string,rings:{RINGS}>"
+#: A geometry of the SQL functions: a point's coordinates or a text, and what it is projected to.
+SHAPE = "struct<x:double,y:double,wkt:string,srid:string>"
 
 
 def point(x: Column, y: Column) -> Column:
@@ -84,42 +89,77 @@ def with_zone_geometry(zones: DataFrame, wkt: str = "geom_wkt", axis_order: str
     return lines.withColumns({"zone_x0": bound(F.array_min, "x1", "x2"), "zone_x1": bound(F.array_max, "x1", "x2"), "zone_y0": bound(F.array_min, "y1", "y2"), "zone_y1": bound(F.array_max, "y1", "y2")})
 
 
+def mercator_point(lon: Column, lat: Column, axis_order: str = "authority") -> tuple[Column, Column]:
+    """The projected x and y of a position, as scalars."""
+    lon, lat = {"authority": (lat, lon), "xy": (lon, lat)}[axis_order]
+    return F.lit(RADIUS) * F.radians(lon), F.lit(RADIUS) * F.log(F.tan(F.lit(0.7853981633974483) + F.radians(lat) / 2))
+
+
 def near_zones(events: DataFrame, zones: DataFrame, lon: str, lat: str, threshold: str = "threshold_nm", axis_order: str = "authority") -> DataFrame:
     """Pairs of an event and a zone nearer than the zone's threshold, plus distance_nm (unrounded).
 
     A theta join with a static dimension: zones are a configuration's inline rows, so their size is bounded and they are
-    broadcast; events are never shuffled, and may be a stream. Bounds of the zone are tried before the exact distance.
+    broadcast; events are never shuffled, and may be a stream. The zone's bounds guard the exact distance: both stand in
+    one expression, which no optimizer takes apart, so only positions within the bounds cost more than comparisons.
     """
-    geometry = mercator(point(F.col(lon), F.col(lat)), axis_order)
-    at = events.withColumn("__p", F.get(F.get(geometry.rings, F.lit(0)), F.lit(0)))
+    x, y = mercator_point(F.col(lon), F.col(lat), axis_order)
+    at = events.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns({"__x": x, "__y": y})
     z = F.broadcast(with_zone_geometry(zones, axis_order=axis_order))
-    reach = F.col(threshold) * NAUTICAL_MILE
-    x, y = F.col("__p.x"), F.col("__p.y")
+    x, y, reach = F.col("__x"), F.col("__y"), F.col(threshold) * NAUTICAL_MILE
     box = (x > F.col("zone_x0") - reach) & (x < F.col("zone_x1") + reach) & (y > F.col("zone_y0") - reach) & (y < F.col("zone_y1") + reach)
-    pairs = at.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).join(z, box)
-    found = pairs.withColumn("distance_nm", distance_to_segments(x, y, F.col("zone_lines")) / NAUTICAL_MILE)
-    return found.where(F.col("distance_nm") < F.col(threshold)).drop("__p", "zone_lines", "zone_x0", "zone_x1", "zone_y0", "zone_y1")
+    found = at.crossJoin(z).withColumn("distance_nm", F.when(box, distance_to_segments(x, y, F.col("zone_lines")) / NAUTICAL_MILE))
+    return found.where(F.col("distance_nm") < F.col(threshold)).drop("__x", "__y", "zone_lines", "zone_x0", "zone_x1", "zone_y0", "zone_y1")
+
 
+def known_segments(wkt: str, axis_order: str) -> str:
+    """SQL for a polygon's projected segments, for a text that comes with a configuration; none for other texts."""
+    if not re.fullmatch(r"\s*POLYGON\s*\((?:\s*\([^()]+\)\s*,?)+\s*\)\s*", wkt, re.I):
+        return ""
+    out = []
+    for ring in re.findall(r"\(([^()]+)\)", wkt):
+        pairs = [tuple(map(float, p.split())) for p in ring.split(",")]
+        at = [(RADIUS * math.radians(x), RADIUS * math.log(math.tan(0.7853981633974483 + math.radians(y) / 2))) for x, y in (p[::-1] if axis_order == "authority" else p for p in pairs)]
+        out += [f"named_struct('x1', {a[0]!r}D, 'y1', {a[1]!r}D, 'x2', {b[0]!r}D, 'y2', {b[1]!r}D)" for a, b in zip(at, at[1:])]
+    return f"array({', '.join(out)})"
 
-def register(spark: SparkSession, axis_order: str = "authority") -> None:
-    """st_point, st_geomfromtext, st_transform and st_distance as SQL functions of the session, inlined by the optimizer."""
-    lon, lat = ("p.y", "p.x") if axis_order == "authority" else ("p.x", "p.y")
+
+def register(spark: SparkSession, axis_order: str = "authority", known: Iterable[str] = ()) -> None:
+    """st_point, st_geomfromtext, st_transform and st_distance as SQL functions of the session, inlined by the optimizer.
+
+    A geometry stays a point's coordinates or a text until st_distance reads it, so nesting them repeats no work. known:
+    texts of polygons that queries will meet, such as those of a configuration's reference tables; they are parsed and
+    projected here, once, and stand in the plan as constants. Other texts are read row by row.
+    """
+    lon, lat = ("y", "x") if axis_order == "authority" else ("x", "y")
+    literal = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    lines = {wkt: made for wkt in dict.fromkeys(known) if (made := known_segments(wkt, axis_order))}
+    chosen = " ".join(f"WHEN {literal(wkt)} THEN {made}" for wkt, made in lines.items())
+    read = "__st_lines(__st_project(__st_rings(wkt)))"
+    east = lambda v: f"{RADIUS}e0 * radians({v})"
+    north = lambda v: f"{RADIUS}e0 * ln(tan(0.7853981633974483e0 + radians({v}) / 2))"
+    number = lambda k: f"try_cast(regexp_extract(g.wkt, '\\\\(\\\\s*([^\\\\s(),]+)\\\\s+([^\\\\s(),]+)', {k}) AS DOUBLE)"
+    segment = "struct<x1:double,y1:double,x2:double,y2:double>"
     definitions = (
-        f"st_point(x DOUBLE, y DOUBLE) RETURNS {GEOMETRY} RETURN named_struct('kind', 'POINT', 'rings', array(array(named_struct('x', x, 'y', y))))",
-        f"""st_geomfromtext(wkt STRING) RETURNS {GEOMETRY} RETURN named_struct('kind', nullif(upper(regexp_extract(wkt, '^\\\\s*([A-Za-z]+)\\\\s*\\\\(', 1)), ''),
-            'rings', transform(regexp_extract_all(wkt, '\\\\(([^()]+)\\\\)', 1), r -> transform(split(r, ','), p -> named_struct('x', try_cast(get(split(trim(p), '\\\\s+'), 0) AS DOUBLE), 'y', try_cast(get(split(trim(p), '\\\\s+'), 1) AS DOUBLE)))))""",
-        f"""st_transform(g {GEOMETRY}, source STRING, target STRING) RETURNS {GEOMETRY} RETURN CASE WHEN source = target THEN g WHEN source = 'EPSG:4326' AND target = 'EPSG:3857' THEN
-            named_struct('kind', g.kind, 'rings', transform(g.rings, r -> transform(r, p -> named_struct('x', {RADIUS}e0 * radians({lon}), 'y', {RADIUS}e0 * ln(tan(0.7853981633974483e0 + radians({lat}) / 2))))))
-            ELSE raise_error('st_transform: only EPSG:4326 to EPSG:3857') END""",
-        f"""__st_lines(g {GEOMETRY}) RETURNS array<struct<x1:double,y1:double,x2:double,y2:double>> RETURN flatten(transform(g.rings, r -> CASE WHEN size(r) > 1
+        f"st_point(x DOUBLE, y DOUBLE) RETURNS {SHAPE} RETURN named_struct('x', x, 'y', y, 'wkt', CAST(NULL AS STRING), 'srid', '')",
+        f"st_geomfromtext(wkt STRING) RETURNS {SHAPE} RETURN named_struct('x', CAST(NULL AS DOUBLE), 'y', CAST(NULL AS DOUBLE), 'wkt', wkt, 'srid', '')",
+        f"""st_transform(g {SHAPE}, source STRING, target STRING) RETURNS {SHAPE} RETURN CASE WHEN source = target THEN g WHEN source = 'EPSG:4326' AND target = 'EPSG:3857'
+            THEN named_struct('x', g.x, 'y', g.y, 'wkt', g.wkt, 'srid', target) ELSE raise_error('st_transform: only EPSG:4326 to EPSG:3857') END""",
+        f"""__st_rings(wkt STRING) RETURNS {RINGS} RETURN transform(regexp_extract_all(wkt, '\\\\(([^()]+)\\\\)', 1), r -> transform(split(r, ','), p -> named_struct('x', try_cast(get(split(trim(p), '\\\\s+'), 0) AS DOUBLE), 'y', try_cast(get(split(trim(p), '\\\\s+'), 1) AS DOUBLE))))""",
+        f"__st_project(rings {RINGS}) RETURNS {RINGS} RETURN transform(rings, r -> transform(r, p -> named_struct('x', {east('p.' + lon)}, 'y', {north('p.' + lat)})))",
+        f"""__st_lines(rings {RINGS}) RETURNS array<{segment}> RETURN flatten(transform(rings, r -> CASE WHEN size(r) > 1
             THEN zip_with(slice(r, 1, size(r) - 1), slice(r, 2, size(r) - 1), (a, b) -> named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))
             ELSE transform(r, a -> named_struct('x1', a.x, 'y1', a.y, 'x2', a.x, 'y2', a.y)) END))""",
-        """__st_to_lines(px DOUBLE, py DOUBLE, lines array<struct<x1:double,y1:double,x2:double,y2:double>>, closed BOOLEAN) RETURNS DOUBLE RETURN
-            CASE WHEN closed AND size(filter(lines, s -> (s.y1 > py) != (s.y2 > py) AND px < s.x1 + (py - s.y1) / (CASE WHEN s.y2 = s.y1 THEN 1e0 ELSE s.y2 - s.y1 END) * (s.x2 - s.x1))) % 2 = 1 THEN 0e0
-            ELSE array_min(transform(transform(lines, s -> named_struct('s', s, 't', least(1e0, greatest(0e0, ((px - s.x1) * (s.x2 - s.x1) + (py - s.y1) * (s.y2 - s.y1))
-                / (CASE WHEN s.x2 = s.x1 AND s.y2 = s.y1 THEN 1e0 ELSE (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) END))))),
-                v -> hypot(px - (v.s.x1 + v.t * (v.s.x2 - v.s.x1)), py - (v.s.y1 + v.t * (v.s.y2 - v.s.y1))))) END""",
-        f"st_distance(a {GEOMETRY}, b {GEOMETRY}) RETURNS DOUBLE RETURN __st_to_lines(a.rings[0][0].x, a.rings[0][0].y, __st_lines(b), b.kind = 'POLYGON')",
+        f"__st_projected(wkt STRING) RETURNS array<{segment}> RETURN {f'CASE wkt {chosen} ELSE {read} END' if lines else read}",
+        f"__st_x(g {SHAPE}) RETURNS DOUBLE RETURN CASE WHEN g.wkt IS NULL THEN g.x ELSE {number(1)} END",
+        f"__st_y(g {SHAPE}) RETURNS DOUBLE RETURN CASE WHEN g.wkt IS NULL THEN g.y ELSE {number(2)} END",
+        f"""__st_at(x DOUBLE, y DOUBLE, srid STRING) RETURNS struct<x:double,y:double> RETURN CASE WHEN srid = '' THEN named_struct('x', x, 'y', y) ELSE named_struct('x', {east(lon)}, 'y', {north(lat)}) END""",
+        # the operands are bound once, as the element of an array, so the segments' loop does not compute them again
+        f"""st_distance(a {SHAPE}, b {SHAPE}) RETURNS DOUBLE RETURN transform(array(named_struct('p', __st_at(__st_x(a), __st_y(a), a.srid), 'closed', b.wkt RLIKE '(?i)^\\\\s*POLYGON', 'lines',
+            CASE WHEN b.wkt IS NULL THEN transform(array(__st_at(b.x, b.y, b.srid)), e -> named_struct('x1', e.x, 'y1', e.y, 'x2', e.x, 'y2', e.y)) WHEN b.srid = '' THEN __st_lines(__st_rings(b.wkt)) ELSE __st_projected(b.wkt) END)),
+            q -> CASE WHEN q.closed AND size(filter(q.lines, s -> (s.y1 > q.p.y) != (s.y2 > q.p.y) AND q.p.x < s.x1 + (q.p.y - s.y1) / (CASE WHEN s.y2 = s.y1 THEN 1e0 ELSE s.y2 - s.y1 END) * (s.x2 - s.x1))) % 2 = 1 THEN 0e0
+            ELSE array_min(transform(q.lines, s -> array_max(transform(array(least(1e0, greatest(0e0, ((q.p.x - s.x1) * (s.x2 - s.x1) + (q.p.y - s.y1) * (s.y2 - s.y1))
+                / (CASE WHEN s.x2 = s.x1 AND s.y2 = s.y1 THEN 1e0 ELSE (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) END)))),
+                t -> hypot(q.p.x - (s.x1 + t * (s.x2 - s.x1)), q.p.y - (s.y1 + t * (s.y2 - s.y1))))))) END)[0]""",
     )
     for d in definitions:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {d}")

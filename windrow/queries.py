@@ -99,6 +99,7 @@ def hazard_sql(axis_order: str) -> str:
     mx = lambda v: f"6378137e0 * radians({v})"
     my = lambda v: f"6378137e0 * ln(tan(0.7853981633974483e0 + radians({v}) / 2))"
     x0, x1, y0, y1 = ("y0", "y1", "x0", "x1") if axis_order == "authority" else ("x0", "x1", "y0", "y1")
+    # Names, bounds and thresholds of the zones.
     return f"""{inclusive_sql(HOUR)}, z(zone_name, x0, x1, y0, y1, threshold_nm) AS (VALUES ('Subsea Pipeline Corridor Kattegat', 10.0e0, 10.5e0, 57.0e0, 57.5e0, 2e0),
     ('Offshore Wind Exclusion North Sea', 7.5e0, 8.0e0, 55.5e0, 56.0e0, 2e0), ('Restricted Zone Skagerrak', 10.5e0, 11.0e0, 58.0e0, 58.5e0, 2e0), ('Military Exercise Area Bornholm', 15.5e0, 16.0e0, 55.5e0, 56.0e0, 3e0)),
     pr AS (SELECT win.*, z.zone_name, z.threshold_nm, sqrt(power(greatest({mx('z.' + x0)} - {mx(lon)}, 0, {mx(lon)} - {mx('z.' + x1)}), 2) + power(greatest({my('z.' + y0)} - {my(lat)}, 0, {my(lat)} - {my('z.' + y1)}), 2)) / 1852e0 AS d FROM win, z),
@@ -285,7 +286,7 @@ for _name, (_query, _oracle) in LIFTED.items():
 
 @query(f"WITH {hazard_sql('xy').replace(str(HOUR), str(DAY))} SELECT window_start, window_end, event_id, zone_name, distance_nm FROM haz")
 def lifted_spatial_sql(spark, sf_dir):
-    register(spark, "xy")
+    register(spark, "xy", zone_texts(spark))
     return lifted_query(
         spark,
         sf_dir,
@@ -295,6 +296,24 @@ def lifted_spatial_sql(spark, sf_dir):
     )
 
 
+def zone_texts(spark):
+    return [r.geom_wkt for r in plans.zones(spark).collect()]
+
+
+# Fixed value: the active query of the example configuration, word for word.
+HAZARD_QUERY = "SELECT v.MMSI AS mmsi, v.Name AS name, v.SOG AS sog, v.NavigationalStatus AS navigationalStatus, v.Timestamp AS timestamp, z.zone_name, z.threshold_nm, ROUND(ST_Distance(ST_Transform(ST_Point(v.Longitude, v.Latitude), 'EPSG:4326', 'EPSG:3857'), ST_Transform(ST_GeomFromText(z.geom_wkt), 'EPSG:4326', 'EPSG:3857')) / 1852.0, 2) AS distance_nm FROM events v CROSS JOIN zones z WHERE v.Latitude IS NOT NULL AND ST_Distance(ST_Transform(ST_Point(v.Longitude, v.Latitude), 'EPSG:4326', 'EPSG:3857'), ST_Transform(ST_GeomFromText(z.geom_wkt), 'EPSG:4326', 'EPSG:3857')) / 1852.0 < z.threshold_nm ORDER BY distance_nm"
+
+
+@query(f"""WITH {hazard_sql('authority').replace(str(HOUR), str(DAY))} SELECT window_start, window_end, mmsi, name, sog, nav_status AS "navigationalStatus", CAST(sec AS VARCHAR) AS timestamp,
+    zone_name, threshold_nm, round(d, 2) AS distance_nm FROM pr WHERE d < threshold_nm""")
+def configured_hazard_query(spark, sf_dir):
+    register(spark, "authority", zone_texts(spark))
+    names = {"mmsi": "MMSI", "name": "Name", "sog": "SOG", "nav_status": "NavigationalStatus", "lat": "Latitude", "lon": "Longitude"}
+    windowed = win.anchored_inclusive(valid_positions(spark, sf_dir), DAY)
+    events = windowed.select("window_start", "window_end", *(F.col(a).alias(b) for a, b in names.items()), F.col("sec").cast("string").alias("Timestamp"))
+    return lifted(spark, events, HAZARD_QUERY, {"zones": plans.zones(spark)})
+
+
 @query(f"WITH {inclusive_sql(DAY)} SELECT window_start, window_end, mmsi AS id, max(lat) AS north FROM win GROUP BY ALL")
 def generic_template(spark, sf_dir):
     columns = {c.name: c for c in (ColumnSpec("mmsi", "MMSI"), ColumnSpec("lat", "Latitude", "DOUBLE"), ColumnSpec("lon", "Longitude", "DOUBLE"))}

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from windrow.config import Config, QuerySpec, SourceSpec
 from windrow.functions.alerts import print_alerts
+from windrow.functions.spatial import register
 from windrow.operators import windows as win
 from windrow.operators.sinks import KEYS, result_rows, write_batch
 from windrow.plans.lift import lifted
@@ -247,11 +248,14 @@ class WindowRunner:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_config(spark: SparkSession, config: Config, messages: DataFrame, results: str, state: str, **trigger) -> dict[str, StreamingQuery | Exception]:
+def run_config(spark: SparkSession, config: Config, messages: DataFrame, results: str, state: str, axis_order: str = "authority", **trigger) -> dict[str, StreamingQuery | Exception]:
     """Every query of a configuration over one stream, each with its own cursor; failures stay with their query.
 
-    Queries that the configuration rejected, or that cannot start, stand there with their error.
+    Queries that the configuration rejected, or that cannot start, stand there with their error. The session gets the
+    spatial functions, which know the polygons of the reference tables.
     """
+    rows = (r for s in config.sources.values() for t in s.reference_tables.values() for r in t.rows)
+    register(spark, axis_order, [v for r in rows for v in r.values() if isinstance(v, str)])
     out: dict[str, StreamingQuery | Exception] = {name: ValueError(why) for name, why in config.rejected.items()}
     for q in config.queries:
         try:
