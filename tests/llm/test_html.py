@@ -1,6 +1,7 @@
 import html as entities
 import os
 import re
+import time
 
 import pytest
 
@@ -39,6 +40,27 @@ def test_broken_and_deep_pages():
         html.extract(text)
 
 
+@pytest.mark.parametrize("part", ["<div>some text, ", "<div>x</div>", "<a href=\"x>t ", "<a b=\">\"", "<a \"'", "<a ", "<a '", "<![CDATA[", "<b>", "</b>", "<p>", "<td><table>", "<li><div>"])
+def test_time_is_linear_in_the_length(part):
+    def seconds(n):
+        start = time.process_time()
+        html.extract(part * n + "<li>x</li><td>y</td>" * (n // 4) + "\">\"")
+        return time.process_time() - start
+
+    seconds(200)
+    assert seconds(20_000) < 4.0
+
+
+@pytest.mark.parametrize("block,text", [('<h2 id="related">Related work</h2>', "Related work"), ('<p id="comments">On comments</p>', "On comments"), ('<p class="side">Aside</p>', "Aside"), ('<div class="tags">Tagged</div>', "Tagged"), ('<section id="related-work"><p>Prior</p></section>', "Prior")])
+def test_named_blocks_inside_the_article_stay(block, text):
+    assert html.extract(page(f"<article><p>{LONG}</p>{block}<p>{LONG}</p></article>")) == f"{LONG}\n{text}\n{LONG}"
+
+
+@pytest.mark.parametrize("block", ['<div class="comments"><p>Nice, very nice</p></div>', '<section id="comments">no</section>', '<div class="ad">no</div>', '<p class="cookie-notice">no</p>', '<div class="newsletter">no</div>', "<form>no</form>", '<ul class="menu"><li>no</ul>'])
+def test_notices_adverts_and_comments_inside_the_article_go(block):
+    assert html.extract(page(f"<article><p>{LONG}</p>{block}<p>{LONG}</p></article>")) == f"{LONG}\n{LONG}"
+
+
 def test_rows(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", page(f"<p>{LONG}</p>")), (3, "u", page(f"<p>{LONG}</p>")), (None, "v", "<p>x</p>"), (4, "w", "<article>" + f"<p>{LONG}</p>" * 5000 + "</article>")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -9,6 +9,7 @@ that score well are kept, and their text is emitted block by block.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,131 +27,176 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 CLOSES_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 #: An implied end tag is not looked for beyond these.
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|share|sharing|social|"
-    r"sidebar|side|rail|menu|nav\w*|breadcrumbs?|pagination|pager|masthead|header|footer|foot|copyright|related|recommend\w*|comments?|disqus|replies|reply|discussion|widget|toolbar|login|search|skip|hidden|tags?)(?:$|[\s_-])",
-    re.I,
-)
+WORDS_OF = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
+#: Names of what is never part of an article: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
+APART = "ads?|advert\\w*|sponsor\\w*|promo\\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|share|sharing|social|sidebar|menu|nav\\w*|breadcrumbs?|pagination|pager|masthead|header|footer|copyright|comments?|disqus|replies|discussion|widget|toolbar|login"
+UNLIKELY = re.compile(WORDS_OF.format(APART), re.I)
+#: Names that tell a container around an article from one inside it only by where it stands.
+AROUND = re.compile(WORDS_OF.format("side|rail|foot|related|recommend\\w*|reply|search|skip|hidden|tags?"), re.I)
+#: Names of paragraphs and phrases that are adverts or notices, where the class says so.
+SMALL = re.compile(WORDS_OF.format("ads?|advert\\w*|sponsor\\w*|promo\\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|paywall|share|sharing|social|breadcrumbs?|copyright|comments?"), re.I)
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|story|entry|body|text)(?:$|[\s_-])", re.I)
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+CONTAINERS = frozenset("div section ul ol dl table tbody details center fieldset figure address header hgroup body".split())
+PHRASES = (BLOCKS | {"span", "a"}) - CONTAINERS
+CONTENT = re.compile(WORDS_OF.format("article|content|main|post|story|entry|body|text"), re.I)
+FOREIGN = re.compile(r"comment|advert|related|sidebar", re.I)
+NOT_ARTICLE = re.compile(WORDS_OF.format("comments?|ads?|advert\\w*|related|promo\\w*"), re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+PLAIN = re.compile(r"[^>\"']++")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 COMMAS = re.compile(r"[,،、，;]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "kind", "points")
+    """An element. kind: -1 never content, 1 named as content, 0 neither. within: whether it stands in an article.
+
+    size, lead, trail, told, links and commas describe the visible text below: its characters, its white space at either
+    end, its characters without the ends of its pieces, those of them in links, and its commas (see measure).
+    """
+
+    __slots__ = ("tag", "parent", "children", "depth", "within", "kind", "points", "size", "lead", "trail", "told", "links", "commas", "own")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
-        self.kind = judged(tag, attributes)
+        self.depth = parent.depth + 1 if parent else 0
+        self.within = parent is not None and (parent.within or parent.tag == "article" or (parent.kind > 0 and parent.tag in ("div", "section")))
+        self.kind = judged(tag, attributes, self.within)
 
+    @property
+    def length(self) -> int:
+        return max(0, self.size - self.lead - self.trail)
 
-def judged(tag: str, attributes: str) -> int:
-    """-1: never content, 1: named as content, 0: neither."""
+
+def judged(tag: str, attributes: str, within: bool = False) -> int:
+    """An element's kind by its tag, role and names."""
     if tag in NEVER:
         return -1
     if not attributes or tag in ("html", "body"):
         return 1 if tag in ("article", "main") else 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+    if "hidden" in found or found.get("aria-hidden", "") == "true" or INVISIBLE.search(found.get("style", "")):
         return -1
     if found.get("role", "").lower() in UNLIKELY_ROLES:
         return -1
-    names = unescape(f"{found.get('class', '')} {found.get('id', '')}")
+    style = unescape(found.get("class", ""))
+    names = f"{style} {unescape(found.get('id', ''))}"
     if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article"):
-        return -1 if re.search(r"(?:^|[\s_-])(?:comments?|ads?|advert\w*|related|promo\w*)(?:$|[\s_-])", names, re.I) else 1
-    if tag in BLOCKS or tag in ("span", "a"):
-        if UNLIKELY.search(names) and not (tag in ("section", "div") and CONTENT.search(names) and not re.search(r"comment|advert|related|sidebar", names, re.I)):
+        return -1 if NOT_ARTICLE.search(names) else 1
+    if tag in CONTAINERS:
+        apart = UNLIKELY.search(names) or (not within and AROUND.search(names))
+        if apart and not (tag in ("section", "div") and CONTENT.search(names) and not FOREIGN.search(names)):
             return -1
+    elif tag in PHRASES and SMALL.search(style):
+        return -1
     return 1 if CONTENT.search(names) else 0
 
 
+class Tags:
+    """The tags of a page from left to right, in time linear in its length whatever it leaves open."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {mark: html.rfind(mark) for mark in (">", '"', "'", "]]>")}
+        self.dead: set[int] = set()  # quotes from which no end of the tag follows
+        self.run = 0, 0  # a run without quotes or ends of tags, and what follows it
+
+    def close(self, at: int) -> int:
+        """Where the tag whose attributes begin at `at` ends; without regard to quotes if they leave it open; or -1."""
+        html, pos, passed = self.html, at, []
+        while self.last[">"] >= pos:
+            if not self.run[0] <= pos <= self.run[1]:
+                m = PLAIN.match(html, pos)
+                self.run = pos, m.end() if m else pos
+            pos = self.run[1]
+            if html[pos : pos + 1] == ">":
+                return pos
+            passed.append(pos)
+            if pos in self.dead or pos >= len(html) or self.last[html[pos]] <= pos:
+                break
+            pos = html.index(html[pos], pos + 1) + 1
+        self.dead.update(passed)
+        return html.find(">", at) if self.last[">"] >= at else -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, kind, name, attributes) of the first markup from `at` on; kind: open, close, text or none."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, len(html) if end < 0 else end + 3, "none", "", ""
+            if html.startswith("<![CDATA[", start) and self.last["]]>"] >= start + 9:
+                end = html.index("]]>", start + 9)
+                return start, end + 3, "text", html[start + 9 : end].replace("&", "&amp;"), ""
+            closing = html.startswith("/", start + 1)
+            name = NAME.match(html, start + 1 + closing)
+            if name and (end := self.close(name.end())) >= 0:
+                return start, end + 1, "close" if closing else "open", name[0].lower(), html[name.end() : end]
+            if html[start + 1 : start + 2] in ("!", "?", "/") and self.last[">"] > start + 1:
+                return start, html.index(">", start + 2) + 1, "none", "", ""
+            at = start + 1
+        return None
+
+
 def parse(html: str) -> Node:
-    """The page's tree. Missing end tags are implied as browsers imply them for paragraphs, lists and tables."""
+    """The page's tree. Missing end tags are implied as browsers imply them for paragraphs, lists and tables.
+
+    For every tag the open elements stand on a stack of their own, so no search passes over the depth of the tree.
+    """
     root = Node("html", None)
-    at, node, end = 0, root, len(html)
+    tags, at, node, end = Tags(html), 0, root, len(html)
+    open_: dict[str, list[Node]] = {"html": [root]}
+
+    def up_to(target: Node) -> Node:
+        """Close all that is open below target, and target."""
+        x = node
+        while True:
+            open_[x.tag].pop()
+            if x is target:
+                return x.parent
+            x = x.parent
+
     while at < end:
-        m = TAG.search(html, at)
+        m = tags.next(at)
         if m is None:
             node.children.append(html[at:])
             break
-        if m.start() > at:
-            node.children.append(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            node.children.append(m[1].replace("&", "&amp;"))
-            continue
-        closing, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            continue
-        if tag == "br":
-            node.children.append(" ")
-            continue
-        if tag == "html" or (tag == "body" and inside(node, "body")):
-            continue
-        if tag in BLOCKS and inside_before(node, "p", BLOCKS):
-            while node.tag != "p":
-                node = node.parent
-            node = node.parent
-        if tag in CLOSES_OWN:
-            up = node
-            while up is not None and up.tag not in WALLS[tag]:
-                if up.tag in CLOSES_OWN[tag]:
-                    node = up.parent
-                up = up.parent
-        child = Node(tag, node, attributes)
-        node.children.append(child)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/"):
-            node = child
+        start, after, kind, tag, attributes = m
+        if start > at:
+            node.children.append(html[at:start])
+        at = after
+        if kind == "text":
+            node.children.append(tag)
+        elif kind == "close":
+            if open_.get(tag) and open_[tag][-1].parent is not None:
+                node = up_to(open_[tag][-1])
+        elif kind == "open":
+            if tag == "br":
+                node.children.append(" ")
+                continue
+            if tag == "html" or (tag == "body" and open_.get("body")):
+                continue
+            if tag in BLOCKS and open_.get("p"):
+                node = up_to(open_["p"][0])
+            if tag in CLOSES_OWN:
+                wall = max((open_[w][-1].depth for w in WALLS[tag] if open_.get(w)), default=-1)
+                below = [x[i] for t in CLOSES_OWN[tag] if (x := open_.get(t)) and (i := bisect_right(x, wall, key=lambda n: n.depth)) < len(x)]
+                if below:
+                    node = up_to(min(below, key=lambda n: n.depth))
+            child = Node(tag, node, attributes)
+            node.children.append(child)
+            if tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                at = close.end() if close else end
+            elif tag not in VOID and not attributes.endswith("/"):
+                open_.setdefault(tag, []).append(child)
+                node = child
     return root
 
 
-def inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def inside_before(node: Node | None, tag: str, walls: frozenset) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        if node.tag in walls:
-            return False
-        node = node.parent
-    return False
-
-
-def text_of(node: Node, linked: bool = False) -> tuple[str, int]:
-    """Visible text below a node, and how many of its characters stand in links. Iterative: trees may be deep."""
-    parts, links = [], 0
-    stack = [(node, linked)]
-    while stack:
-        x, in_link = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-            links += len(x.strip()) * in_link
-        elif x.kind >= 0 or x is node:
-            stack.extend((c, in_link or x.tag == "a") for c in reversed(x.children))
-    return "".join(parts), links
-
-
 def walk(root: Node) -> Iterator[Node]:
+    """All elements that may be content, in page order."""
     stack = [root]
     while stack:
         x = stack.pop()
@@ -159,19 +205,44 @@ def walk(root: Node) -> Iterator[Node]:
             stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
 
 
-def score_tree(root: Node) -> list[Node]:
+def measure(root: Node) -> list[Node]:
+    """The elements that may be content, in page order, each with the figures of the visible text below it.
+
+    Every element hands its figures up once, children before parents, so the tree's depth costs nothing.
+    """
+    found = list(walk(root))
+    for node in reversed(found):
+        size = lead = trail = told = links = commas = own = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n, bare = len(c), len(c.strip())
+                before = n - len(c.lstrip()) if bare else n
+                more = (n, before, n - before - bare, bare, 0, len(COMMAS.findall(c)))
+                own = own or bare
+            elif c.kind >= 0:
+                more = (c.size, c.lead, c.trail, c.told, c.links, c.commas)
+            else:
+                continue
+            n, before, behind, bare, linked, points = more
+            if lead == size:  # white space only so far
+                lead, trail = lead + before, behind
+            else:
+                trail = trail + n if before == n else behind
+            size, told, links, commas = size + n, told + bare, links + linked, commas + points
+        node.size, node.lead, node.trail, node.told, node.commas, node.own = size, lead, trail, told, commas, own
+        node.links = told if node.tag == "a" else links
+    return found
+
+
+def score_tree(found: list[Node]) -> list[Node]:
     """Paragraphs pass their points up; the scored containers in page order."""
     scored: dict[int, Node] = {}
-    for node in walk(root):
-        own = [c for c in node.children if isinstance(c, str) and not c.isspace()]
-        leaf = node.tag in PARAGRAPHS or (node.tag in ("div", "section", "article", "main") and own)
-        if not leaf:
+    for node in found:
+        leaf = node.tag in PARAGRAPHS or (node.tag in ("div", "section", "article", "main") and node.own)
+        length = node.length
+        if not leaf or not length:
             continue
-        text, links = text_of(node)
-        length = len(text.strip())
-        if not length:
-            continue
-        points = (1 + len(COMMAS.findall(text)) + min(length / 100, 3)) * (1 - min(1.0, links / length))
+        points = (1 + node.commas + min(length / 100, 3)) * (1 - min(1.0, node.links / length))
         up = node.parent if node.tag in PARAGRAPHS else node
         for level, share in enumerate((1.0, 0.5, 1 / 6, 1 / 9)):
             if up is None:
@@ -185,16 +256,15 @@ def score_tree(root: Node) -> list[Node]:
 
 
 def density(node: Node) -> float:
-    text, links = text_of(node)
-    return links / max(1, len(text.strip()))
+    return node.links / max(1, node.length)
 
 
 def main_nodes(root: Node) -> list[Node]:
     """The best container, the article around it if it has one, and well-scored siblings, in page order."""
-    scored = score_tree(root)
-    best = max(scored, key=lambda x: x.points * (1 - density(x)), default=None)
+    found = measure(root)
+    best = max(score_tree(found), key=lambda x: x.points * (1 - density(x)), default=None)
     if best is None:
-        named = [x for x in walk(root) if x.kind > 0 and text_of(x)[0].strip()]
+        named = [x for x in found if x.kind > 0 and x.length]
         return named[:1]
     up = best
     while up.parent is not None:
@@ -209,9 +279,7 @@ def main_nodes(root: Node) -> list[Node]:
         if c is best:
             kept.append(c)
         elif not isinstance(c, str) and c.kind >= 0 and best.tag != "main":
-            text, links = text_of(c)
-            length = len(text.strip())
-            if c.points * (1 - links / max(1, length)) >= least or (c.tag == "p" and length > 80 and links / length < 0.25):
+            if c.points * (1 - density(c)) >= least or (c.tag == "p" and c.length > 80 and density(c) < 0.25):
                 kept.append(c)
     return kept
 
@@ -229,7 +297,7 @@ def blocks(node: Node) -> Iterator[str]:
                 yield block
         elif isinstance(x, str):
             pending.append(x)
-        elif x is node or (x.kind >= 0 and (x.tag != "header" or in_article(x))):
+        elif x is node or (x.kind >= 0 and (x.tag != "header" or x.within)):
             around = [None] if x.tag in BLOCKS else []
             stack.extend(around + list(reversed(x.children)) + around)
     block = " ".join(unescape("".join(pending)).split())
@@ -237,11 +305,6 @@ def blocks(node: Node) -> Iterator[str]:
         yield block
 
 
-def in_article(header: Node) -> bool:
-    """Whether a header element belongs to an article (its title) and not to the page."""
-    return inside(header.parent, "article")
-
-
 def extract(html: str) -> str:
     return "\n".join(b for node in main_nodes(parse(html)) for b in blocks(node)) if html else ""
 
@@ -249,8 +312,9 @@ def extract(html: str) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
-    Null or empty html gives an empty text. Repeated rows give repeated rows; other columns are not read. Pages are read
-    whole, where they are: nothing is shuffled.
+    Null or empty html gives an empty text. Repeated rows give repeated rows; other columns are not read; an empty table
+    gives no rows. Pages are read whole, where they are: nothing is shuffled; the time a page takes is linear in its
+    length.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
