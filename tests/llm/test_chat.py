@@ -62,3 +62,24 @@ def test_a_long_conversation_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {r.conv_id: r.texts for r in made} == {c: [f"t{k}" for k in range(c * 400, c * 400 + 400)] for c in range(3)}
+
+
+def test_shared_beginnings():
+    import random
+    from os.path import commonprefix
+
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 300))) for _ in range(2))
+        head = a[: rng.randint(0, len(a))]
+        for x, y in ((a, b), (a, head + b), (head, a), (a, a)):
+            assert chat.shared(x, y) == len(commonprefix([x, y]))
+
+
+def test_a_long_conversation_takes_seconds():
+    import time
+
+    turns = [("user" if i % 2 else "assistant", f"{i} " + "word <x> " * 55) for i in range(1600)]
+    start = time.process_time()
+    got = chat.render(chat.turn_template, turns)
+    assert time.process_time() - start < 12 and len(got.spans) == 1600 and len(got.masks) == 800

@@ -6,7 +6,8 @@ is the new turn's span; where it does not, the template rewrites history. Inside
 the same prefix with two probe texts: what both have before and after their difference is header and footer. For a
 template that rewrites history the probes are put into the whole conversation, so the spans hold for the final output.
 
-Rendering all prefixes costs the square of one conversation's length; a task holds one conversation at a time.
+Rendering all prefixes writes the square of one conversation's length, as any black box must be asked anew for every
+prefix; the comparisons begin where the prefix before ended. A task holds one conversation at a time.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,17 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1", text)
 
 
+def marked(role: str, text: str) -> str:
+    return f"<turn>### {escape(role, ROLE_CONTROL)}: {escape(text)}</turn>\n"
+
+
+#: Short turns as they were marked in the prefix before.
+remembered = lru_cache(maxsize=4096)(marked)
+
+
 def turn_template(turns: list[Turn]) -> str:
     """The default template: marked turns; control strings inside texts and roles are escaped with a backslash."""
-    return "".join(f"<turn>### {escape(role, ROLE_CONTROL)}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join([remembered(*turn) if len(turn[1]) <= 2000 else marked(*turn) for turn in turns])
 
 
 def parse_turns(formatted: str) -> list[Turn]:
@@ -67,11 +76,28 @@ class Rendering:
     rewrites: list[int]  # turns whose coming changed what was rendered before
 
 
-def between(a: str, b: str) -> tuple[int, int]:
-    """Lengths of what two renderings of the same turns with different one-letter probes share before and after them."""
-    head = len(commonprefix([a, b]))
-    tail = len(commonprefix([a[head:][::-1], b[head:][::-1]]))
-    return head, tail
+def shared(a: str, b: str, start: int = 0) -> int:
+    """Length of what both begin with, if they are the same before `start`: slices are compared, longer ones while they
+    agree and shorter ones where they do not."""
+    at, step, end = start, 64, min(len(a), len(b))
+    while at < end:
+        stop = min(end, at + step)
+        if a[at:stop] == b[at:stop]:
+            at, step = stop, 2 * step
+        elif stop - at == 1:
+            break
+        else:
+            step = (stop - at) // 2
+    return at
+
+
+def between(a: str, b: str, known: str = "") -> tuple[int, int]:
+    """Lengths of what two renderings of the same turns with different one-letter probes share before and after them.
+
+    known: what both are likely to begin with.
+    """
+    head = shared(a, b, len(known) if a.startswith(known) and b.startswith(known) else 0)
+    return head, shared(a[head:][::-1], b[head:][::-1])
 
 
 def render(template: Template, turns: list[Turn], learnt: Callable[[str], bool] = lambda role: role == "assistant") -> Rendering:
@@ -83,9 +109,9 @@ def render(template: Template, turns: list[Turn], learnt: Callable[[str], bool]
             spans.append((len(outputs), len(longer)))
         else:
             rewrites.append(k)
-            spans.append((len(commonprefix([outputs, longer])), len(longer)))
+            spans.append((shared(outputs, longer), len(longer)))
         if learnt(role):
-            head, tail = between(template([*turns[:k], (role, "a")]), template([*turns[:k], (role, "b")]))
+            head, tail = between(template([*turns[:k], (role, "a")]), template([*turns[:k], (role, "b")]), outputs)
             masks.append((head, len(longer) - tail))
         outputs = longer
     if rewrites:
