@@ -1,3 +1,4 @@
+import itertools
 import os
 import random
 import zlib
@@ -64,25 +65,81 @@ def test_toxicity_learns_stems_and_scores_clauses(spark):
     "text,want",
     [
         ("stone", []),
-        ("dolt", [(0, "insult", 2)]),
-        ("you are a dolt", [(0, "insult at target", 2)]),
-        ("dolt, he said you", [(0, "insult", 2), (0, "insult at target", 2)]),
-        ("you are not a dolt", [(0, "negated insult", 2)]),
-        ("she said: dolts", [(1, "insult", 2)]),
-        ("she said dolts", [(0, "reported insult", 2)]),
-        ("they will kill you", [(0, "threat at target", 0), (0, "threat at target", 0)][:1]),
-        ("they said they never kill", [(0, "negated or reported threat", 0)]),
-        ("you. dolt", [(1, "insult", 2)]),
+        ("dolt", ["strong insult"]),
+        ("you are a dolt", ["strong insult, at target"]),
+        ("dolt, he said you", ["strong insult", "at target"]),
+        ("you are not a dolt", ["strong insult, at target, negated"]),
+        ("not one two three four dolt", ["strong insult"]),
+        ("she said: dolts", ["strong insult"]),
+        ("she said dolts", ["strong insult, at target, reported"]),
+        ("they will kill you", ["threat"]),
+        ("never said they kill", ["threat, negated, reported"]),
+        ("not kill you", ["threat, negated"]),
+        ("you. dolt", ["strong insult"]),
+        ("you dolt dolt", ["strong insult, at target", "strong insult, at target"]),
     ],
 )
 def test_grammar(text, want):
-    assert toxicity.Reader(toxicity.Grammar({"dolt": 2}, (), 0.0)).readings(text)[: len(want) or 9] == want
+    found = toxicity.Reader(toxicity.Grammar({"dolt": 2}, (), 0.0)).readings(text)
+    assert [", ".join(toxicity.MARKS[m] for m in marks) for _, marks in found] == want
+
+
+def test_the_composed_machine_marks_the_paths_of_its_parts():
+    """All class sequences of up to five words: the composed machine against the parts, one reading the other's output."""
+    parts, machine = toxicity.components(), toxicity.grammar()
+    assert 40 < len({state for state, _ in machine.arcs}) < 400
+    kinds = (toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.THREAT, toxicity.INSULT, toxicity.INSULT + 2)
+    after, marks = toxicity.tables()
+    for n in range(6):
+        for sequence in itertools.product(kinds, repeat=n):
+            symbols, want = [(k,) for k in sequence], []
+            for part in parts:
+                symbols, more = part.run(symbols)
+                want += more
+            state, got = 0, []
+            for k in sequence:
+                got += [toxicity.MARKS[m] for m in marks[state][k]]
+                state = after[state][k]
+            assert sorted(got) == sorted(want) == sorted(machine.run((k,) for k in sequence)[1])
+
+
+def test_arc_weights_add_up():
+    model = toxicity.Grammar({}, (0.5, 1.0, 4.0, 1.0, -2.0, -1.0, 3.0), 0.0)
+    weights, (after, _) = model.arc_weights(), toxicity.tables()
+
+    def weight(*kinds):
+        state, total = 0, 0.0
+        for k in kinds:
+            total, state = total + weights[state][k], after[state][k]
+        return total
+
+    strong = toxicity.INSULT + 2
+    assert (weight(strong), weight(toxicity.TARGET, strong), weight(toxicity.NEGATION, strong), weight(toxicity.TARGET, toxicity.NEGATION, strong), weight(toxicity.REPORT, strong)) == (4.0, 5.0, 2.0, 3.0, 3.0)
+
+
+def test_clauses_and_not_words_decide(spark):
+    """Toxic documents insult; clean ones say the same words negated or reported. Words alone cannot tell them apart."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(1500):
+        filler = lambda n: " ".join(rng.choice("the of river stone cloud walk under light".split()) for _ in range(n))
+        kind = rng.choice(["toxic"] * 6 + ["negated", "reported"] + ["none"] * 12)
+        said = {"toxic": "you are a dolt", "negated": "you are not a dolt", "reported": "the man said dolt", "none": "you are a stone"}[kind]
+        docs.append((i, f"{filler(12)}. {said}. {filler(12)}."))
+        labels.append((i, int(kind == "toxic")))
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(d, y)
+    right = lambda m: np.mean([r.predicted == dict(labels)[r.doc_id] for r in toxicity.score(d, m).collect() if r.held_out])
+    words = toxicity.Grammar(model.lexicon, (*model.weights[:3], 0.0, 0.0, 0.0, 0.0), model.bias)
+    assert model.weights[4] < 0 and model.weights[5] < 0
+    assert right(model) > 0.97 and right(model) - right(words) > 0.05
 
 
 def test_whole_words_of_any_length_are_read():
     reader = toxicity.Reader(toxicity.Grammar({"donaudampfschiffsdolt$": 2, "donaudampfsc": 0, "dolt$": 1}, (), 0.0))
-    read = {w: reader.classify(w) for w in ("Donaudampfschiffsdolt", "donaudampfschiffe", "dolt", "dolts", "do")}
-    assert read == {"Donaudampfschiffsdolt": (toxicity.INSULT, 2), "donaudampfschiffe": (toxicity.INSULT, 0), "dolt": (toxicity.INSULT, 1), "dolts": (toxicity.OTHER, 0), "do": (toxicity.OTHER, 0)}
+    read = {w: reader.classify(w) for w in ("Donaudampfschiffsdolt", "donaudampfschiffe", "dolt", "dolts", "do", "You", "...")}
+    i = toxicity.INSULT
+    assert read == {"Donaudampfschiffsdolt": i + 2, "donaudampfschiffe": i, "dolt": i + 1, "dolts": toxicity.OTHER, "do": toxicity.OTHER, "You": toxicity.TARGET, "...": toxicity.STOP}
 
 
 def test_odd_rows(spark, clashing, none):

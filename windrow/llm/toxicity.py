@@ -1,21 +1,25 @@
 """Toxicity as a weighted finite-state pattern grammar over clauses.
 
-Small transducers over word classes are composed into one grammar: insult, threat, target, negation and reported speech.
-The lexicon transducers read a word letter by letter (longest entry that is a prefix of the word wins, so inflected and
-compounded forms are read by their stem). Fixed function words give targets, negations, threats and reporting verbs;
-insult entries and their weights, and the weights of the grammar's readings, are learnt from labelled documents.
-A clause (a stretch of words between stops, or a table cell) is run through the composed machine; what is scored are
-its matched readings - a bare insult, an insult at a target, a threat at a target, each with negated and reported
-variants - and not the isolated words. A document's score is the logistic function of its clauses' readings.
+A lexicon transducer reads every word letter by letter (the longest entry that is a prefix of the word wins, so inflected
+and compounded forms are read by their stem) and gives its class: an insult of some strength, a threat, a target, a
+negation, a reporting verb. Five small transducers over these classes - negation and report with their scope in words,
+target, insult, threat - are composed into one machine. Their arcs carry marks, and composing adds them up: an insult in
+the scope of a negation is marked as insult and as negated. Every mark has a weight, so every arc of the composed machine
+has one, and a clause (a stretch of words between stops, or a table cell) weighs what its path weighs: a negation or a
+report lowers it, a target raises it. A document's score is the logistic function of its clauses' marks, of which
+repetitions count less and less.
+
+Fixed function words give targets, negations, threats and reporting verbs. The insult entries with their strengths, and
+the weights of the marks, are learnt from labelled documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,6 @@ from windrow.llm.common import batches, held_out, materialised, strings, table,
 TRAINING_ROWS = 16_384
 #: Bound on the learnt lexicon's entries.
 LEXICON_ROWS = 2_000
-SHARDS = 16
 REMEMBERED = 60_000
 STEM = (3, 12)
 
@@ -39,132 +42,212 @@ NEGATIONS = "not no never nobody none neither nor cannot isn't aren't wasn't don
 THREATS = "kill hurt destroy burn hunt shoot stab beat crush tuer frapper détruire brûler töten schlagen zerstören verbrennen matar golpear destruir quemar".split()
 REPORTING = "said says say told tells wrote writes claimed claims reported quoted alleged called dit disait déclaré écrit sagte sagt schrieb behauptet dijo dice escribió afirmó".split()
 
-TARGET, NEGATION, THREAT, REPORT, INSULT, STOP, OTHER = range(7)
-READINGS = ("insult", "insult at target", "negated insult", "reported insult", "threat at target", "negated or reported threat")
+OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)  # INSULT + strength for an insult of that strength
+STRENGTHS = 3
+CLASSES = INSULT + STRENGTHS
+STOP = -1
+#: What arcs are marked with: insults by strength, their target, negation and report, and threats at a target.
+MARKS = ("weak insult", "insult", "strong insult", "at target", "negated", "reported", "threat")
+#: Where the weights of marks lie without evidence, how strongly they are held there, and their bounds: whatever
+#: the sample says, a target raises a clause's weight, a negation or a report lowers it.
+PRIOR = (0.0, 0.0, 0.0, 0.5, -2.0, -1.0, 0.0)
+HELD = (0.05, 0.05, 0.05, 1.0, 1.0, 1.0, 0.5)
+BOUNDS = ((-9.0, 12.0), (0.0, 12.0), (0.0, 12.0), (0.0, 6.0), (-9.0, -0.5), (-9.0, -0.25), (0.0, 12.0))
 #: Words that a negation or a report reaches over.
 SCOPE = 4
-#: Readings of a lexicon entry in three strengths, by its learnt weight.
-STRENGTHS = 3
-FEATURES = len(READINGS) * STRENGTHS
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:|\n]+")
 
 
-def grammar() -> dict[tuple[str, int], tuple[str, str | None]]:
-    """The composed machine's arcs: (state, class) -> (state, emitted reading).
+@dataclass(frozen=True)
+class Machine:
+    """A deterministic transducer: arcs[state, symbol] is (next state, output symbol, marks). It starts in `start`."""
+
+    start: Hashable
+    arcs: dict[tuple, tuple]
+
+    def run(self, symbols: Iterable) -> tuple[list, list[str]]:
+        """(output symbols, marks of the path)."""
+        state, out, marks = self.start, [], []
+        for x in symbols:
+            state, y, m = self.arcs[state, x]
+            out.append(y)
+            marks += m
+        return out, marks
+
+
+def compose(a: Machine, b: Machine) -> Machine:
+    """The machine that reads what a reads, writes what b writes of a's output, and marks its path as both do."""
+    start = a.start, b.start
+    arcs, waiting, known = {}, [start], {start}
+    outgoing: dict = {}
+    for (state, x), arc in a.arcs.items():
+        outgoing.setdefault(state, []).append((x, arc))
+    while waiting:
+        p, q = waiting.pop()
+        for x, (p_next, y, marks) in outgoing.get(p, ()):
+            if (q, y) not in b.arcs:
+                continue
+            q_next, z, more = b.arcs[q, y]
+            arcs[(p, q), x] = (p_next, q_next), z, marks + more
+            if (p_next, q_next) not in known:
+                known.add((p_next, q_next))
+                waiting.append((p_next, q_next))
+    return Machine(start, arcs)
+
+
+def scope(opener: int, symbols: list[tuple]) -> Machine:
+    """Adds to every symbol whether it stands within SCOPE words after one of the class `opener`."""
+    return Machine(0, {(left, x): (SCOPE if x[0] == opener else max(0, left - 1), (*x, left > 0), ()) for left in range(SCOPE + 1) for x in symbols})
+
+
+def target(symbols: list[tuple]) -> Machine:
+    """Adds whether a target stood before in the clause."""
+    return Machine(False, {(seen, x): (seen or x[0] == TARGET, (*x, seen), ()) for seen in (False, True) for x in symbols})
+
+
+def spoken(x: tuple) -> tuple[str, ...]:
+    """The marks of how a word is said."""
+    _, negated, reported, _ = x
+    return ("negated",) * negated + ("reported",) * reported
+
+
+def insult(symbols: list[tuple]) -> Machine:
+    """Marks insults; one without a target waits for it."""
+    arcs = {}
+    for waits in (False, True):
+        for x in symbols:
+            kind, _, _, at = x
+            if kind >= INSULT:
+                arcs[waits, x] = not at, x, (MARKS[kind - INSULT], *("at target",) * at, *spoken(x))
+            else:
+                arcs[waits, x] = waits and kind != TARGET, x, ("at target",) if waits and kind == TARGET else ()
+    return Machine(False, arcs)
+
+
+def threat(symbols: list[tuple]) -> Machine:
+    """Marks threats, once with their target, as they were said; one without a target waits for it."""
+    arcs = {}
+    for waits in (None, (), ("negated",), ("reported",), ("negated", "reported")):
+        for x in symbols:
+            kind, _, _, at = x
+            if kind == THREAT:
+                arcs[waits, x] = (None, x, ("threat", *spoken(x))) if at else (spoken(x), x, ())
+            elif kind == TARGET and waits is not None:
+                arcs[waits, x] = None, x, ("threat", *waits)
+            else:
+                arcs[waits, x] = waits, x, ()
+    return Machine(None, arcs)
+
+
+def components() -> list[Machine]:
+    """The grammar's transducers in the order in which they read each other's output, the first one word classes."""
+    flags = (False, True)
+    plain = [(k,) for k in range(CLASSES)]
+    negated = [(*x, f) for x in plain for f in flags]
+    reported = [(*x, f) for x in negated for f in flags]
+    aimed = [(*x, f) for x in reported for f in flags]
+    return [scope(NEGATION, plain), scope(REPORT, negated), target(reported), insult(aimed), threat(aimed)]
 
-    States remember what a clause has said so far: a target, an insult, a threat. Negation and report are kept beside the
-    state as distances, for their scope is counted in words.
-    """
-    arcs: dict[tuple[str, int], tuple[str, str | None]] = {}
-    for state in ("start", "target", "insult", "threat", "insulted", "threatened"):
-        for kind in (NEGATION, REPORT, OTHER):
-            arcs[state, kind] = (state, None)
-    arcs |= {
-        ("start", TARGET): ("target", None),
-        ("start", INSULT): ("insult", "insult"),
-        ("start", THREAT): ("threat", None),
-        ("target", TARGET): ("target", None),
-        ("target", INSULT): ("insulted", "insult at target"),
-        ("target", THREAT): ("threatened", "threat at target"),
-        ("insult", TARGET): ("insulted", "insult at target"),
-        ("insult", INSULT): ("insult", "insult"),
-        ("insult", THREAT): ("threat", None),
-        ("threat", TARGET): ("threatened", "threat at target"),
-        ("threat", INSULT): ("insult", "insult"),
-        ("threat", THREAT): ("threat", None),
-        ("insulted", TARGET): ("insulted", None),
-        ("insulted", INSULT): ("insulted", "insult at target"),
-        ("insulted", THREAT): ("threatened", "threat at target"),
-        ("threatened", TARGET): ("threatened", None),
-        ("threatened", INSULT): ("insulted", "insult at target"),
-        ("threatened", THREAT): ("threatened", "threat at target"),
-    }
-    return arcs
-
-
-ARCS = grammar()
-CLOSED = {w: (k, 0) for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (THREAT, THREATS), (REPORT, REPORTING)) for w in words}
+
+def grammar() -> Machine:
+    return reduce(compose, components())
+
+
+@lru_cache(maxsize=1)
+def tables() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
+    """The composed machine by number: next state and marks, by state and class. State 0 is the start."""
+    machine = grammar()
+    number = {machine.start: 0}
+    for (state, _), (following, _, _) in machine.arcs.items():
+        number.setdefault(state, len(number))
+        number.setdefault(following, len(number))
+    after = [[0] * CLASSES for _ in number]
+    marks: list[list[tuple[int, ...]]] = [[()] * CLASSES for _ in number]
+    for (state, (kind,)), (following, _, m) in machine.arcs.items():
+        after[number[state]][kind] = number[following]
+        marks[number[state]][kind] = tuple(MARKS.index(x) for x in m)
+    return after, marks
+
+
+CLOSED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (THREAT, THREATS), (REPORT, REPORTING)) for w in words}
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """A learnt model: lexicon (stem -> strength), weights of the readings, bias."""
+    """A learnt model: lexicon (stem -> strength), weights of the marks, bias."""
 
     lexicon: dict[str, int]
     weights: tuple[float, ...]
     bias: float
 
+    def arc_weights(self) -> list[list[float]]:
+        """The weights of the composed machine's arcs, by state and class."""
+        return [[sum(self.weights[m] for m in marks) for marks in row] for row in tables()[1]]
+
 
 class Reader:
     """Runs texts through the machine. Words' classes are remembered, in bounded memory."""
 
     def __init__(self, model: Grammar):
         self.strengths = model.lexicon
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def classify(self, word: str) -> tuple[int, int]:
-        """(class, strength) of a word as the lexicon transducers read it."""
+    def classify(self, word: str) -> int:
+        """The class of a word as the lexicon transducer reads it."""
         if not word[0].isalpha():
-            return STOP, 0
+            return STOP
         low = word.lower()
         found = CLOSED.get(low)
-        if found is None:
-            # an entry that is a whole word, of any length, carries an end mark
-            s = self.strengths.get(low + "$")
-            for n in range(min(len(low), STEM[1]), STEM[0] - 1, -1):
-                if s is not None:
-                    break
-                s = self.strengths.get(low[:n])
-            found = None if s is None else (INSULT, s)
-        return found or (OTHER, 0)
-
-    def readings(self, text: str) -> list[tuple[int, str, int]]:
-        """(clause number, reading, strength) of every match, in order."""
+        if found is not None:
+            return found
+        # an entry that is a whole word, of any length, carries an end mark
+        s = self.strengths.get(low + "$")
+        for n in range(min(len(low), STEM[1]), STEM[0] - 1, -1):
+            if s is not None:
+                break
+            s = self.strengths.get(low[:n])
+        return OTHER if s is None else INSULT + s
+
+    def classes(self, text: str) -> list[int]:
         known, out = self.known, []
         if len(known) > REMEMBERED:
             known.clear()
-        words = WORD.findall(text)
-        classes = []
-        some = False
-        for w in words:
+        for w in WORD.findall(text):
             c = known.get(w)
             if c is None:
                 c = self.classify(w)
                 if len(w) <= 40:
                     known[w] = c
-            some = some or c[0] in (INSULT, THREAT)
-            classes.append(c)
-        if not some:
+            out.append(c)
+        return out
+
+    def readings(self, text: str) -> list[tuple[int, tuple[int, ...]]]:
+        """(clause number, marks) of every marked arc on the clauses' paths, in order."""
+        classes, out = self.classes(text), []
+        if not classes or max(classes) < THREAT:
             return out
-        state, clause, negated, reported, last = "start", 0, -99, -99, 0
-        for at, (kind, strength) in enumerate(classes):
+        after, marks = tables()
+        state, clause = 0, 0
+        for kind in classes:
             if kind == STOP:
-                state, clause, negated, reported = "start", clause + 1, -99, -99
+                state, clause = 0, clause + 1
                 continue
-            if kind == NEGATION:
-                negated = at
-            elif kind == REPORT:
-                reported = at
-            elif kind == INSULT:
-                last = strength
-            state, reading = ARCS[state, kind]
-            if reading:
-                near = at - negated <= SCOPE, at - reported <= SCOPE
-                if reading == "threat at target":
-                    reading = "negated or reported threat" if any(near) else reading
-                elif any(near):
-                    reading = "negated insult" if near[0] else "reported insult"
-                out.append((clause, reading, 0 if "threat" in reading else last))
+            if marks[state][kind]:
+                out.append((clause, marks[state][kind]))
+            state = after[state][kind]
         return out
 
     def features(self, text: str) -> np.ndarray:
-        """Per reading and strength: the number of clauses with it, damped."""
-        clauses = {(c, READINGS.index(r) * STRENGTHS + s) for c, r, s in self.readings(text)}
-        x = np.zeros(FEATURES)
-        for _, f in clauses:
-            x[f] += 1
-        return np.log1p(x)
+        """Per mark the number of arcs with it, damped; then the number of clauses that have any."""
+        x = np.zeros(len(MARKS) + 1)
+        found = self.readings(text)
+        for _, marks in found:
+            for m in marks:
+                x[m] += 1
+        x[:-1] = np.log1p(x[:-1])
+        x[-1] = len({c for c, _ in found})
+        return x
 
 
 def stems(text: str) -> set[str]:
@@ -233,17 +316,18 @@ def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ROWS, least: int = 5
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> Grammar:
-    """The readings' weights from two halves of the bounded sample, each read with the other half's lexicon; then the
+    """The marks' weights from two halves of the bounded sample, each read with the other half's lexicon; then the
     lexicon of the whole sample.
 
-    Without toxic labels the grammar scores every document a little above zero.
+    Null texts are empty ones. Without toxic labels, or without documents, the grammar scores every document a little
+    above zero.
     """
     sample = materialised(training_sample(documents, labels, label, rows))
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     halves = [sample.where(half == k) for k in (0, 1)]
     lexicons = [learn_lexicon(h) for h in halves]
     got = [r for k in (0, 1) for r in read_features(halves[k], lexicons[1 - k])]
-    x = np.array([r.x for r in got]).reshape(-1, FEATURES)
+    x = np.array([r.x for r in got]).reshape(-1, len(MARKS))
     weights, bias = logistic(x, np.array([float(r.y > 0) for r in got]), np.array([float(r["count"]) for r in got]))
     return Grammar(learn_lexicon(sample), tuple(weights), bias)
 
@@ -254,40 +338,41 @@ def read_features(sample: DataFrame, lexicon: dict[str, int]) -> list[Row]:
     def featured(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(Grammar(lexicon, (), 0.0))
         for pdf in it:
-            yield pd.DataFrame({"y": pdf.y, "x": [reader.features(t) for t in pdf.text]})
+            yield pd.DataFrame({"y": pdf.y, "x": [reader.features(t)[:-1] for t in pdf.text]})
 
     return sample.select("text", "y").mapInPandas(featured, "y int, x array<double>").groupBy("y", "x").count().collect()
 
 
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; weights of plain insults and threats are kept at zero or above."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps within BOUNDS, the weights being held at PRIOR.
+
+    A weight at a bound that the gradient drives further out is left there for the step; the others move together.
+    """
+    k = len(MARKS)
+    w = np.append(np.clip(PRIOR, [lo for lo, _ in BOUNDS], [hi for _, hi in BOUNDS]), -4.0)
     if not n.sum():
-        return np.zeros(FEATURES), -4.0
-    full = np.c_[x, np.ones(len(x))]
-    w = np.zeros(FEATURES + 1)
-    penalty = np.diag([ridge] * FEATURES + [1e-3])
+        return w[:k], float(w[k])
+    low, high = (np.array([*(b[i] for b in BOUNDS), (-30.0, 30.0)[i]]) for i in (0, 1))
+    full, held, prior = np.c_[x, np.ones(len(x))], np.array([*HELD, 1e-3]), np.array([*PRIOR, 0.0])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        gradient = full.T @ (n * (p - y)) + penalty @ w
-        hessian = full.T @ (full * (n * p * (1 - p))[:, None]) + penalty
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        gradient = full.T @ (n * (p - y)) + held * (w - prior)
+        free = ~(((w <= low) & (gradient > 0)) | ((w >= high) & (gradient < 0)))
+        hessian = full.T @ (full * (n * p * (1 - p))[:, None]) + np.diag(held)
+        step = np.zeros(k + 1)
+        step[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
+        before = w
+        w = np.clip(w - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max())), low, high)
+        if np.abs(w - before).max() < 1e-6:
             break
-    w[:FEATURES] = np.maximum(w[:FEATURES], 0.0)
-    return w[:FEATURES], float(w[FEATURES])
-
-
-@lru_cache(maxsize=1)
-def _reader(key: tuple) -> Reader:
-    return Reader(Grammar(dict(key), (), 0.0))
+    return w[:k], float(w[k])
 
 
 def probabilities(reader: Reader, model: Grammar, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(probability, number of clauses with a reading) of each text."""
-    x = np.array([reader.features(t) for t in texts]).reshape(-1, FEATURES)
-    p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights) + model.bias, -35, 35)))
-    return p, np.expm1(x).sum(1).round().astype("int64")
+    x = np.array([reader.features(t) for t in texts]).reshape(-1, len(MARKS) + 1)
+    p = 1 / (1 + np.exp(-np.clip(x[:, :-1] @ np.array(model.weights) + model.bias, -35, 35)))
+    return p, x[:, -1].astype("int64")
 
 
 def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataFrame:
@@ -295,13 +380,13 @@ def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataF
 
     Null and empty texts have no readings and get the bias alone. Texts are read whole, where they are; nothing is
     shuffled. A null doc_id is not held out. Repeated rows are scored each; columns other than doc_id and text are not
-    read.
+    read; an empty table gives no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_ROWS entries
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader = _reader(tuple(sorted(m.lexicon.items())))
+        reader = Reader(m)
         for batch in batches(it):
             p, n = probabilities(reader, m, strings(batch.column(2)))
             values = [pa.array(p), pa.array((p >= threshold).astype("int32")), pa.array(n)]
@@ -313,12 +398,15 @@ def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataF
 
 
 def keep_clean(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataFrame:
-    """documents, all their columns as they are, without the rows whose text scores the threshold or more."""
+    """documents, all their columns as they are, without the rows whose text scores the threshold or more.
+
+    Null and empty texts are scored as score() does; repeated rows go or stay together; an empty table gives no rows.
+    """
     shared, at = documents.sparkSession.sparkContext.broadcast(model), documents.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        reader = _reader(tuple(sorted(m.lexicon.items())))
+        reader = Reader(m)
         for batch in batches(it):
             p, _ = probabilities(reader, m, strings(batch.column(at)))
             yield batch.filter(pa.array(p < threshold))
