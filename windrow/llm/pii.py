@@ -1,6 +1,7 @@
 """PII by information-theoretic sanitisation, in DataFrame and SQL functions only.
 
-Base patterns find protected entities (mail and IP addresses, card and phone numbers). The corpus then tells how strongly
+Base patterns find protected entities (mail and IP addresses, card and phone numbers); secrets that a text assigns to a
+name (token = "...") are protected too. The corpus then tells how strongly
 words reveal an entity: for a term t and an entity e, counts of documents in which t stands near e, of all documents
 with t, and of all documents with e give the disclosure P(e near t | t) and the information log2 P(e | t) / P(e). Terms beyond both
 thresholds, seen in enough documents and in more than one context, are disclosing wherever they stand: they are spans
@@ -9,6 +10,8 @@ too, and sanitise() removes them and generalises the base entities to their kind
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ PATTERNS = {
 }
 #: Cheap tests without which a pattern cannot match.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9\x20-]{14}", "phone": r"\+[0-9]"}
+#: An assigned secret: 16 characters at least, one a digit.
+SECRET = r"(?i)(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key)[\x20]?[:=][\x20]?[\"']?(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{16,}+[\"']?"
+SECRET_HINT = r"(?i)(?:token|secret|passw|api[_-]?key)"
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 #: Code points on either side of an entity whose words count as near it.
 NEAR = 80
@@ -116,18 +122,25 @@ def contexts(documents: DataFrame) -> DataFrame:
     return spans.select("row", entity.alias("entity"), words.alias("words")).select("row", "entity", F.xxhash64("words").alias("context"), F.explode("words").alias("term"))
 
 
+def row_key() -> Column:
+    """One number for rows of equal doc_id and text: rows that only share an id, or have none, stay apart."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+
+
 def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(terms with their figures, (doc_id, term) of all documents that hold one); None where no term can qualify.
+    """(terms with their figures, (row, term) of all documents that hold one); None where no term can qualify.
 
-    Counts run over all documents, rows of equal doc_id and text being one document. Candidates are terms near one entity in enough documents and contexts and, by the
-    mentions alone, not too often near others; only they are counted in all texts. Their table is broadcast while it is small and joined by shuffling beyond.
+    Counts run over all documents, rows of equal doc_id and text being one document. Of a term's entities that with the
+    most documents near it counts, then the rarest. Candidates are terms near one entity in enough documents and
+    contexts and, by the mentions alone, not too often near others; only they are counted in all texts. Their table is
+    broadcast while it is small and joined by shuffling beyond.
     """
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = documents.select(row_key().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     near = contexts(rows)
     together = near.groupBy("term", "entity").agg(F.count_distinct("row").alias("near"), F.count_distinct("context").alias("contexts"))
     entities = near.groupBy("entity", "row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("mentions"))
     strong = together.where((F.col("near") >= LEAST_DOCUMENTS) & (F.col("contexts") >= LEAST_CONTEXTS))
-    best = strong.join(entities, "entity").groupBy("term").agg(F.max(F.struct("near", "mentions", "contexts", "entity")).alias("best"))
+    best = strong.join(entities, "entity").groupBy("term").agg(F.max(F.struct("near", (-F.col("mentions")).alias("back"), "contexts", "entity")).alias("best"))
     # a term's documents are at least those in which it is near any entity, which bounds its disclosure from above
     anywhere = near.groupBy("term", "row").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("anywhere"))
     candidates = materialised(best.join(anywhere, "term").where(F.col("best.near") >= LEAST_DISCLOSURE * F.col("anywhere")).drop("anywhere"))
@@ -136,36 +149,37 @@ def disclosing_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame] | None
         return None
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
     names = candidates.select("term")
-    held = materialised(rows.select("doc_id", "row", F.explode(words).alias("term")).join(if_small(names, F.octet_length("term")), "term").select("doc_id", "row", "term"))
-    everywhere = held.groupBy("term").agg(F.count_distinct("row").alias("documents"))
+    held = materialised(rows.select("row", F.explode(words).alias("term")).join(if_small(names, F.octet_length("term")), "term").select("row", "term").distinct())
+    everywhere = held.groupBy("term").agg(F.count("*").alias("documents"))
     total = rows.select("row").distinct().count()
     disclosure = F.least(F.lit(1.0), F.col("best.near") / F.col("documents"))
-    bits = F.log2(disclosure * F.lit(float(total)) / F.col("best.mentions"))
+    bits = F.log2(disclosure * F.lit(float(total)) / -F.col("best.back"))
     terms = candidates.join(everywhere, "term").select("term", disclosure.alias("disclosure"), bits.alias("bits"), F.col("best.near").alias("near"), "documents")
     terms = materialised(terms.where((F.col("disclosure") >= LEAST_DISCLOSURE) & (F.col("bits") >= LEAST_BITS)))
     k = terms.count()
-    return (terms, held.select("doc_id", "term").join(if_small(terms.select("term"), F.octet_length("term")), "term")) if k else None
+    return (terms, held.join(if_small(terms.select("term"), F.octet_length("term")), "term")) if k else None
 
 
-def find_pii(documents: DataFrame) -> DataFrame:
-    """documents plus base (the contract's spans) and spans (these and the disclosing terms'), by kind and start.
+def find_pii(documents: DataFrame, base: str = "base", spans: str = "spans") -> DataFrame:
+    """documents plus base (the contract's spans) and spans (these, secrets and disclosing terms), by kind and start.
 
     Null texts have no spans. Rows keep all their columns; repeated rows keep theirs. Offsets are code points, ends
-    exclusive. An empty table gives no rows. Columns named base or spans of the input are replaced.
+    exclusive. An empty table gives no rows. The two columns' names can be chosen; columns of those names are replaced.
     """
-    documents = documents.drop("base", "spans")
-    text = F.coalesce("text", F.lit(""))
+    documents = documents.drop(base, spans)
+    text, own = F.coalesce("text", F.lit("")), uuid4().hex[:8]
+    key, terms_of, row = f"__key_{own}", f"__terms_{own}", f"__row_{own}"
     found = disclosing_terms(documents)
-    out = documents.withColumn("base", base_spans(text))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
+    secrets = F.when(text.rlike(SECRET_HINT), of_kind(positions(text, F.lit(SECRET), lambda m: F.lit(True)), "secret")).otherwise(none)
+    out = documents.withColumn(base, base_spans(text))
     if found is None:
-        return out.withColumn("spans", F.col("base"))
-    by_document = materialised(found[1].groupBy(F.col("doc_id").alias("__id")).agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("__terms")))
-    by_document = if_small(by_document, F.octet_length("__terms"))
-    joined = out.join(by_document, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col("__terms"), F.lit(r")(?![\p{L}\p{N}])"))
-    terms = of_kind(positions(text, pattern, lambda m: F.lit(True)), "term")
-    spans = F.when(F.col("__terms").isNull(), F.col("base")).otherwise(F.concat("base", terms))
-    return joined.withColumn("spans", spans).drop("__terms")
+        return out.withColumn(spans, F.concat(F.col(base), secrets))
+    by_row = materialised(found[1].groupBy(F.col("row").alias(key)).agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias(terms_of)))
+    joined = out.withColumn(row, row_key()).join(if_small(by_row, F.octet_length(terms_of)), F.col(row) == F.col(key), "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.col(terms_of), F.lit(r")(?![\p{L}\p{N}])"))
+    terms = F.when(F.col(terms_of).isNotNull(), of_kind(positions(text, pattern, lambda m: F.lit(True)), "term")).otherwise(none)
+    return joined.withColumn(spans, F.concat(F.col(base), secrets, terms)).drop(key, terms_of, row)
 
 
 def named(spans: Column) -> Column:
@@ -174,12 +188,15 @@ def named(spans: Column) -> Column:
 
 
 def sanitise(documents: DataFrame) -> DataFrame:
-    """documents with their texts' base entities generalised to [KIND] and disclosing terms removed to [TERM].
+    """documents with their texts' protected entities generalised to [KIND] and disclosing terms to [TERM].
 
-    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null.
+    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null. All columns stay, whatever
+    their names, and so do repeated rows; an empty table gives no rows.
     """
-    found = find_pii(documents)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), s.kind.alias("kind"))))
+    own = uuid4().hex[:8]
+    base, spans, merged_spans = f"__base_{own}", f"__spans_{own}", f"__merged_{own}"
+    found = find_pii(documents, base, spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), (-s.end).alias("back"), s.kind.alias("kind"))))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def merge(done: Column, s: Column) -> Column:
@@ -189,8 +206,8 @@ def sanitise(documents: DataFrame) -> DataFrame:
         return F.when((F.size(done) > 0) & (s.start < F.get(done, F.size(done) - 1).end), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.array_append(done, added))
 
     merged = F.aggregate(ordered, none, lambda done, s: F.when(F.size(done) == 0, F.array(F.struct(s.start.alias("start"), (-s.back).alias("end"), s.kind.alias("kind")))).otherwise(merge(done, s)))
-    with_merged = found.withColumn("__merged", merged)
-    m = F.col("__merged")
+    with_merged = found.withColumn(merged_spans, merged)
+    m = F.col(merged_spans)
 
     def piece(s: Column, i: Column) -> Column:
         start = F.when(i == 0, F.lit(0)).otherwise(F.get(m, i - 1).end)
@@ -198,12 +215,15 @@ def sanitise(documents: DataFrame) -> DataFrame:
 
     tail = F.substring(F.col("text"), F.element_at(m, -1).end + 1, F.lit(2_147_483_647))
     clean = F.when(F.size(m) > 0, F.concat(F.array_join(F.transform(m, piece), ""), tail)).otherwise(F.col("text"))
-    return with_merged.withColumn("text", clean).drop("__merged", "base", "spans")
+    return with_merged.withColumn("text", clean).drop(merged_spans, base, spans)
 
 
 def op4_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as spans."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base", lambda s: s.kind)
+    every = F.transform("spans", lambda s: s.kind)
+    of = lambda kind: (F.size(every) - F.size(F.array_remove(every, kind))).cast("bigint")
+    more = [F.size(every).cast("bigint").alias("n_spans"), of("secret").alias("n_secrets"), of("term").alias("n_terms")]
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"), *more)
