@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -129,7 +130,9 @@ def words(rng, n):
     return [f"v{rng.randrange(2000)}" for _ in range(n)]
 
 
-def brute_leaks(docs, items):
+def brute_leaks(docs, items, by_seeds=True):
+    """All diagonals of all pairs, verified; by_seeds: only those that a seed hits."""
+
     def toks(t):
         return [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
 
@@ -140,12 +143,12 @@ def brute_leaks(docs, items):
             t = toks(item)
             if not t:
                 continue
-            masks = decontamination.MASKS if len(t) >= decontamination.SHORTEST else (tuple(range(len(t))),)
+            long = len(t) >= decontamination.SHORTEST
+            places = [(at, m) for m in decontamination.MASKS for at in range(len(t) - m[-1])] if long else decontamination.short_masks(len(t))
             for diagonal in range(-len(t), len(w)):
-                seeded = any(all(0 <= diagonal + at + p < len(w) and at + p < len(t) and w[diagonal + at + p] == t[at + p] for p in m) for m in masks for at in (range(len(t)) if len(t) >= decontamination.SHORTEST else [0]))
-                if not seeded:
-                    continue
                 same = [0 <= diagonal + k < len(w) and w[diagonal + k] == t[k] for k in range(len(t))]
+                if by_seeds and not any(all(same[at + p] for p in m) for at, m in places):
+                    continue
                 best = (0, 0, 0)
                 score = matched = start = 0
                 for k, s in enumerate(same):
@@ -181,6 +184,36 @@ def test_leaks_against_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_leaks(docs, items)
 
 
+def test_short_items_lose_no_overlap():
+    """Every pattern of equal and substituted tokens that verification accepts is hit by a mask."""
+    for n in range(1, decontamination.SHORTEST):
+        for same in itertools.product((0, 1), repeat=n):
+            best = now = 0
+            for x in same:
+                now = max(0, now + (1 if x else -1))
+                best = max(best, now)
+            hit = any(all(same[at + p] for p in m) for at, m in decontamination.short_masks(n))
+            assert hit == (best >= decontamination.needed(n))
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.2, 0.25])
+def test_recall_by_substitution_rate(spark, rate):
+    """Against all verified diagonals, without seeds; a rate of 0.25 replaces every fourth token."""
+    rng = random.Random(31)
+    items = [(k, " ".join(words(rng, n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 7, 8, 8, 9, 10, 12, 15, 20, 30, 40, 60])]
+    docs = []
+    for k in range(180):
+        part = items[k % len(items)][1].split()
+        part = [f"s{i}" if (i % 4 == k % 4 if rate == 0.25 else rng.random() < rate) else w for i, w in enumerate(part)]
+        docs.append((k, " ".join([*words(rng, 15), *part, *words(rng, 15)])))
+    want = {(r[0], r[1]): r for r in brute_leaks(docs, items, by_seeds=False)}
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(r.doc_id, r.item_id): tuple(r) for r in found}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 50
+    short = {k for k in want if len(items[k[1]][1].split()) < decontamination.SHORTEST}
+    assert short <= set(got) and all(got[k] == want[k] for k in short)
+
+
 def test_substitutions_are_tolerated_and_clean_documents_stay(spark):
     rng = random.Random(13)
     item = words(rng, 40)

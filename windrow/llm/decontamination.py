@@ -4,17 +4,25 @@ A seed is a fixed mask over consecutive tokens that ignores some positions, so a
 harm. The hashes of the benchmark's and the documents' tokens under the masks are joined; each hit names a diagonal, an
 alignment of a document with a benchmark item. Along it the overlap is verified: the best run of tokens, matches counting one
 and substitutions minus one, must score the least overlap, or most of a short item.
+
+Items too short for the fixed masks have masks of their own: all minimal sets of positions that verification accepts, so
+no overlap with them is missed.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+from functools import cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import if_small, materialised, table
 
 #: Token positions that a mask reads; the others of its span are ignored.
-MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8))
+MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 5))
 SHORTEST = 9
 #: Matches less substitutions of an overlap; of an item with fewer tokens, that share of them.
 LEAST_SCORE, LEAST_SHARE = 8, 0.7
@@ -25,25 +33,55 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def masks_for(benchmark_tokens: DataFrame) -> list[tuple[int, ...]]:
-    """The fixed masks, and a whole-item mask for every length that is too short for them (at most eight)."""
-    short = benchmark_tokens.select(F.size("tokens").alias("n")).where(f"n BETWEEN 1 AND {SHORTEST - 1}").distinct().collect()
-    return [*MASKS, *(tuple(range(r.n)) for r in sorted(short, key=lambda r: r.n))]
+def needed(n: int, least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> int:
+    """The score that an overlap with an item of n tokens needs."""
+    return min(least, math.ceil(n * share))
+
+
+@cache
+def short_masks(n: int, least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> list[tuple[int, tuple[int, ...]]]:
+    """(first position, mask): the minimal sets of equal tokens with which verification accepts an item of n tokens."""
+
+    def score(equal: tuple[int, ...]) -> int:
+        best = now = 0
+        for i in range(n):
+            now = max(0, now + (1 if i in equal else -1))
+            best = max(best, now)
+        return best
+
+    kept: list[tuple[int, ...]] = []
+    for size in range(1, n + 1):
+        for equal in combinations(range(n), size):
+            if not any(set(k) <= set(equal) for k in kept) and score(equal) >= needed(n, least, share):
+                kept.append(equal)
+    return [(k[0], tuple(i - k[0] for i in k)) for k in kept]
 
 
-def seeds(rows: DataFrame, keys: list[str], masks: list[tuple[int, ...]], whole: bool) -> DataFrame:
+def masks_for(lengths: Iterable[int], least: int = LEAST_SCORE, share: float = LEAST_SHARE) -> dict[tuple[int, ...], list[tuple[int, int]]]:
+    """The masks in use, and at which (length, position) of short items each is taken."""
+    out: dict[tuple[int, ...], list[tuple[int, int]]] = {m: [] for m in MASKS}
+    for n in sorted(lengths):
+        for at, mask in short_masks(n, least, share):
+            out.setdefault(mask, []).append((n, at))
+    return out
+
+
+def seeds(rows: DataFrame, keys: list[str], masks: dict[tuple[int, ...], list[tuple[int, int]]], of_items: bool) -> DataFrame:
     """(*keys, at, seed): the hash under every mask at every token position where the mask fits.
 
-    whole: rows are benchmark items, of which only those of its length take a whole-item mask.
+    of_items: rows are benchmark items, of which short ones take their own masks only. Both explosions stay within one
+    generated loop, which never holds a text's tokens more than once: no expression here may fall back from it.
     """
     n, at = F.size("tokens"), F.col("at")
     each = rows.where(n > 0).select(*keys, "tokens", F.explode(F.sequence(F.lit(0), n - 1)).alias("at"))
     found = []
-    for k, mask in enumerate(masks):
+    for mask, places in masks.items():
         fits = at + mask[-1] < n
-        if whole and k >= len(MASKS):
-            fits = (at == 0) & (n == len(mask))
-        found.append(F.when(fits, F.xxhash64(F.lit(k), *(F.get(F.col("tokens"), at + F.lit(p)) for p in mask))))
+        if of_items:
+            fits = (fits & (n >= SHORTEST)) if mask in MASKS else F.lit(False)
+            for length, first in places:
+                fits = fits | ((n == length) & (at == first))
+        found.append(F.when(fits, F.xxhash64(F.lit(",".join(map(str, mask))), *(F.get(F.col("tokens"), at + F.lit(p)) for p in mask))))
     return each.select(*keys, "at", F.explode(F.array(*found)).alias("seed")).where("seed IS NOT NULL")
 
 
@@ -56,7 +94,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCOR
     """(doc_id, text_hash, item_id, top): the best alignment of each distinct row and item with a verified overlap."""
     rows = documents.select("doc_id", text_hash().alias("text_hash"), "text")
     items = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
-    masks = masks_for(items)
+    short = items.select(F.size("tokens").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()  # eight lengths at most
+    masks = masks_for((x.n for x in short), least, share)
     known = materialised(seeds(items, ["item_id"], masks, True).select("item_id", F.col("at").alias("item_at"), "seed"))
     known = if_small(known)
     probes = seeds(rows.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")), ["doc_id", "text_hash"], masks, False)
@@ -94,7 +133,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SC
 
     The best alignment of each pair, then the first; starts are token positions of the item's beginning in the document
     (below zero where the item is cut) and of the overlap's first token in the item. Null and empty texts have no
-    tokens and no overlaps. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
+    tokens and no overlaps; empty tables have none either. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
     others. Other columns are not read.
     """
     best = overlaps(documents, benchmark, least, share).groupBy("doc_id", "item_id").agg(F.max("top").alias("top"))
@@ -118,18 +157,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _key(mask: tuple[int, ...], k: int) -> str:
-    return f"'{k}'" + "".join(f" || ' ' || words[pos + {p + 1}]" for p in mask)
+ALL_MASKS = masks_for(range(1, SHORTEST))
+
+
+def _seed(mask: tuple[int, ...]) -> str:
+    """SQL for the seed of a mask at pos: the mask itself and the tokens under it."""
+    return f"'{','.join(map(str, mask))}'" + "".join(f" || ' ' || words[pos + {p + 1}]" for p in mask)
+
+
+def _item_fits(mask: tuple[int, ...], places: list[tuple[int, int]]) -> str:
+    own = [f"(len(words) = {n} AND pos = {at})" for n, at in places]
+    return " OR ".join([f"(len(words) >= {SHORTEST} AND pos + {mask[-1]} < len(words))"] * (mask in MASKS) + own)
 
 
 ORACLE = rf"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS words FROM benchmark),
 dp AS (SELECT doc_id, words, unnest(range(0, len(words))) AS pos FROM d), ip AS (SELECT item_id, words, unnest(range(0, len(words))) AS pos FROM i),
-ds AS ({" UNION ALL ".join(f"SELECT doc_id, pos, {_key(m, k)} AS seed FROM dp WHERE pos + {m[-1]} < len(words)" for k, m in enumerate(MASKS))}
-    UNION ALL SELECT doc_id, pos, 's' || n || ' ' || array_to_string(words[pos + 1:pos + n], ' ') FROM dp, (SELECT DISTINCT len(words) AS n FROM i WHERE len(words) BETWEEN 1 AND {SHORTEST - 1}) WHERE pos + n <= len(words)),
-bs AS ({" UNION ALL ".join(f"SELECT item_id, pos, {_key(m, k)} AS seed FROM ip WHERE pos + {m[-1]} < len(words)" for k, m in enumerate(MASKS))}
-    UNION ALL SELECT item_id, 0, 's' || len(words) || ' ' || array_to_string(words, ' ') FROM i WHERE len(words) BETWEEN 1 AND {SHORTEST - 1}),
+bs AS ({" UNION ALL ".join(f"SELECT item_id, pos, {_seed(m)} AS seed FROM ip WHERE {_item_fits(m, places)}" for m, places in ALL_MASKS.items())}),
+ds AS ({" UNION ALL ".join(f"SELECT doc_id, pos, {_seed(m)} AS seed FROM dp WHERE pos + {m[-1]} < len(words)" for m in ALL_MASKS)}),
 hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (seed)),
 w AS (SELECT h.*, len(i.words) AS n, d.words AS words, i.words AS tokens FROM hits h JOIN d USING (doc_id) JOIN i USING (item_id)),
 m AS (SELECT doc_id, item_id, diagonal, n, k, CASE WHEN diagonal + k >= 0 AND words[diagonal + k + 1] = tokens[k + 1] THEN 1 ELSE -1 END AS s
