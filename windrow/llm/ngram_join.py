@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -206,22 +207,23 @@ def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 1
 
     Of rows of equal doc_id and text one stays. Different texts under one doc_id are different documents, in the order of
     their hashes, and each goes or stays by its own component. Rows without doc_id come after all others, equal texts as
-    one. The rows that go are looked up by doc_id and hash: broadcast while they are few, joined by shuffling beyond.
+    one. Null and empty texts are linked with nothing and stay; an empty table gives no rows. The rows that go are looked up by doc_id and hash: broadcast while they are few, joined by shuffling beyond.
     """
     # doc_id, then 62 bits of the text's hash, in one number that sorts by doc_id
     wide = "decimal(38,0)"
     own = F.coalesce(F.col("doc_id").cast("bigint").cast(wide), F.lit(str(1 << 63)).cast(wide))
     text = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 62))
-    keyed = documents.withColumn("__one", (own * F.lit(1 << 62).cast(wide) + text.cast(wide)).cast(wide))
+    key = f"__one_{uuid4().hex[:8]}"
+    keyed = documents.withColumn(key, (own * F.lit(1 << 62).cast(wide) + text.cast(wide)).cast(wide))
     with small_batches(documents.sparkSession):
-        found = _components(keyed.select(F.col("__one").alias("doc_id"), "text"), size, num, den)
+        found = _components(keyed.select(F.col(key).alias("doc_id"), "text"), size, num, den)
     found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__one"))
-    again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias("__one"))
-    kept = keyed.join(if_small(gone), "__one", "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias(key))
+    kept = keyed.join(if_small(gone), key, "left_anti")
     if not again.isEmpty():
         repeated = if_small(again)
-        kept = kept.join(repeated, "__one", "left_anti").unionByName(kept.join(repeated, "__one", "left_semi").dropDuplicates(["__one"]))
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
     return kept.select(*documents.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm.common import if_small, materialised
@@ -121,37 +121,67 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
 def cluster_links(members: DataFrame, sets: DataFrame, num: int, den: int, spanning: bool = True) -> DataFrame:
     """(a, b): links between the sets of one cluster, num / den being the least Jaccard similarity.
 
-    members: (leader, cls, n), distinct and stored; sets: (cls, shingles), a cls more than once at most with equal sets. A
-    cluster is dealt out as pairs of blocks, whose size is bounded by rows and by incidences, so that no task holds a
-    whole large cluster. Each pair of blocks returns a spanning forest of its links (or all its links): what is connected
-    stays connected, and no group's pairs are all written out.
+    members: (leader, cls, n), distinct and stored, the leader naming the cluster; sets: (cls, shingles), a cls more than
+    once at most with equal sets. First every member meets the cluster's head, its smallest member: what links is
+    connected, so a cluster of close copies costs as many comparisons as it has members. Only members left apart meet all
+    others. With spanning, what is connected stays connected, and no group's pairs are all written out; without, all
+    links are.
+
+    Clusters are dealt out in parts, whose size is bounded by rows and by incidences, so that no task holds a whole large
+    cluster.
+    """
+    sizes = members.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"), F.min("cls").alias("head")).where("rows > 1")
+    others = members.join(sizes, "leader").where("cls <> head")
+    dealt = materialised(others.select("leader", "head", "cls", "n", "rows", part_of("cls", "rows", "cells").alias("part")))
+    # every part gets a copy of the head's set, as the one row to its left
+    heads = dealt.select("leader", "part", F.col("head").alias("cls")).distinct()
+    first = dealt.select("leader", "cls", "part", F.lit(False).alias("left")).unionByName(heads.select("leader", "cls", "part", F.lit(True).alias("left")))
+    stars = materialised(products(first.withColumn("other", F.lit(0)), sets, num, den, spanning))
+    apart = dealt.join(stars.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti") if spanning else dealt
+    apart = materialised(apart.where("rows > 2"))
+    if apart.isEmpty():
+        return stars
+    left_sizes = apart.groupBy("leader").agg(F.count("*").alias("__rows"), F.sum("n").alias("__cells"), F.max("rows").alias("rows"))
+    each = F.explode(F.sequence(F.lit(0), F.col("last")))
+    last_part = dealt.groupBy("leader").agg(F.max("part").alias("last"))
+    left = apart.join(left_sizes.drop("rows"), "leader").select("leader", "cls", part_of("cls", "__rows", "__cells").alias("other"))
+    last_other = left.groupBy("leader").agg(F.max("other").alias("last"))
+    left = left.join(last_part, "leader").select("leader", "cls", each.alias("part"), F.lit(True).alias("left"), "other")
+    right = dealt.join(last_other, "leader").select("leader", "cls", "part", F.lit(False).alias("left"), each.alias("other"))
+    return stars.unionByName(products(left.unionByName(right), sets, num, den, spanning))
+
+
+def part_of(key: str, rows: str, cells: str) -> Column:
+    """The part of a cluster of so many rows and incidences that a member falls into."""
+    parts = F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(cells) / BLOCK_CELLS))
+    return F.pmod(F.xxhash64(key, "leader"), parts).cast("int")
+
+
+def products(places: DataFrame, sets: DataFrame, num: int, den: int, spanning: bool) -> DataFrame:
+    """(a, b): links between the rows to the left and those to the right of each (leader, part, other) of `places`.
+
+    places: (leader, part, other, cls, left). A link's a is the smaller, so a head's are (head, member). With
+    spanning, each place returns a spanning forest of its links.
     """
-    sizes = members.groupBy("leader").agg(F.count("*").alias("rows"), F.sum("n").alias("cells")).where("rows > 1")
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int")
-    dealt = members.join(sizes.select("leader", parts.alias("parts")), "leader").withColumn("part", F.pmod(F.xxhash64("cls", "leader"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = dealt.select("leader", "cls", "part", other).select("leader", "cls", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    pairs = materialised(pairs)
-    rows = sets.join(if_small(pairs), "cls").select("leader", "lo", "hi", "part", "cls", "shingles")
+    places = materialised(places.select("leader", "part", "other", "cls", "left"))
+    rows = sets.join(if_small(places), "cls").select("leader", "part", "other", "cls", "left", "shingles")
 
     def product(batch: pa.Table) -> pa.Table:
-        lo, hi = batch["lo"][0].as_py(), batch["hi"][0].as_py()
-        part = batch["part"].to_numpy()
-        cls = batch["cls"].to_numpy()
-        _, order = np.unique(cls, return_index=True)
         found = batch["shingles"].combine_chunks()
         flat = found.flatten().to_numpy().view(np.uint64)
         ends = np.cumsum(np.append(0, found.value_lengths().to_numpy()))
-        own = [flat[ends[i] : ends[i + 1]] for i in order]
-        cls, part = cls[order], part[order]
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        a, b = linked_pairs(own, left, right, num, den)
-        once = a < b if lo == hi else a != b
-        a, b = a[once], b[once]
-        links = np.array(forest(a, b, len(own)) if spanning else list(zip(a.tolist(), b.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+        cls, at = np.unique(batch["cls"].to_numpy(), return_inverse=True)
+        sides, own = np.zeros((2, len(cls)), dtype=bool), [np.zeros(0, U)] * len(cls)
+        for i, (c, is_left) in enumerate(zip(at.tolist(), batch["left"].to_pylist(), strict=True)):
+            sides[int(is_left), c] = True
+            own[c] = flat[ends[i] : ends[i + 1]]
+        a, b = linked_pairs(own, np.flatnonzero(sides[1]), np.flatnonzero(sides[0]), num, den)
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        links = np.array(forest(a, b, len(own)), dtype=np.int64).reshape(-1, 2) if spanning else np.unique(np.stack([a, b], 1), axis=0)
         return pa.table({"a": pa.array(cls[links[:, 0]]), "b": pa.array(cls[links[:, 1]])})
 
-    return rows.groupBy("leader", "lo", "hi").applyInArrow(product, "a bigint, b bigint")
+    found = rows.groupBy("leader", "part", "other").applyInArrow(product, "a bigint, b bigint")
+    return found if spanning else found.distinct()
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
