@@ -174,3 +174,24 @@ def test_near_duplicates(spark, none):
     want = {i: c for i, _, c in brute_components(rows, 5, 80, 100)}
     assert {r.doc_id: r.component_id for r in got.collect()} == want
     assert minhash.near_duplicates(none).collect() == []
+
+
+def test_near_duplicates_of_odd_rows(spark, clashing):
+    rows = [(r.doc_id, r.text) for r in clashing.collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(clashing).collect()]
+    assert sorted(got, key=str) == brute_components(rows, 5, 80, 100)
+
+
+def test_recall_of_the_joined_bands(spark):
+    """Pairs at and above the similarity, as the verified bands find them against all pairs."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        edited = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            edited[rng.randrange(200)] = f"e{rng.randrange(3000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+    want = {i for i, _, c in brute_components(rows, 5, 80, 100) if i != c}
+    found = {r.doc_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.doc_id != r.component_id}
+    assert found <= want and len(want) > 50 and len(found) >= 0.99 * len(want)

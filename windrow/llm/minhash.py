@@ -15,12 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import materialised, partitions, scratch, strings, table
-from windrow.llm.similarity import U, Words, cluster_links, components, shingle_hashes
+from windrow.llm.common import batches, if_small, partitions, small_batches, stored, strings, table
+from windrow.llm.similarity import U, Words, cluster_links, components, components_sql, shingle_hashes
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -167,49 +168,90 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100, bands: int = 32) -> DataFrame:
-    """doc_id, component_id: near duplicates at a Jaccard similarity of num / den over five-word shingles.
+def words_of(text: str) -> list[str]:
+    """The words of fingerprints: lower-cased, parted by white space."""
+    return text.lower().split()
 
-    Bands of the signature are joined: documents that agree on a whole band gather around its smallest member, and the
-    similarity inside these clusters is verified on the shingle sets. With 32 bands of 4 a pair at 0.8 is missed with a
-    chance of one in ten million. Equal sets are one class from the start. Texts without words are linked with nothing;
-    null doc_ids keep their row.
+
+def shingle_set(words: Words, text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(words.hashes(words_of(text)), SHINGLE))
+
+
+def digest(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
+
+
+def signatures(documents: DataFrame, bands: int) -> DataFrame:
+    """doc_id, n, cls, bands: the size of a document's shingle set, a hash of it, and one of each band of its minima.
+
+    Both are null or empty for texts without words.
     """
-    spark = documents.sparkSession
-    width = PERMUTATIONS // bands
-    schema = "doc_id bigint, n bigint, cls bigint, bands array<bigint>, shingles array<bigint>"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in it:
-            out = []
+        for batch in batches(it):
+            sizes, classes, keys = [], [], []
             for text in strings(batch.column(1)):
-                s = np.unique(shingle_hashes(words.hashes(text.lower().split()), SHINGLE))
-                least = minima(s).reshape(bands, width)
-                keys = [int.from_bytes(hashlib.blake2b(k.to_bytes(2, "little") + row.tobytes(), digest_size=8).digest(), "little", signed=True) for k, row in enumerate(least)]
-                cls = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                out.append((len(s), cls if len(s) else None, keys if len(s) else [], s.view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n", "cls", "bands", "shingles"])
-
-    path = scratch(spark, "minhash")
-    documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema).write.parquet(path)
-    read = spark.read.schema(schema).parquet(path)
-    named = materialised(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    one = F.first
-    sets = read.where("cls IS NOT NULL").groupBy("cls").agg(one("n").alias("n"), one("bands").alias("bands"), one("shingles").alias("shingles"))
-    keys = sets.select("cls", F.explode("bands").alias("band"))
-    leaders = keys.groupBy("band").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("band", "leader")
-    members = materialised(keys.join(leaders, "band").select("leader", "cls").distinct().join(sets.select("cls", "n"), "cls"))
-    wanted = sets.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles")
-    found = components(cluster_links(members, wanted, num, den))
-    smallest = found.join(named, found.node == named.cls).groupBy("component").agg(F.min("rep").alias("smallest"))
-    labels = materialised(found.join(smallest, "component").select(F.col("node").alias("cls"), "smallest"))
-    out = read.select("doc_id", "cls").join(named, "cls", "left").join(labels, "cls", "left")
-    return out.select("doc_id", F.coalesce("smallest", "rep", "doc_id").alias("component_id"))
+                s = shingle_set(words, text)
+                rows = minima(s).reshape(bands, -1) if len(s) else ()
+                sizes.append(len(s))
+                classes.append(digest(s.tobytes()) if len(s) else None)
+                keys.append([digest(k.to_bytes(2, "little") + row.tobytes()) for k, row in enumerate(rows)])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "bands"])
+
+    return documents.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, bands array<bigint>")
+
+
+def class_sets(documents: DataFrame) -> DataFrame:
+    """(cls, shingles) of documents with words."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches(it):
+            sets = [s for s in (shingle_set(words, text) for text in strings(batch.column(0))) if len(s)]
+            classes = pa.array([digest(s.tobytes()) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([classes, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
+
+    return documents.select("text").mapInArrow(run, "cls bigint, shingles array<bigint>")
+
+
+def near_duplicates(documents: DataFrame, num: int = 80, den: int = 100, bands: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id: near duplicates at a Jaccard similarity of num / den over five-word shingles.
+
+    Bands of the signature are joined: documents that agree on a whole band gather around its smallest member, and the
+    similarity inside these clusters is verified on the shingle sets. With 32 bands of 4 a pair at 0.8 is missed with a
+    chance of one in ten million. Equal sets are one class from the start. Null and empty texts and texts without words
+    are linked with nothing; a null doc_id keeps its row and takes part in no component's name. Repeated rows are of one
+    class; an empty table gives no rows; columns other than doc_id and text are not read.
+    """
+    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with small_batches(documents.sparkSession):
+        read = stored(signatures(documents, bands), "minhash")
+        classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
+        keys = classes.select("cls", F.explode("bands").alias("band"))
+        leaders = keys.groupBy("band").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("band", "leader")
+        members = stored(keys.join(leaders, "band").select("leader", "cls").distinct().join(classes.select("cls", "n"), "cls"), "minhash-members")
+        wanted = classes.select("cls", "rep").join(members.select("cls").distinct(), "cls", "left_semi")
+        ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
+        texts = documents.join(if_small(ids), "doc_id", "left_semi") if ids.where("doc_id IS NULL").isEmpty() else documents
+        found = components(cluster_links(members, class_sets(texts), num, den))
+        smallest = found.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+        labels = classes.select("cls", "rep").join(found.join(smallest, "component").select(F.col("node").alias("cls"), "smallest"), "cls", "left")
+        labels = stored(labels.select("cls", F.coalesce("smallest", "rep").alias("component_id")), "minhash-labels")
+    out = read.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(labels, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that are near duplicates by joined bands and verified similarity."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+#: For small tables: the same components, exactly.
+ORACLE_NEAR = components_sql(SHINGLE, 80, 100, r"regexp_extract_all(lower(coalesce(text, '')), '\S+')")

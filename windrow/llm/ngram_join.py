@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import batches, if_small, partitions, small_batches, stored, strings, table
-from windrow.llm.similarity import U, Words, cluster_links, components, mix, shingle_hashes
+from windrow.llm.similarity import U, Words, cluster_links, components, components_sql, mix, shingle_hashes
 
 
 class Bands:
@@ -232,28 +232,5 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-#: For small tables: pairs that share a shingle, and components by recursion.
-ORACLE = r"""
-WITH RECURSIVE w AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
-), s AS (
-    SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-        ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS shingles FROM w
-), c AS (
-    SELECT min(doc_id) AS rep, len(any_value(shingles)) AS n, shingles FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM s) GROUP BY shingles
-), x AS (
-    SELECT rep, n, unnest(shingles) AS shingle FROM c WHERE n > 0
-), o AS (
-    SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.rep < b.rep AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
-    GROUP BY a.rep, b.rep, a.n, b.n HAVING 190 * count(*) >= 90 * (a.n + b.n)
-), links AS (
-    SELECT a AS u, b AS v FROM o UNION SELECT b, a FROM o
-), reach AS (
-    SELECT u AS start, v AS node FROM links UNION SELECT r.start, l.v FROM reach r JOIN links l ON r.node = l.u
-), label AS (
-    SELECT start AS rep, least(start, min(node)) AS component FROM reach GROUP BY start
-)
-SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
-       CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE coalesce(l.component, c.rep) END AS component_id
-FROM s JOIN c ON list_sort(s.shingles) = c.shingles LEFT JOIN label l ON l.rep = c.rep
-"""
+#: For small tables: the same components.
+ORACLE = components_sql(3, 90, 100, r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from windrow.llm import chat, decontamination, ngram_join, warc
+from windrow.llm import chat, decontamination, minhash, ngram_join, warc
 from windrow.llm.bpe import op2_bpe_roundtrip
 from windrow.llm.chat import op6_chat_formatting
 from windrow.llm.decontamination import op10_decontamination
 from windrow.llm.html import op9_html_extraction
-from windrow.llm.minhash import op3_minhash_fingerprints
+from windrow.llm.minhash import minhash_near_duplicates, op3_minhash_fingerprints
 from windrow.llm.ngram_join import op5_ngram_jaccard
 from windrow.llm.pii import op4_pii_sanitisation
 from windrow.llm.quality import op1_quality_classifier
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_minhash_fingerprints": op3_minhash_fingerprints,
+    "minhash_near_duplicates": minhash_near_duplicates,
     "op4_pii_sanitisation": op4_pii_sanitisation,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_chat_formatting": op6_chat_formatting,
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "minhash_near_duplicates": minhash.ORACLE_NEAR,
     "op10_decontamination": decontamination.ORACLE,
     "op5_ngram_jaccard": ngram_join.ORACLE,
     "op6_chat_formatting": chat.ORACLE,

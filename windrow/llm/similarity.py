@@ -209,3 +209,35 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError(f"links did not settle in {most} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
+
+
+def components_sql(size: int, num: int, den: int, words: str) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id of small tables: pairs that share a shingle, components by recursion.
+
+    words: SQL for the list of a text's words.
+    """
+    shingle = " || ' ' || ".join(f"words[i + {k}]" if k else "words[i]" for k in range(size))
+    return rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, {words} AS words FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {size} THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - {size - 2}), lambda i: {shingle}) END) AS shingles FROM w
+), c AS (
+    SELECT min(doc_id) AS rep, len(any_value(shingles)) AS n, shingles FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM s) GROUP BY shingles
+), x AS (
+    SELECT rep, n, unnest(shingles) AS shingle FROM c WHERE n > 0
+), o AS (
+    SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.rep < b.rep AND {den} * a.n >= {num} * b.n AND {den} * b.n >= {num} * a.n
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING {num + den} * count(*) >= {num} * (a.n + b.n)
+), links AS (
+    SELECT a AS u, b AS v FROM o UNION SELECT b, a FROM o
+), reach AS (
+    SELECT u AS start, v AS node FROM links UNION SELECT r.start, l.v FROM reach r JOIN links l ON r.node = l.u
+), label AS (
+    SELECT start AS rep, least(start, min(node)) AS component FROM reach GROUP BY start
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE coalesce(l.component, c.rep) END AS component_id
+FROM s JOIN c ON list_sort(s.shingles) = c.shingles LEFT JOIN label l ON l.rep = c.rep
+"""
