@@ -11,7 +11,7 @@ from windrow.llm import warc
 def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(((f"k{rng.randrange(9)}", f"t{rng.randrange(3)}", rng.randrange(5), f"r{i}", n) for n in range(rng.randrange(30))), key=warc.order) for i in range(k)]
-    assert list(warc.loser_tree(runs)) == sorted((r for run in runs for r in run), key=warc.order)
+    assert list(warc.loser_tree([iter(run) for run in runs])) == sorted((r for run in runs for r in run), key=warc.order)
 
 
 @pytest.mark.parametrize("url,key", [("http://www.Example.com:80/A?b=2&a=1#x", "com,example)/a?a=1&b=2"), ("https://blog.example.org", "org,example,blog)/"), (None, ""), ("http://[bad", "http://[bad"), ("http://a.b:8080/c", "b,a:8080)/c")])
@@ -55,8 +55,21 @@ def test_empty(spark, tmp_path):
     assert warc.merge_index(warc.capture_runs(spark, path)).collect() == []
 
 
-def test_two_gzip_members():
-    record = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
-    assert [(o, b) for o, _, b in warc.records(gzip.compress(record) + gzip.compress(record))] == [(0, b"abc"), (len(record), b"abc")]
-    with pytest.raises(Exception):
-        list(warc.records(gzip.compress(record[:-3])))
+def test_records_in_chunks():
+    record = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n\r\n".encode()
+    for size in (1, 2, 3, 7, 1000):
+        data = record + record
+        chunks = [data[i : i + size] for i in range(0, len(data), size)]
+        assert [(o, b) for o, _, b in warc.records(chunks)] == [(0, b"abc\r\n"), (len(record), b"abc\r\n")]
+    for broken in (record[:-3], record + b"WARC/1.0"):
+        with pytest.raises(ValueError):
+            list(warc.records([broken]))
+
+
+def test_payloads_with_blank_lines_and_a_long_one(spark, tmp_path):
+    bodies = ["\r\n", "\r\n\r\n", "a\r\n\r\n\r\n", "\n\r\n\r\nb\r", "x" * 3_000_000 + "\r\n\r\n" * 50_000, "é\r\n\r\nWARC/1.0\r\n\r\n"]
+    rows = [(i, f"http://h{i}.example/", b) for i, b in enumerate(bodies)]
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), path)
+    got = {r.page_id: r.payload_digest for r in warc.merge_index(warc.capture_runs(spark, path)).collect()}
+    assert got == {i: hashlib.sha1(b.encode()).hexdigest() for i, b in enumerate(bodies)}

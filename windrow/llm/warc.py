@@ -4,16 +4,16 @@ Pages are written as WARC files by Spark's text writer: a row is a record, the l
 a WARC record, so every Hadoop file system will do and lost tasks are written again. Of equal payloads the one with the
 largest page_id is stored, the others are revisit records that refer to it.
 
-Reading back, each archive yields a run of captures sorted by URL key and timestamp. The runs are merged externally: the
-key space is cut into ranges, each range's task gets its slice of every run and merges the k slices through a loser tree,
-so the result is ordered within and across partitions: whole capture histories in global order.
+Reading back, each archive is streamed record by record and yields a run of captures sorted by URL key and timestamp. The
+runs are merged externally: the key space is cut into ranges, each range's task gets its slice of every run, sorted by
+Spark (which spills), and merges the k slices through a loser tree of cursors, so the result is ordered within and
+across partitions: whole capture histories in global order.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 from urllib.parse import parse_qsl, urlencode, urlsplit
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import if_small, materialised, partitions, scratch, table
+from windrow.llm.common import if_small, materialised, partitions, scratch, small_batches, stored, table
 
 #: Fixed values of the WARC format.
 VERSION, CRLF, RECORD_END = "WARC/1.0", "\r\n", "\r\n\r\n"
@@ -38,7 +38,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """pages plus payload, payload_bytes, payload_digest, record_type and refers_to.
 
     Null html is an empty payload. Digests are grouped without the payloads; only digests that occur twice are joined
-    back, by broadcast when they are few. Repeated rows of the winning page_id are all responses; rows with a null
+    back, by broadcast when they are few. An empty table gives no rows. Repeated rows of the winning page_id are all responses; rows with a null
     page_id are revisits if another row has their payload, else responses.
     """
     payload = F.coalesce("html", F.lit(""))
@@ -101,23 +101,15 @@ def url_key(url: str | None) -> str:
 
 
 class Stream:
-    """Bytes of a gzipped file, inflated as they are asked for."""
+    """Bytes that arrive in chunks, taken piece by piece; what is held is one piece and one chunk."""
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.offset = data, 0, 0
-        self.machine, self.ready = zlib.decompressobj(31), b""
+    def __init__(self, chunks: Iterable[bytes]):
+        self.chunks, self.ready, self.offset = iter(chunks), bytearray(), 0
 
     def more(self) -> bool:
-        while self.at < len(self.data):
-            fed = self.data[self.at : self.at + (1 << 16)]
-            self.at += len(fed)
-            got = self.machine.decompress(fed)
-            if self.machine.eof:  # another member may follow
-                self.at -= len(self.machine.unused_data)
-                self.machine = zlib.decompressobj(31)
-            if got:
-                self.ready += got
-                return True
+        for chunk in self.chunks:
+            self.ready += chunk
+            return True
         return False
 
     def until(self, mark: bytes) -> bytes | None:
@@ -131,19 +123,24 @@ class Stream:
     def take(self, n: int) -> bytes:
         while len(self.ready) < n and self.more():
             pass
-        out, self.ready = self.ready[:n], self.ready[n:]
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
         self.offset += len(out)
         return out
 
 
-def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset in the inflated archive, headers, body) of every record."""
-    stream = Stream(data)
+def records(chunks: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset in the archive, headers, body) of every record of an archive's bytes."""
+    stream = Stream(chunks)
     while True:
         offset = stream.offset
         head = stream.until(RECORD_END.encode())
         if head is None:
+            if stream.ready:
+                raise ValueError(f"no whole record at {offset}")
             return
+        if not head and not stream.ready and not stream.more():
+            return  # a last part without blank lines of its own has got some
         lines = head.decode().split(CRLF)
         headers = dict(line.split(": ", 1) for line in lines[1:])
         body = stream.take(int(headers["Content-Length"]))
@@ -156,27 +153,38 @@ def page_of(value: str | None) -> int | None:
     return int(value.removeprefix("<urn:page:").removesuffix(">")) if value else None
 
 
+def archive_parts(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(archive, bytes): what stands between two blank lines, and these, in the archive's order."""
+    for batch in it:
+        for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield name, part.as_py() + RECORD_END.encode()
+
+
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The archives' captures: each file's are a run, sorted by URL key, timestamp and page_id."""
+    """The archives' captures: each file's are a run, sorted by URL key, timestamp and page_id.
+
+    A gzipped file is read by one task from its beginning to its end, blank line by blank line, so a task holds one
+    record and the captures of one file, whatever the file's size. No archives give no captures.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                for offset, h, body in records(content.as_py()):
-                    kind = h["WARC-Type"]
-                    if kind == "response":
-                        size, digest = len(body), hashlib.sha1(body).hexdigest()
-                        if f"sha1:{digest}" != h["WARC-Payload-Digest"]:
-                            raise ValueError(f"{name}: digest differs at {offset}")
-                    else:
-                        size, digest = int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    url = h.get("WARC-Target-URI")
-                    rows.append((url_key(url), h.get("WARC-Date"), page_of(h.get("WARC-Record-ID")), name.rsplit("/", 1)[-1], offset, kind, digest, size, page_of(h.get("WARC-Refers-To")), url))
-                rows.sort(key=order)
-                yield captures(rows)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, CAPTURE)
+        for name, parts in groupby(archive_parts(it), key=lambda x: x[0]):
+            rows = []
+            for offset, h, body in records(part for _, part in parts):
+                kind = h["WARC-Type"]
+                if kind == "response":
+                    size, digest = len(body), hashlib.sha1(body).hexdigest()
+                    if f"sha1:{digest}" != h["WARC-Payload-Digest"]:
+                        raise ValueError(f"{name}: digest differs at {offset}")
+                else:
+                    size, digest = int(h["WARC-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
+                url = h.get("WARC-Target-URI")
+                rows.append((url_key(url), h.get("WARC-Date"), page_of(h.get("WARC-Record-ID")), name.rsplit("/", 1)[-1], offset, kind, digest, size, page_of(h.get("WARC-Refers-To")), url))
+            rows.sort(key=order)
+            yield captures(rows)
+
+    parts = spark.read.option("lineSep", RECORD_END).option("pathGlobFilter", "*.gz").text(path)
+    return parts.select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("value")).mapInArrow(run, CAPTURE)
 
 
 def order(row: tuple) -> tuple:
@@ -189,14 +197,17 @@ def captures(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [x.split(" ")[0] for x in CAPTURE.split(", ")])
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """k sorted runs as one: inner nodes hold the losers of their match, so each row costs log2 k comparisons."""
+def loser_tree(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
+    """k sorted runs as one: inner nodes hold the losers of their match, so each row costs log2 k comparisons.
+
+    One row of each run is held.
+    """
     k = len(runs)
     if not k:
         return
-    at = [0] * k
     done = (1,)
-    keys = [(0, *order(r[0])) if r else done for r in runs]
+    rows = [next(r, None) for r in runs]
+    keys = [done if r is None else (0, *order(r)) for r in rows]
     losers, winner = [-1] * k, 0
     entered = [0] * (2 * k)
     for i in range(k):
@@ -206,9 +217,9 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         entered[node], losers[node] = (a, b) if keys[a] <= keys[b] else (b, a)
     winner = entered[1] if k > 1 else 0
     while keys[winner] != done:
-        yield runs[winner][at[winner]]
-        at[winner] += 1
-        keys[winner] = (0, *order(runs[winner][at[winner]])) if at[winner] < len(runs[winner]) else done
+        yield rows[winner]
+        row = rows[winner] = next(runs[winner], None)
+        keys[winner] = done if row is None else (0, *order(row))
         node = (k + winner) // 2
         while node:
             if keys[losers[node]] < keys[winner]:
@@ -216,28 +227,53 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
+def slices(it: Iterator[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """Rows that come run by run, as the pieces of each run, still in Arrow."""
+    out: list[list[pa.RecordBatch]] = []
+    last = None
+    for batch in it:
+        names = batch.column(batch.schema.get_field_index("run"))
+        start = 0
+        for end in range(1, batch.num_rows + 1):
+            if end < batch.num_rows and names[end] == names[start]:
+                continue
+            if names[start].as_py() != last:
+                out.append([])
+                last = names[start].as_py()
+            out[-1].append(batch.slice(start, end - start))
+            start = end
+    return out
+
+
+def cursor(pieces: list[pa.RecordBatch], at_once: int = 64) -> Iterator[tuple]:
+    """A slice's rows, a few at a time."""
+    for piece in pieces:
+        for start in range(0, piece.num_rows, at_once):
+            yield from zip(*(c.to_pylist() for c in piece.slice(start, at_once).columns), strict=True)
+
+
 def merge_index(runs: DataFrame) -> DataFrame:
     """The runs' captures in global order (partition by partition): capture histories by URL key and timestamp.
 
     Ranges are cut by key, timestamp and page_id, so a hot URL is split too; their number follows the number of captures,
-    which bounds what a task holds.
+    which bounds what a task holds. Null timestamps and page_ids come first. No captures give an empty index.
     """
     spark = runs.sparkSession
-    held = materialised(runs)
+    with small_batches(spark, 256):
+        held = stored(runs, "captures")
     n = max(partitions(spark), -(-held.count() // CAPTURES_PER_RANGE))
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in it for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        rows.sort(key=lambda r: (r[3], *order(r)))  # each run's slice, in its order
         merged: list[tuple] = []
-        for row in loser_tree([list(g) for _, g in groupby(rows, key=lambda r: r[3])]):
+        for row in loser_tree([cursor(pieces) for pieces in slices(it)]):
             merged.append(row)
             if len(merged) >= 10_000:
                 yield captures(merged)
                 merged = []
         yield captures(merged)
 
-    return held.repartitionByRange(n, "urlkey", "timestamp", "page_id").mapInArrow(merge, CAPTURE)
+    ranges = held.repartitionByRange(n, "urlkey", "timestamp", "page_id")
+    return ranges.sortWithinPartitions("run", "urlkey", F.coalesce("timestamp", F.lit("")), F.coalesce("page_id", F.lit(-1)), "offset").mapInArrow(merge, CAPTURE)
 
 
 def op7_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
