@@ -1,4 +1,5 @@
 import itertools
+import math
 import os
 import random
 import zlib
@@ -41,6 +42,49 @@ def test_quality_learns(spark):
     assert len(held) > 80 and np.mean([r.predicted == (r.doc_id % 3 != 0) for r in held]) > 0.98
 
 
+def plain_slots(text):
+    """A text's n-grams, one by one: unigrams, and bigrams or repeats."""
+    hashes = [quality._token_hash(t) for t in quality.TOKEN.findall(text)]
+    wrap, shift = (1 << 64) - 1, 64 - quality.BITS
+    pairs = [int(quality.REPEATED) if a == b else ((a * int(quality.MIX)) ^ (b * 0xC2B2AE3D27D4EB4F)) & wrap for a, b in zip(hashes, hashes[1:])]
+    return [(h * int(quality.MIX) & wrap) >> shift for h in hashes + pairs]
+
+
+def test_scores_against_brute_force(spark, odd):
+    docs, labels = labelled(spark, 200)
+    w, b = quality.fit(docs, labels)
+    for r, (_, text) in zip(quality.score(odd.coalesce(1), (w, b)).collect(), [(x.doc_id, x.text) for x in odd.coalesce(1).collect()], strict=True):
+        slots = plain_slots(text or "")
+        want = 1 / (1 + math.exp(-(b + sum(float(w[s]) for s in slots) / max(1, len(slots)) ** 0.5)))
+        assert r.score == pytest.approx(want, abs=1e-9) and r.predicted == int(want >= 0.3)
+
+
+def test_training_against_plain_updates():
+    """The vectorised updates against one weight after the other, in dictionaries."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randrange(9))) for _ in range(40)]
+    y, params, size = np.array([float("a" in t) for t in texts]), quality.Ftrl(epochs=2), 1 << quality.BITS
+    w, b = quality.train([quality.ngram_slots(quality.token_hashes(t)) for t in texts], y, size, params)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= params.l1:
+            return 0.0
+        return -(z[i] - math.copysign(params.l1, z[i])) / ((params.beta + math.sqrt(n[i])) / params.alpha + params.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(params.epochs):
+        for k in order.permutation(len(texts)):
+            slots = plain_slots(texts[k])
+            x = {i: slots.count(i) / max(1, len(slots)) ** 0.5 for i in slots} | {size: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, (g, wi) in {i: ((p - y[k]) * v, weight(i)) for i, v in x.items()}.items():
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / params.alpha * wi
+    assert b == pytest.approx(weight(size)) and all(w[i] == pytest.approx(weight(i)) for i in z if i < size)
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = labelled(spark, 200)
     from pyspark.sql import functions as F

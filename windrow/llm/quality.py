@@ -40,9 +40,11 @@ def _memory() -> dict[str, int]:
 
 
 def _token_hash(token: str) -> int:
+    """Words by their lower-cased letters, those in capitals marked; runs of symbols by the symbols in them and whether
+    they are one, two or more."""
     mark = "^" if len(token) > 1 and token.isupper() else ""
     if not (token[0].isalnum() or token[0] == "_"):
-        token = token[:3]
+        token = "".join(sorted(set(token))) + "*" * (min(len(token), 3) - 1)
     return xxhash.xxh3_64_intdigest(mark + token.lower())
 
 
@@ -142,7 +144,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], threshold: floa
     """doc_id, held_out, score, predicted for every row.
 
     Null and empty texts have no n-grams and get the bias alone. A null doc_id is not held out. Repeated rows are scored
-    each; columns other than doc_id and text are not read.
+    each; columns other than doc_id and text are not read. An empty table gives no rows. Long texts are hashed whole.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the corpus
 
