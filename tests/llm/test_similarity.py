@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
 from windrow.llm import minhash, ngram_join, similarity
@@ -157,6 +158,23 @@ def test_fingerprints_against_brute_force(spark, clashing, odd, none):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_ids_that_many_rows_share_are_cut_by_their_texts(spark):
+    """A third of the rows without doc_id, a third with one id: the same rows as by brute force, over many ranges."""
+    rng = random.Random(8)
+    ids = [None] * 120 + [77] * 120 + [rng.randrange(150) for _ in range(120)]
+    rows = [(i, prose(rng, rng.randrange(1, 30)) if rng.random() < 0.95 else None) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash.fingerprint_documents(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_fingerprints(rows), key=str)
+    placed = minhash.ranges_by_id(df.selectExpr("doc_id", "coalesce(text, '') AS text"), 16)
+    sizes = {r.range: r["count"] for r in placed.groupBy("range").count().collect()}
+    assert max(sizes.values()) < 60
+    in_order = [r.range for r in placed.orderBy(F.col("doc_id").asc_nulls_last(), "text").collect()]
+    assert in_order == sorted(in_order)
+    copies = minhash.with_followers(df, 16)
+    assert copies.where("ahead").count() < 3 * len(sizes)
+
+
 def test_likeness_estimates_jaccard():
     rng = random.Random(7)
     make, errors = minhash.Fingerprints(), []

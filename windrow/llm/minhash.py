@@ -10,6 +10,7 @@ near_duplicates() joins signature bands in Spark and verifies the Jaccard simila
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,15 +84,27 @@ class Fingerprints:
 
 
 def ranges_by_id(documents: DataFrame, ranges: int) -> DataFrame:
-    """documents plus range: a number that never falls as doc_id grows; null ids come last.
+    """documents plus range, a number that never falls in the order of doc_id and text, and crowded; null ids come last.
 
-    The cuts are approximate quantiles of doc_id, as many as there are ranges, whatever the number of rows.
+    The cuts are approximate quantiles of doc_id, as many as there are ranges, whatever the number of rows. Ids that fill
+    several ranges by themselves are crowded, and so are null ones: their rows are cut further by their texts' beginnings.
     """
-    cuts = documents.select(F.percentile_approx(F.col("doc_id").cast("double"), F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 10_000).alias("q")).first().q if ranges > 1 else None
-    splits = [-float("inf"), *sorted(set(cuts or [0.0])), float("inf")]
-    keyed = documents.withColumn("__key", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("1e308"))))
-    found = Bucketizer(splits=splits, inputCol="__key", outputCol="range").transform(keyed)
-    return found.withColumn("range", F.col("range").cast("int")).drop("__key")
+    shares = F.array(*(F.lit(i / ranges) for i in range(1, max(2, ranges))))
+    key = F.coalesce(F.col("doc_id").cast("double"), F.lit(1e308))
+    found = documents.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 10_000).alias("cuts"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
+    cuts = found.cuts or []
+    hot = {c for c in cuts if cuts.count(c) > 1}
+    splits = sorted({*cuts, *(math.nextafter(h, math.inf) for h in hot), 1e308})
+    keyed = documents.withColumns({"__key": key, "crowded": F.col("doc_id").isNull() | key.isin(*hot)})
+    placed = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="__key", outputCol="__range").transform(keyed)
+    inner, of_text = F.lit(0), 1
+    if hot or found.without:
+        beginning = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        placed = placed.withColumn("__text", F.when(F.col("crowded"), beginning).otherwise(F.lit(0.0)))
+        by_text = sorted(set(placed.where("crowded").agg(F.percentile_approx("__text", shares, 10_000)).first()[0] or [0.0]))
+        placed = Bucketizer(splits=[-math.inf, *by_text, math.inf], inputCol="__text", outputCol="__inner").transform(placed)
+        inner, of_text = F.when(F.col("crowded"), F.col("__inner")).otherwise(0), len(by_text) + 1
+    return placed.select(*documents.columns, (F.col("__range") * of_text + inner).cast("int").alias("range"), "crowded")
 
 
 def with_followers(documents: DataFrame, ranges: int) -> DataFrame:
@@ -100,12 +113,14 @@ def with_followers(documents: DataFrame, ranges: int) -> DataFrame:
     After the last row comes the first. Texts are shuffled once: only the first row of each range is there twice.
     """
     cut = ranges_by_id(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ranges)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id")
-    firsts = sorted(cut.groupBy("range").agg(F.min(order).alias("first")).collect(), key=lambda r: r.range)  # one row a range
-    before = [(r.range, firsts[i - 1].range) for i, r in enumerate(firsts)]
-    spark = documents.sparkSession
-    heads = spark.createDataFrame([(r.range, r.first.doc_id, b) for r, (_, b) in zip(firsts, before, strict=True)], "at int, head bigint, previous int")
-    marked = cut.join(F.broadcast(heads), (F.col("range") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    # one row a range: its first id, and in a crowded range the hash of its first text
+    firsts = {r.range: [r.head, None] for r in cut.groupBy("range").agg(F.min("doc_id").alias("head")).collect()}
+    for r in cut.where("crowded").groupBy("range").agg(F.xxhash64(F.min("text")).alias("mark")).collect():
+        firsts[r.range][1] = r.mark
+    order = sorted(firsts)
+    heads = documents.sparkSession.createDataFrame([(r, *firsts[r], order[i - 1]) for i, r in enumerate(order)], "at int, head bigint, mark bigint, previous int")
+    first = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("mark").isNull() | (F.xxhash64("text") == F.col("mark")))
+    marked = cut.join(F.broadcast(heads), (F.col("range") == F.col("at")) & first, "left")
     here = F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead"))
     there = F.struct(F.col("previous").alias("range"), F.lit(True).alias("ahead"))
     copies = F.when(F.col("at").isNull(), F.array(here)).otherwise(F.array(here, there))
@@ -118,8 +133,8 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n / 4) code points replaced by as many (or all) first ones of the
     next document by doc_id; after the last comes the first. Null texts are empty; texts without words have the
     fingerprint of the empty set, which is like itself only. Null doc_ids come last; rows with equal ids follow each
-    other by their texts, so repeated rows are each other's next. A single document is its own next. Columns other than
-    doc_id and text are not read.
+    other by their texts, so repeated rows are each other's next. A single document is its own next; an empty table gives no rows. Columns
+    other than doc_id and text are not read.
     """
     spark = documents.sparkSession
     n = partitions(spark)
