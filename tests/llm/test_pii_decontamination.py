@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from windrow.llm import decontamination, pii
+from windrow.llm import common, decontamination, pii
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -184,6 +184,22 @@ def test_leaks_against_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_leaks(docs, items)
 
 
+def test_leaks_of_a_benchmark_too_large_to_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(k, " ".join(words(rng, n))) for k, n in enumerate([3, 8, 20, 40])]
+    docs = [(k, " ".join([*words(rng, 20), *(items[k % 4][1].split() if k % 2 else words(rng, 20)), *words(rng, 20)])) for k in range(40)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(tuple, decontamination.find_leaks(d, b).collect()))
+    monkeypatch.setattr("windrow.llm.common.BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, decontamination.find_leaks(d, b).collect())) == want and len(want) >= 20
+    kept = {r.doc_id for r in decontamination.decontaminated(d, b).collect()}
+    assert kept == {i for i, _ in docs} - {x[0] for x in want}
+    seeds = spark.range(1000).select((F.xxhash64("id")).alias("seed"))
+    known = seeds.where("seed % 3 = 0")
+    found = {r.seed for r in common.possible(seeds, F.col("seed"), known, F.col("seed")).collect()}
+    assert {r.seed for r in known.collect()} <= found and len(found) < 400
+
+
 def test_short_items_lose_no_overlap():
     """Every pattern of equal and substituted tokens that verification accepts is hit by a mask."""
     for n in range(1, decontamination.SHORTEST):

@@ -213,3 +213,12 @@ def test_recall_of_the_joined_bands(spark):
     want = {i for i, _, c in brute_components(rows, 5, 80, 100) if i != c}
     found = {r.doc_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.doc_id != r.component_id}
     assert found <= want and len(want) > 50 and len(found) >= 0.99 * len(want)
+
+
+def test_the_same_rows_stay_where_tables_are_too_large_to_broadcast(spark, clashing, monkeypatch):
+    rows = corpus(23)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(str, ngram_join.one_of_each(df).collect())), sorted(map(str, ngram_join.one_of_each(clashing).collect()))
+    monkeypatch.setattr("windrow.llm.common.BROADCAST_BYTES", -1)
+    assert (sorted(map(str, ngram_join.one_of_each(df).collect())), sorted(map(str, ngram_join.one_of_each(clashing).collect()))) == want
+    assert len(want[0]) < len(rows)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: Bytes that a row takes in a broadcast table besides its strings and lists.
 ROW_BYTES = 40
+#: Bits of the filter in front of a join with a table that is too large to broadcast.
+FILTER_BITS = 1 << 27
 #: What this process has written below shared folders and has not deleted.
 SCRATCH: list[str] = []
 
@@ -85,6 +87,43 @@ def if_small(df: DataFrame, more: Column | None = None) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def bitmap(known: DataFrame, key: Column) -> DataFrame:
+    """(__bucket, __bits): a bitmap of FILTER_BITS bits, those set on which a key falls; 16 MB whatever the table."""
+    slot = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    return known.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits"))
+
+
+def marked_possible(df: DataFrame, key: Column, known: DataFrame, known_key: Column) -> DataFrame:
+    """df plus __possible: true where the key may be among the known ones, false only where it is not. No shuffle of df.
+
+    Keys are 64-bit hashes; of unknown ones as many pass as the share of bits that are set.
+    """
+    slot = F.pmod(key, F.lit(FILTER_BITS)) + 1
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), at % 8)) % 2
+    found = df.join(F.broadcast(bitmap(known, known_key)), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left")
+    return found.withColumn("__possible", F.coalesce(bit == 1, F.lit(False))).drop("__bucket", "__bits")
+
+
+def possible(df: DataFrame, key: Column, known: DataFrame, known_key: Column) -> DataFrame:
+    """df's rows whose key may be among the known ones: before an inner join, so that no others are shuffled."""
+    return marked_possible(df, key, known, known_key).where("__possible").drop("__possible")
+
+
+def without(df: DataFrame, gone: DataFrame, same: Column, key: Column, gone_key: Column) -> DataFrame:
+    """df without the rows that `same` matches with one of `gone`, a stored table; keys are hashes that matching rows share.
+
+    Where gone is too large to broadcast, only rows that may match are shuffled; all others pass where they are read.
+    """
+    small = if_small(gone)
+    if small is not gone:
+        return df.join(small, same, "left_anti")
+    marked = marked_possible(df, key, gone, gone_key)
+    stay, unsure = (marked.where(x).drop("__possible") for x in (~F.col("__possible"), F.col("__possible")))
+    return stay.unionByName(unsure.join(gone, same, "left_anti"))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs run inside hand at most `rows` rows at once to a Python worker, which bounds the memory on both sides."""

@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import if_small, materialised, table
+from windrow.llm.common import if_small, materialised, possible, table, without
 
 #: Token positions that a mask reads; the others of its span are ignored.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 5, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 4, 5))
@@ -97,13 +97,18 @@ def overlaps(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SCOR
     short = items.select(F.size("tokens").alias("n")).where(F.col("n") < SHORTEST).distinct().collect()  # eight lengths at most
     masks = masks_for((x.n for x in short), least, share)
     known = materialised(seeds(items, ["item_id"], masks, True).select("item_id", F.col("at").alias("item_at"), "seed"))
-    known = if_small(known)
+    every, known = known, if_small(known)
     probes = seeds(rows.select("doc_id", "text_hash", tokens(F.col("text")).alias("tokens")), ["doc_id", "text_hash"], masks, False)
+    if known is every:  # too large to broadcast: only probes that may match are shuffled
+        probes = possible(probes, F.col("seed"), known, F.col("seed"))
     hits = materialised(probes.join(known, "seed").select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     by_row = hits.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
     by_row = materialised(by_row)
     same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    found = rows.join(if_small(by_row, 24 * F.size("hits")), same_row).select("doc_id", "text_hash", tokens(F.col("text")).alias("words"), "hits")
+    few = if_small(by_row, 24 * F.size("hits"))
+    if few is by_row:  # so are only texts that may have a hit
+        rows = possible(rows, F.col("text_hash"), by_row, F.col("__hash"))
+    found = rows.join(few, same_row).select("doc_id", "text_hash", tokens(F.col("text")).alias("words"), "hits")
     aligned = found.select("doc_id", "text_hash", "words", F.explode("hits").alias("hit")).select("doc_id", "text_hash", "words", "hit.item_id", "hit.diagonal")
     own = if_small(items, F.aggregate("tokens", F.lit(0), lambda n, t: n + F.octet_length(t) + 16))
     aligned = aligned.join(own.withColumnRenamed("item_id", "__item"), F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item")
@@ -149,7 +154,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaks = overlaps(documents, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     leaks = materialised(leaks.distinct())
     same_row = F.col("doc_id").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__hash"))
-    return documents.join(if_small(leaks), same_row, "left_anti")
+    return without(documents, leaks, same_row, text_hash(), F.col("__hash"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import batches, if_small, partitions, small_batches, stored, strings, table
+from windrow.llm.common import batches, if_small, partitions, possible, small_batches, stored, strings, table, without
 from windrow.llm.similarity import U, Words, cluster_links, components, components_sql, mix, shingle_hashes
 
 
@@ -192,7 +192,12 @@ def _components(documents: DataFrame, size: int, num: int, den: int) -> DataFram
     members = stored(enough.select("cls", "n", "rep", F.explode("leaders").alias("leader")).distinct(), "members")
     wanted = stored(members.select(F.col("cls").alias("own"), "rep").distinct(), "wanted")
     ids = stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")
-    texts = documents.join(if_small(ids), "doc_id") if wanted.where("rep IS NULL").isEmpty() else documents
+    few = if_small(ids)
+    if wanted.where("rep IS NULL").isEmpty():
+        texts = documents if few is not ids else possible(documents, F.xxhash64("doc_id"), ids, F.xxhash64("doc_id"))
+        texts = texts.join(few, "doc_id")
+    else:
+        texts = documents
     found = components(cluster_links(members.select("leader", "cls", "n"), shingle_sets(texts, size), num, den))
     named = found.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
     smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
@@ -220,7 +225,8 @@ def one_of_each(documents: DataFrame, size: int = 5, num: int = 80, den: int = 1
     found = stored(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("rows")), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
     again = found.where("doc_id = component_id AND rows > 1").select(F.col("doc_id").alias(key))
-    kept = keyed.join(if_small(gone), key, "left_anti")
+    gone = gone.withColumnRenamed(key, "__gone")
+    kept = without(keyed, gone, F.col(key) == F.col("__gone"), F.xxhash64(key), F.xxhash64("__gone"))
     if not again.isEmpty():
         repeated = if_small(again)
         kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
