@@ -189,6 +189,8 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Alternating stars: every node hands its larger neighbours, then its smaller ones, to the smallest it knows. Each
     round is cut from its lineage in the shared folder; the number of rounds grows with the logarithm of the longest path.
+    A star's centre is one key of the joins, with one row on the other side: Spark's skew join splits its narrow rows. Links
+    that do not settle in `most` rounds are an error.
     """
     edges = materialised(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
