@@ -26,7 +26,7 @@ sources:
       zones: {columns: {zone: VARCHAR, limit: DOUBLE}, rows: [{zone: a, limit: 1}, {zone: b, limit: 2.5}]}
 queries:
   - {name: n, data_source: ships, window_type: tumbling, window_size: 60, query: "SELECT COUNT(*) AS n FROM events", return_type: aggregate}
-  - {name: g, data_source: generic, window_size: 60, query: "SELECT {id_field} FROM events WHERE {lat_field} > 1"}
+  - {name: g, data_source: generic, window_size: 60, query: "SELECT {id_field} FROM events WHERE {lat_field} > 1", return_type: aggregate}
 """
 
 
@@ -49,9 +49,10 @@ def test_config(config, spark, tmp_path):
     assert load_config(spark, f"file://{tmp_path}/c.yaml") == config
 
 
-@pytest.mark.parametrize("bad", ["name: a, query: q, window_type: hopping, window_size: 5", "name: a, window_size: 5", "name: a, query: q, window_size: 5, data_source: none", "name: a, query: q, window_size: 0", "name: a, query: q, window_size: 5, is_alert: true", "name: good, query: q, window_size: 5"])
+@pytest.mark.parametrize("bad", ["name: a, query: q, window_type: hopping, window_size: 5", "name: a, window_size: 5", "name: a, query: q, window_size: 5, data_source: none", "name: a, query: q, window_size: 0", "name: a, query: q, window_size: 5, is_alert: true", "name: good, query: q, window_size: 5", "name: a, query: q, window_size: 5"])
 def test_a_bad_query_is_rejected_by_itself(bad):
-    config = parse_config(f"queries: [{{name: good, query: q, window_size: 5}}, {{{bad}}}]")
+    returns = "" if bad == "name: a, query: q, window_size: 5" else ", return_type: aggregate"
+    config = parse_config(f"queries: [{{name: good, query: q, window_size: 5, return_type: spatial}}, {{{bad}{returns}}}]")
     assert [q.name for q in config.queries] == ["good"] and len(config.rejected) == 1
 
 
@@ -98,11 +99,48 @@ def test_replay_and_import(spark, config, tmp_path):
     assert [m["shipType"] for m in imported] == ["Cargo", ""]
 
 
+def test_quotes_are_read_lazily(spark, config, tmp_path):
+    lines = ['# Timestamp,MMSI,Latitude,Name', '01/06/2024 00:00:00,1,57,the "Anna" II', '01/06/2024 00:00:01,2,57,"a "bare" one, quoted"', '01/06/2024 00:00:02,3,57,"doubled ""x"" and \\"', '01/06/2024 00:00:03,4,57,5" gun']
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    got = {r.MMSI: r.Name for r in replay.read_csv(spark, config.sources["ships"], f"file://{tmp_path}/a.csv").collect()}
+    assert got == {"1": 'the "Anna" II', "2": 'a "bare" one, quoted', "3": 'doubled "x" and \\', "4": '5" gun'}
+    (tmp_path / "b.csv").write_text('# Timestamp,MMSI\nx,"two\nlines"\n')
+    assert replay.read_csv(spark, config.sources["ships"], f"file://{tmp_path}/b.csv", multiline=True).first().MMSI == "two\nlines"
+    (tmp_path / "c.csv").write_text("# Timestamp,MMSI\nx,1,2\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        replay.read_csv(spark, config.sources["ships"], f"file://{tmp_path}/c.csv").collect()
+
+
 def test_window_scan_is_inclusive(spark):
     rows = spark.range(10).withColumnRenamed("id", "sec")
     assert ingest.window_scan(rows, 2, 4).agg(F.sum("sec")).first()[0] == 9
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_window_scan_states_its_bounds_on_the_stored_column(spark, tmp_path, kind):
+    spark.range(0, 1000).select("id", F.timestamp_seconds(F.col("id") * 60).cast(kind).alias("ts")).write.parquet(f"file://{tmp_path}/e")
+    rows = spark.read.parquet(f"file://{tmp_path}/e").withColumn("sec", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    scan = ingest.window_scan(rows, 60 * 200, 60 * 205, "ts")
+    assert sorted(r.id for r in scan.collect()) == list(range(200, 206))
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts," in plan and "LessThan(ts," in plan
+
+
+def test_event_store_reads_only_a_window_s_files(spark, tmp_path):
+    path = f"file://{tmp_path}/events"
+    rows = spark.range(0, 10_000).select("id", (F.col("id") * 60).alias("sec"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    ingest.store_events(rows.unionByName(spark.createDataFrame([(-1, None, "a"), (-2, 5, None)], "id bigint, sec bigint, source string")), path)
+    assert spark.read.parquet(path).count() == 10_000
+    scan = ingest.stored_events(spark, path, 60 * 2000, 60 * 2005, ["b"])
+    assert sorted(r.id for r in scan.collect()) == [2001, 2003, 2005]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(period" in plan and "GreaterThanOrEqual(sec,120000)" in plan
+    read = scan.select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(read) == 1 and "source=b/period=86400" in read[0].f and len(spark.read.parquet(path).inputFiles()) >= 14
+    across = ingest.stored_events(spark, path, 86_400 - 60, 86_400)
+    assert sorted(r.id for r in across.collect()) == [1439, 1440]
+
+
 def test_observed_counts(spark, config):
     from pyspark.sql import Observation
 

@@ -19,9 +19,9 @@ sources:
     columns: {id: {from_field: id, required: true}, v: {from_field: v, type: DOUBLE}}
     reference_tables: {kinds: {columns: {id: VARCHAR, kind: VARCHAR}, rows: [{id: a, kind: x}, {id: b, kind: y}]}}
 queries:
-  - {name: count, data_source: s, window_size: 60, query: "SELECT COUNT(DISTINCT id) AS n, SUM(v) AS v FROM events"}
-  - {name: kinds, data_source: s, window_size: 60, query: "SELECT kind, COUNT(*) AS n FROM events JOIN kinds USING (id) GROUP BY kind ORDER BY n, kind LIMIT 1"}
-  - {name: slide, data_source: s, window_type: sliding, window_size: 120, query: "SELECT COUNT(*) AS n FROM events"}
+  - {name: count, data_source: s, window_size: 60, query: "SELECT COUNT(DISTINCT id) AS n, SUM(v) AS v FROM events", return_type: aggregate}
+  - {name: kinds, data_source: s, window_size: 60, query: "SELECT kind, COUNT(*) AS n FROM events JOIN kinds USING (id) GROUP BY kind ORDER BY n, kind LIMIT 1", return_type: aggregate}
+  - {name: slide, data_source: s, window_type: sliding, window_size: 120, query: "SELECT COUNT(*) AS n FROM events", return_type: aggregate}
 """
 SECONDS = [(0, "a"), (59, "b"), (60, "a"), (61, "b"), (150, "a"), (150, "c"), (310, "a"), (365, "b"), (500, "b"), (900, "a")]
 
@@ -76,7 +76,7 @@ def test_runner_gives_the_batch_results_of_closed_windows(spark, tmp_path):
     kinds = {"kinds": ingest.reference_frame(spark, config.sources["s"].reference_tables["kinds"])}
     for q in config.queries:
         w = win.sliding(df, 120, 60, base) if q.window_type == "sliding" else win.anchored_inclusive(df, 60, base)
-        want = sinks.result_rows(lifted(spark, win.closed(w, base + 900, win.LATENESS), q.query, kinds), q.name).select("window_start", "result")
+        want = sinks.result_rows(lifted(spark, win.closed(w, base + 900, win.LATENESS), q.query, kinds), q.name, q.return_type).select("window_start", "result")
         got = spark.read.parquet(f"file://{tmp_path}/out/{q.name}").select("window_start", "result")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
 
@@ -114,7 +114,7 @@ def runner_of(text, tmp_path, **more):
 
 ONE = """
 sources: {s: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: id, columns: {id: {from_field: id}, v: {from_field: v, type: DOUBLE}}}}
-queries: [{name: q, data_source: s, %s}]
+queries: [{name: q, data_source: s, return_type: aggregate, %s}]
 """
 
 
@@ -156,7 +156,7 @@ def test_generic_queries_use_the_names_of_each_source(spark, tmp_path):
 sources:
   s: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: id, columns: {id: {from_field: id}}}
   r: {timestamp_field: t, timestamp_format: "2006-01-02 15:04:05", id_field: "the name", columns: {who: {from_field: "the name"}}}
-queries: [{name: q, data_source: generic, window_size: 60, query: "SELECT COUNT(DISTINCT {id_field}) AS n FROM events"}]
+queries: [{name: q, data_source: generic, return_type: aggregate, window_size: 60, query: "SELECT COUNT(DISTINCT {id_field}) AS n FROM events"}]
 """
     other = json.dumps({"_source": "r", "t": "2024-01-01 00:00:07", "the name": "x"})
     got = run_batches(spark, runner_of(text, tmp_path), [[event("s", 0, "a"), event("s", 1, "b"), other], [event("s", 100, "a")]])
@@ -164,7 +164,7 @@ queries: [{name: q, data_source: generic, window_size: 60, query: "SELECT COUNT(
 
 
 def test_alerts_of_a_running_configuration(spark, tmp_path, capsys):
-    text = (ONE % 'window_size: 60, query: "SELECT id, v FROM events ORDER BY id", is_alert: true, alert_format: "{id!r} at {v:.1f}"').replace("}]\n", "}, {name: bad, data_source: s, window_type: hopping, window_size: 5, query: q}]\n")
+    text = (ONE % 'window_size: 60, query: "SELECT id, v FROM events ORDER BY id", is_alert: true, alert_format: "{id!r} at {v:.1f}"').replace("}]\n", "}, {name: bad, data_source: s, return_type: aggregate, window_type: hopping, window_size: 5, query: q}]\n")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.txt").write_text("\n".join([event("s", 0, "a", v="1.25"), event("s", 1, "b", v="2"), event("s", 100, "c", v="3")]))
     queries = engine.run_config(spark, parse_config(text), engine.message_stream(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/state")

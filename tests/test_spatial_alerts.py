@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from windrow.functions import alerts, spatial
+from windrow.functions import alerts, cells, spatial
 
 SQUARE = "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))"
 
@@ -75,3 +75,60 @@ def test_printed_alerts(spark, capsys):
     assert alerts.print_alerts(df, "zone", "{name}!") == 2
     assert capsys.readouterr().out.splitlines() == ["*** 2 ZONE WARNING(S) ***", "  a!", "  b!"]
     assert alerts.print_alerts(df.limit(0), "zone", "{name}") == 0
+
+
+def shapes(n, seed):
+    """Polygons of many sizes, some with holes or slanted sides, lines and points, two of them equal, some unreadable."""
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        x, y, r = rng.uniform(5, 20), rng.uniform(50, 60), 10 ** rng.uniform(-3, 0.3)
+        corners = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 9)))
+        ring = [(x + r * math.cos(a), y + r * math.sin(a) / 2) for a in corners]
+        text = lambda points: "(" + ", ".join(f"{a!r} {b!r}" for a, b in points) + ")"
+        hole = [(x + (a - x) / 2, y + (b - y) / 2) for a, b in ring]
+        kind = k % 10
+        wkt = f"POINT({x!r} {y!r})" if kind == 0 else "LINESTRING" + text(ring) if kind == 1 else f"POLYGON({text([*ring, ring[0]])}, {text([*hole, hole[0]])})" if kind == 2 else f"POLYGON({text([*ring, ring[0]])})"
+        out.append((k, wkt, rng.choice([0.2, 2.0, 30.0])))
+    return [*out, (n, *out[-1][1:]), (n + 1, "POLYGON((1 a, 2 2))", 2.0), (n + 2, None, 2.0), (n + 3, out[3][1], None), (n + 4, out[3][1], 0.0)]
+
+
+@pytest.mark.parametrize("refined, few", [(0, True), (1, True), (2, False), (0, False)])
+def test_cells_give_the_pairs_of_a_nested_loop(spark, monkeypatch, refined, few):
+    import random
+
+    rng = random.Random(4)
+    zones = spark.createDataFrame(shapes(60, refined), "zone int, geom_wkt string, threshold_nm double")
+    ships = spark.createDataFrame([(k, rng.uniform(4, 21), rng.uniform(49, 61)) for k in range(1500)] + [(2000, None, 55.0), (2001, 10.0, 90.0)], "id int, lon double, lat double")
+    monkeypatch.setattr(cells, "REFINED", refined)
+    monkeypatch.setattr(cells.zone_cover, "__defaults__", (*cells.zone_cover.__defaults__[:-1], refined))
+    if not few:
+        monkeypatch.setattr(cells, "BROADCAST_BYTES", 0)
+    rows = lambda df: sorted((r.id, r.zone, r.distance_nm) for r in df.collect())
+    monkeypatch.setattr(spatial, "FEW_ZONES", 1000)
+    want = rows(spatial.near_zones(ships, zones, "lon", "lat", axis_order="xy"))
+    by_cells = cells.near_zones_by_cells(ships, zones, "lon", "lat", axis_order="xy")
+    assert by_cells.columns == ["id", "lon", "lat", "zone", "geom_wkt", "threshold_nm", "distance_nm"]
+    got = rows(by_cells)
+    assert set(got) - set(want) == set() and set(want) - set(got) == set()
+    assert got == want and len(want) > 60
+    plan = by_cells._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and ("SortMergeJoin" in plan) != few
+    monkeypatch.setattr(spatial, "FEW_ZONES", 10)
+    assert rows(spatial.near_zones(ships, zones, "lon", "lat", axis_order="xy")) == want
+    assert rows(cells.near_zones_by_cells(ships, zones.limit(0), "lon", "lat")) == []
+
+
+def test_a_hundred_thousand_zones(spark):
+    k = F.col("id")
+    corner = lambda a, b: F.concat_ws(" ", (F.lit(5.0) + k % 400 / 20 + a).cast("string"), (F.lit(45.0) + F.floor(k / 400) / 20 + b).cast("string"))
+    ring = F.concat_ws(", ", corner(0, 0), corner(0.02, 0), corner(0.02, 0.02), corner(0, 0.02), corner(0, 0))
+    zones = spark.range(100_000).select(k.alias("zone"), F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("geom_wkt"), F.lit(0.1).alias("threshold_nm"))
+    ships = spark.range(2000).select(k.alias("ship"), (F.lit(5.01) + k * 7 % 400 / 20).alias("lon"), (F.lit(45.01) + k * 11 % 250 / 20).alias("lat"))
+    found = spatial.near_zones(ships, zones, "lon", "lat", axis_order="xy")
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    # every ship is at the middle of one zone, and no zone's neighbour is near
+    got = {r.ship: r.zone for r in found.collect()}
+    assert got == {i: i * 7 % 400 + i * 11 % 250 * 400 for i in range(2000)} and found.where("distance_nm > 0").count() == 0

@@ -106,7 +106,7 @@ class Config:
 def parse_config(text: str) -> Config:
     """A configuration from YAML. Unknown keys are ignored; a source that lacks a required one raises ValueError.
 
-    A query that lacks one, repeats a name or does not fit is rejected by itself.
+    A query that lacks one (name, query, return_type), repeats a name or does not fit is rejected by itself.
     """
     raw = yaml.safe_load(text) or {}
     sources = {}
@@ -134,7 +134,7 @@ def parse_config(text: str) -> Config:
 def parse_query(q: dict[str, Any]) -> QuerySpec:
     return QuerySpec(
         str(q["name"]), str(q["query"]), int(q.get("window_size") or 0), q.get("window_type") or "tumbling", q.get("data_source") or "",
-        q.get("return_type") or "", bool(q.get("is_alert")), q.get("alert_format") or "",
+        str(q["return_type"]), bool(q.get("is_alert")), q.get("alert_format") or "",
     )
 
 

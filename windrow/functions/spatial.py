@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the sphere's radius in metres of EPSG:3857; metres of a nautical mile.
 RADIUS, NAUTICAL_MILE = 6378137.0, 1852.0
+#: Zones that every position is compared with; more are looked up by cells.
+FEW_ZONES = 64
 RINGS = "array<array<struct<x:double,y:double>>>"
 #: A geometry of the SQL functions: a point's coordinates or a text, and what it is projected to.
 SHAPE = "struct<x:double,y:double,wkt:string,srid:string>"
@@ -66,14 +68,22 @@ def distance_to_segments(x: Column, y: Column, lines: Column, closed: bool | Col
         t = F.when(length == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((x - s.x1) * dx + (y - s.y1) * dy) / F.when(length == 0, F.lit(1.0)).otherwise(length))))
         return F.hypot(x - (s.x1 + t * dx), y - (s.y1 + t * dy))
 
+    least = F.array_min(F.transform(lines, to_one))
+    if closed is False:
+        return least
+    closed = F.lit(closed) if isinstance(closed, bool) else closed
+    return F.when(closed & within(x, y, lines), F.lit(0.0)).otherwise(least)
+
+
+def within(x: Column, y: Column, lines: Column) -> Column:
+    """Whether (x, y) lies inside the rings, by the crossing number."""
+
     def crosses(s: Column) -> Column:
         straddles = (s.y1 > y) != (s.y2 > y)
         rise = F.when(s.y2 == s.y1, F.lit(1.0)).otherwise(s.y2 - s.y1)
         return straddles & (x < s.x1 + (y - s.y1) / rise * (s.x2 - s.x1))
 
-    inside = F.size(F.filter(lines, crosses)) % 2 == 1
-    closed = F.lit(closed) if isinstance(closed, bool) else closed
-    return F.when(closed & inside, F.lit(0.0)).otherwise(F.array_min(F.transform(lines, to_one)))
+    return F.size(F.filter(lines, crosses)) % 2 == 1
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -83,8 +93,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def with_zone_geometry(zones: DataFrame, wkt: str = "geom_wkt", axis_order: str = "authority") -> DataFrame:
-    """zones plus zone_lines and the bounds of their points: projected once, on the small side of a join."""
-    lines = zones.withColumn("zone_lines", segments(mercator(from_wkt(F.col(wkt)), axis_order)))
+    """zones plus zone_lines, zone_closed (a polygon) and the bounds of their points: projected once, on the small side of a join."""
+    shape = from_wkt(F.col(wkt))
+    lines = zones.withColumns({"zone_lines": segments(mercator(shape, axis_order)), "zone_closed": F.coalesce(shape.kind == "POLYGON", F.lit(False))})
     bound = lambda f, a, b: f(F.concat(F.transform("zone_lines", lambda s: s[a]), F.transform("zone_lines", lambda s: s[b])))
     return lines.withColumns({"zone_x0": bound(F.array_min, "x1", "x2"), "zone_x1": bound(F.array_max, "x1", "x2"), "zone_y0": bound(F.array_min, "y1", "y2"), "zone_y1": bound(F.array_max, "y1", "y2")})
 
@@ -98,29 +109,37 @@ def mercator_point(lon: Column, lat: Column, axis_order: str = "authority") -> t
 def near_zones(events: DataFrame, zones: DataFrame, lon: str, lat: str, threshold: str = "threshold_nm", axis_order: str = "authority") -> DataFrame:
     """Pairs of an event and a zone nearer than the zone's threshold, plus distance_nm (unrounded).
 
-    A theta join with a static dimension: zones are a configuration's inline rows, so their size is bounded and they are
-    broadcast; events are never shuffled, and may be a stream. The zone's bounds guard the exact distance: both stand in
-    one expression, which no optimizer takes apart, so only positions within the bounds cost more than comparisons.
+    A theta join with a static dimension. Up to FEW_ZONES, such as a configuration's inline rows, are broadcast; events are
+    not shuffled, and may be a stream. The zone's bounds guard the exact distance: both stand in one expression, which no
+    optimizer takes apart, so only positions within the bounds cost more than comparisons. More zones are joined by cells.
     """
+    if zones.limit(FEW_ZONES + 1).count() > FEW_ZONES:
+        from windrow.functions.cells import near_zones_by_cells
+
+        return near_zones_by_cells(events, zones, lon, lat, threshold, axis_order)
     x, y = mercator_point(F.col(lon), F.col(lat), axis_order)
     at = events.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).withColumns({"__x": x, "__y": y})
     z = F.broadcast(with_zone_geometry(zones, axis_order=axis_order))
     x, y, reach = F.col("__x"), F.col("__y"), F.col(threshold) * NAUTICAL_MILE
     box = (x > F.col("zone_x0") - reach) & (x < F.col("zone_x1") + reach) & (y > F.col("zone_y0") - reach) & (y < F.col("zone_y1") + reach)
-    found = at.crossJoin(z).withColumn("distance_nm", F.when(box, distance_to_segments(x, y, F.col("zone_lines")) / NAUTICAL_MILE))
-    return found.where(F.col("distance_nm") < F.col(threshold)).drop("__x", "__y", "zone_lines", "zone_x0", "zone_x1", "zone_y0", "zone_y1")
+    found = at.crossJoin(z).withColumn("distance_nm", F.when(box, distance_to_segments(x, y, F.col("zone_lines"), F.col("zone_closed")) / NAUTICAL_MILE))
+    return found.where(F.col("distance_nm") < F.col(threshold)).drop("__x", "__y", "zone_lines", "zone_closed", "zone_x0", "zone_x1", "zone_y0", "zone_y1")
 
 
-def known_segments(wkt: str, axis_order: str) -> str:
-    """SQL for a polygon's projected segments, for a text that comes with a configuration; none for other texts."""
+def known_segments(wkt: str, axis_order: str) -> list[tuple[float, float, float, float]]:
+    """A polygon's projected segments (x1, y1, x2, y2), for a text that comes with a configuration; none for other texts."""
     if not re.fullmatch(r"\s*POLYGON\s*\((?:\s*\([^()]+\)\s*,?)+\s*\)\s*", wkt, re.I):
-        return ""
+        return []
     out = []
     for ring in re.findall(r"\(([^()]+)\)", wkt):
         pairs = [tuple(map(float, p.split())) for p in ring.split(",")]
         at = [(RADIUS * math.radians(x), RADIUS * math.log(math.tan(0.7853981633974483 + math.radians(y) / 2))) for x, y in (p[::-1] if axis_order == "authority" else p for p in pairs)]
-        out += [f"named_struct('x1', {a[0]!r}D, 'y1', {a[1]!r}D, 'x2', {b[0]!r}D, 'y2', {b[1]!r}D)" for a, b in zip(at, at[1:])]
-    return f"array({', '.join(out)})"
+        out += [(*a, *b) for a, b in zip(at, at[1:])]
+    return out
+
+
+def segments_sql(lines: list[tuple[float, float, float, float]]) -> str:
+    return "array(" + ", ".join("named_struct({})".format(", ".join(f"'{n}', {v!r}D" for n, v in zip(("x1", "y1", "x2", "y2"), s))) for s in lines) + ")"
 
 
 def register(spark: SparkSession, axis_order: str = "authority", known: Iterable[str] = ()) -> None:
@@ -133,7 +152,7 @@ def register(spark: SparkSession, axis_order: str = "authority", known: Iterable
     lon, lat = ("y", "x") if axis_order == "authority" else ("x", "y")
     literal = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lines = {wkt: made for wkt in dict.fromkeys(known) if (made := known_segments(wkt, axis_order))}
-    chosen = " ".join(f"WHEN {literal(wkt)} THEN {made}" for wkt, made in lines.items())
+    chosen = " ".join(f"WHEN {literal(wkt)} THEN {segments_sql(made)}" for wkt, made in lines.items())
     read = "__st_lines(__st_project(__st_rings(wkt)))"
     east = lambda v: f"{RADIUS}e0 * radians({v})"
     north = lambda v: f"{RADIUS}e0 * ln(tan(0.7853981633974483e0 + radians({v}) / 2))"

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from windrow.config import ColumnSpec, QuerySpec, SourceSpec
 from windrow.functions.alerts import alerts
-from windrow.functions.spatial import register
-from windrow.operators import relational, sinks
+from windrow.functions.spatial import near_zones, register
+from windrow.operators import panes, relational, sinks
 from windrow.operators import windows as win
 from windrow.plans import positions as plans
 from windrow.plans.lift import lifted
@@ -122,6 +122,31 @@ def hazard_alert_lines(spark, sf_dir):
     return alerts(found, '{mmsi} ({name}) — {distance_cnm} cnm from "{zone_name}" | status={nav_status}').select("window_start", "event_id", "alert")
 
 
+# Every customer has a rectangle; distances are to the nearest corner or side, in Mercator metres.
+ZONES_OF_CUSTOMERS = """z AS (SELECT c_custkey AS zone_id, 7e0 + CAST((c_custkey * 7919) % 9500 AS DOUBLE) / 1000e0 AS x0, 54e0 + CAST((c_custkey * 104729) % 5000 AS DOUBLE) / 1000e0 AS y0,
+    CAST(1 + c_custkey % 20 AS DOUBLE) / 100e0 AS wide, CAST(1 + c_custkey % 7 AS DOUBLE) / 50e0 AS high, CAST(1 + c_custkey % 4 AS DOUBLE) / 2e0 AS threshold_nm FROM customer)"""
+_PROJECTED = {"px": "6378137e0 * radians(lon)", "py": "6378137e0 * ln(tan(0.7853981633974483e0 + radians(lat) / 2))", "zx0": "6378137e0 * radians(x0)", "zx1": "6378137e0 * radians(x0 + wide)", "zy0": "6378137e0 * ln(tan(0.7853981633974483e0 + radians(y0) / 2))", "zy1": "6378137e0 * ln(tan(0.7853981633974483e0 + radians(y0 + high) / 2))"}
+
+
+def customer_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """zone_id, geom_wkt, threshold_nm: a rectangle for every customer."""
+    k, number = F.col("c_custkey"), lambda c: c.cast("double")
+    x0, y0 = F.lit(7.0) + number(k * 7919 % 9500) / 1000, F.lit(54.0) + number(k * 104729 % 5000) / 1000
+    placed = read(spark, sf_dir, "customer").select(k.alias("zone_id"), x0.alias("x0"), y0.alias("y0"), (x0 + number(1 + k % 20) / 100).alias("x1"), (y0 + number(1 + k % 7) / 50).alias("y1"), (number(1 + k % 4) / 2).alias("threshold_nm"))
+    corner = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
+    ring = F.concat_ws(", ", corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
+    return placed.select("zone_id", F.concat(F.lit("POLYGON(("), ring, F.lit("))")).alias("geom_wkt"), "threshold_nm")
+
+
+@query(f"""WITH {POSITIONS}, {ZONES_OF_CUSTOMERS}, p AS (SELECT event_id, {_PROJECTED['px']} AS px, {_PROJECTED['py']} AS py FROM valid),
+    g AS (SELECT zone_id, threshold_nm, {', '.join(f'{v} AS {k}' for k, v in _PROJECTED.items() if k[0] == 'z')} FROM z),
+    d AS (SELECT event_id, zone_id, sqrt(power(greatest(zx0 - px, 0, px - zx1), 2) + power(greatest(zy0 - py, 0, py - zy1), 2)) / 1852e0 AS d, threshold_nm FROM p, g)
+    SELECT event_id, zone_id, floor(d * 100e0 + 0.5e0) / 100e0 AS distance_nm FROM d WHERE d < threshold_nm""")
+def zones_by_cells(spark, sf_dir):
+    found = near_zones(valid_positions(spark, sf_dir).select("event_id", "lon", "lat"), customer_zones(spark, sf_dir), "lon", "lat", axis_order="xy")
+    return found.select("event_id", "zone_id", plans.rounded(F.col("distance_nm"), 2).alias("distance_nm"))
+
+
 @query(f"""WITH {POSITIONS}, k AS (SELECT valid.*, t0, unnest(range(greatest(CAST(floor((sec - t0 - 7200) / 3600.0) AS BIGINT) + 1, 0), (sec - t0) // 3600 + 1)) AS i FROM valid, t0)
     SELECT t0 + i * 3600 AS window_start, t0 + i * 3600 + 7200 AS window_end, count(*) AS events FROM k GROUP BY ALL""")
 def sliding_count(spark, sf_dir):
@@ -133,6 +158,42 @@ def sliding_gap_count(spark, sf_dir):
     return win.nonempty_windows(win.sliding(valid_positions(spark, sf_dir), 30, 60))
 
 
+SLIDING_HOURS = f"""{POSITIONS}, k AS (SELECT valid.*, t0, unnest(range(greatest(CAST(floor((sec - t0 - 21600) / 3600.0) AS BIGINT) + 1, 0), (sec - t0) // 3600 + 1)) AS i FROM valid, t0),
+    s AS (SELECT *, t0 + i * 3600 AS window_start, t0 + i * 3600 + 21600 AS window_end FROM k)"""
+
+
+@query(f"""WITH {SLIDING_HOURS} SELECT window_start, window_end, ship_type, count(*) AS events, min(sog) AS slowest, max(sog) AS fastest,
+    CAST(sum(CAST(sog AS DECIMAL(18,6))) AS DOUBLE) / count(sog) AS mean_speed FROM s GROUP BY ALL""")
+def sliding_by_panes(spark, sf_dir):
+    speed = F.col("sog")
+    aggregates = {"events": panes.count(), "slowest": panes.least(speed), "fastest": panes.most(speed), "mean_speed": panes.mean(speed.cast("decimal(18,6)"))}
+    return panes.sliding_aggregate(valid_positions(spark, sf_dir), 6 * HOUR, HOUR, aggregates, ("ship_type",))
+
+
+@query(f"WITH {SLIDING_HOURS} SELECT window_start, window_end, count(DISTINCT mmsi) AS vessels, true AS within FROM s GROUP BY ALL")
+def sliding_distinct_sketch(spark, sf_dir):
+    """Exact counts, and whether the sketches' estimates lie within four standard errors of them."""
+    rows = valid_positions(spark, sf_dir)
+    anchor = win.anchor_of(rows) or 0
+    exact = win.sliding(rows.select("mmsi", (F.floor((F.col("sec") - anchor) / HOUR) * HOUR + anchor).alias("sec")).distinct(), 6 * HOUR, HOUR, anchor).groupBy("window_start", "window_end").agg(F.count_distinct("mmsi").alias("vessels"))
+    about = panes.sliding_aggregate(rows, 6 * HOUR, HOUR, {"about": panes.distinct(F.col("mmsi"))}, anchor=anchor)
+    near = F.abs(F.col("about") - F.col("vessels")) <= 4 * 1.04 / 2 ** (panes.HLL_LOG / 2) * F.col("vessels") + 1
+    return exact.join(about, ["window_start", "window_end"]).select("window_start", "window_end", "vessels", near.alias("within"))
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS n, true AS within FROM lineitem GROUP BY l_returnflag")
+def quantile_sketch(spark, sf_dir):
+    """Whether the values that partial sketches give for some ranks lie at those ranks, exactly counted, within 3 %."""
+    rows, ranks = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity"), (0.1, 0.5, 0.9)
+    spec = panes.quantiles(F.col("l_extendedprice"), ranks)
+    about = rows.groupBy("l_returnflag").agg(spec.partial[0].alias("sketch")).select("l_returnflag", spec.final(F.col("sketch")).alias("at"))
+    below = [F.count_if(F.col("l_extendedprice") < F.col("at")[i]).alias(f"b{i}") for i in range(3)]
+    upto = [F.count_if(F.col("l_extendedprice") <= F.col("at")[i]).alias(f"u{i}") for i in range(3)]
+    counted = rows.join(F.broadcast(about), "l_returnflag").groupBy("l_returnflag").agg(F.count("l_quantity").alias("n"), *below, *upto)
+    near = [(F.col(f"b{i}") / F.col("n") <= r + 0.03) & (F.col(f"u{i}") / F.col("n") >= r - 0.03) for i, r in enumerate(ranks)]
+    return counted.select("l_returnflag", "n", (near[0] & near[1] & near[2]).alias("within"))
+
+
 def session_sql(gap: int) -> str:
     return f"""WITH {POSITIONS}, l AS (SELECT mmsi, sec, CASE WHEN sec - lag(sec) OVER (PARTITION BY mmsi ORDER BY sec) <= {gap} THEN 0 ELSE 1 END AS fresh FROM valid),
     s AS (SELECT mmsi, sec, sum(fresh) OVER (PARTITION BY mmsi ORDER BY sec ROWS UNBOUNDED PRECEDING) AS k FROM l)
@@ -173,9 +234,10 @@ def retention_by_pending_start(spark, sf_dir):
 
 @query(f"WITH {POSITIONS} SELECT event_id, sec FROM valid, t0 WHERE sec BETWEEN t0 + 3600 AND t0 + 7200")
 def window_range_scan(spark, sf_dir):
-    rows = valid_positions(spark, sf_dir)
-    start = win.anchor_of(rows)
-    return ingest.window_scan(rows, start + HOUR, start + 2 * HOUR).select("event_id", "sec")
+    start = win.anchor_of(valid_positions(spark, sf_dir))
+    events = read(spark, sf_dir, "events").withColumn("sec", plans.event_second(F.col("ts")))
+    own = ingest.window_scan(events, start + HOUR, start + 2 * HOUR, "ts").drop("sec")
+    return plans.valid(plans.positions(own)).select("event_id", "sec")
 
 
 # --- ingest ---------------------------------------------------------------------------------------------------------

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from windrow.config import RefTable, SourceSpec
 from windrow.types import spark_type, time_pattern
@@ -89,10 +93,15 @@ def typed_events(events: DataFrame, source: SourceSpec, strict: bool = False) ->
 
 
 def reference_frame(spark: SparkSession, ref: RefTable) -> DataFrame:
-    """A reference table's inline rows."""
+    """A reference table's inline rows, as a relation whose size the planner knows.
+
+    What it is joined with may grow: the reference is the small side of the plan, and is broadcast up to Spark's threshold.
+    """
     schema = T.StructType([T.StructField(n, spark_type(t)) for n, t in ref.columns.items()])
     made = lambda v, f: float(v) if v is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)) else str(v) if v is not None and isinstance(f.dataType, T.StringType) else v
-    return spark.createDataFrame([tuple(made(r[f.name], f) for f in schema) for r in ref.rows], schema)
+    rows = [[made(r[f.name], f) for r in ref.rows] for f in schema]
+    kinds = to_arrow_schema(schema)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, kinds, strict=True)], schema=kinds), schema)
 
 
 def ordered(events: DataFrame, *ties: str) -> DataFrame:
@@ -100,6 +109,41 @@ def ordered(events: DataFrame, *ties: str) -> DataFrame:
     return events.orderBy("sec", *(ties or [c for c in ("raw", "message") if c in events.columns]))
 
 
-def window_scan(events: DataFrame, start: int | Column, end: int | Column) -> DataFrame:
-    """Events of one window, both ends inclusive; a plain comparison that reaches the scan."""
+def window_scan(events: DataFrame, start: int, end: int, stored: str | None = None) -> DataFrame:
+    """Events whose second lies in one window, both ends inclusive.
+
+    stored: a timestamp column that the files hold. A bound on a computed second stays above the scan, so the same bounds
+    are stated on that column too: files and row groups outside the window are not read.
+    """
+    if stored:
+        kind = events.schema[stored].dataType
+        at = (lambda s: F.timestamp_seconds(F.lit(s))) if isinstance(kind, T.TimestampType) else (lambda s: F.lit(datetime.fromtimestamp(s, UTC).replace(tzinfo=None)).cast(kind))
+        events = events.where((F.col(stored) >= at(start)) & (F.col(stored) < at(end + 1)))
     return events.where(F.col("sec").between(start, end))
+
+
+def store_events(events: DataFrame, path: str, hours: int = 24, mode: str = "append") -> None:
+    """Events (with source and sec) laid out for window reads: a folder for each source and period of so many hours, files
+    of narrow ranges of seconds inside.
+
+    Ranges are cut by the seconds that are there, so a busy period is written by many tasks. Rows without source or second
+    lie in no window: they are left out.
+    """
+    placed = events.where("source IS NOT NULL AND sec IS NOT NULL").withColumn("period", _period(F.col("sec"), hours))
+    placed.repartitionByRange("source", "sec").sortWithinPartitions("source", "sec").write.mode(mode).partitionBy("source", "period").parquet(path)
+
+
+def stored_events(spark: SparkSession, path: str, start: int, end: int, sources: list[str] | None = None, hours: int = 24) -> DataFrame:
+    """Events of one window, both ends inclusive, from what store_events() has written with the same hours.
+
+    Folders of other periods and sources are not listed for reading; sec is a stored column, so its bounds reach files and
+    row groups.
+    """
+    rows = spark.read.parquet(path).where(F.col("period").between(start // (hours * 3600) * hours * 3600, end))
+    if sources is not None:
+        rows = rows.where(F.col("source").isin(sources))
+    return window_scan(rows, start, end).drop("period")
+
+
+def _period(sec: Column, hours: int) -> Column:
+    return (F.floor(sec / (hours * 3600)) * (hours * 3600)).cast("bigint")

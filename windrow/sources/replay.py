@@ -17,9 +17,15 @@ IMPORTED = {
 }
 
 
-def read_csv(spark: SparkSession, source: SourceSpec, path: str | None = None) -> DataFrame:
-    """The source's rows as strings, by header name. Only the delimiter's first character counts; a malformed row stops the read."""
-    return spark.read.option("header", True).option("sep", source.csv_delimiter[0]).option("mode", "FAILFAST").option("inferSchema", False).csv(path or source.csv_path)
+def read_csv(spark: SparkSession, source: SourceSpec, path: str | None = None, multiline: bool = False) -> DataFrame:
+    """The source's rows as strings, by header name. Only the delimiter's first character counts.
+
+    Quotes are read lazily: one inside an unquoted field, or an undoubled one inside a quoted field, is a character like
+    others; a quoted field ends with a quote before a delimiter or the line's end. A row with another number of fields
+    stops the read. multiline: quoted fields may hold line ends, for which files cannot be split.
+    """
+    lazy = {"quote": '"', "escape": '"', "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE", "multiLine": multiline}
+    return spark.read.options(header=True, sep=source.csv_delimiter[0], mode="FAILFAST", inferSchema=False, **lazy).csv(path or source.csv_path)
 
 
 def event_time(rows: DataFrame, source: SourceSpec) -> DataFrame:
