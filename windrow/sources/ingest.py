@@ -78,8 +78,8 @@ def cast_field(value: Column, kind: T.DataType, strict: bool = False) -> Column:
     return value.cast(kind) if strict else value.try_cast(kind)
 
 
-def typed_events(events: DataFrame, source: SourceSpec, strict: bool = False) -> DataFrame:
-    """The `events` relation: the source's columns by name, then ts and sec.
+def typed_events(events: DataFrame, source: SourceSpec, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The `events` relation: the source's columns by name, then ts and sec; before them the columns of keep as they are.
 
     Rows without a value in a required field are dropped before anything is cast; unknown fields are not read.
     """
@@ -89,7 +89,7 @@ def typed_events(events: DataFrame, source: SourceSpec, strict: bool = False) ->
         if c.required:
             rows = rows.where(present(field(c)))
     own = [cast_field(field(source.columns[n]), spark_type(source.columns[n].type), strict).alias(n) for n in sorted(source.columns)]
-    return rows.select(*own, *(x for x in ("ts", "sec") if x not in source.columns))
+    return rows.select(*keep, *own, *(x for x in ("ts", "sec") if x not in source.columns))
 
 
 def reference_frame(spark: SparkSession, ref: RefTable) -> DataFrame:
