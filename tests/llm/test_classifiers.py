@@ -147,18 +147,63 @@ def test_the_composed_machine_marks_the_paths_of_its_parts():
             assert sorted(got) == sorted(want) == sorted(machine.run((k,) for k in sequence)[1])
 
 
-def test_arc_weights_add_up():
-    model = toxicity.Grammar({}, (0.5, 1.0, 4.0, 1.0, -2.0, -1.0, 3.0), 0.0)
-    weights, (after, _) = model.arc_weights(), toxicity.tables()
-
-    def weight(*kinds):
-        state, total = 0, 0.0
-        for k in kinds:
-            total, state = total + weights[state][k], after[state][k]
-        return total
-
-    strong = toxicity.INSULT + 2
-    assert (weight(strong), weight(toxicity.TARGET, strong), weight(toxicity.NEGATION, strong), weight(toxicity.TARGET, toxicity.NEGATION, strong), weight(toxicity.REPORT, strong)) == (4.0, 5.0, 2.0, 3.0, 3.0)
+def brute_logit(text, model):
+    """Clause by clause through the transducers one after the other; the k-th heaviest arc, and clause, count a k-th."""
+    reader, clauses, path = toxicity.Reader(model), [], []
+    for kind in [*reader.classes(text), toxicity.STOP]:
+        if kind != toxicity.STOP:
+            path.append((kind,))
+            continue
+        arcs = []
+        for n in range(len(path)):  # what the path to the n-th word is marked with, less that of the path before
+            marks = []
+            for upto in (n + 1, n):
+                symbols, found = path[:upto], []
+                for part in toxicity.components():
+                    symbols, more = part.run(symbols)
+                    found += more
+                marks.append(found)
+            for m in marks[1]:
+                marks[0].remove(m)
+            arcs.append(max(0.0, sum(model.weights[toxicity.MARKS.index(m)] for m in marks[0])))
+        clauses.append(sum(w / k for k, w in enumerate(sorted(arcs, reverse=True), 1)))
+        path = []
+    return model.bias + sum(w / k for k, w in enumerate(sorted(clauses, reverse=True), 1))
+
+
+MODEL = toxicity.Grammar({"dolt": 2, "oaf": 1, "odd$": 0}, (0.5, 4.0, 5.0, 1.0, -8.0, -4.0, 7.0), -5.0)
+
+
+def test_scores_against_plain_loops():
+    rng = random.Random(5)
+    words = "dolt dolts oaf odd you they not said kill stone the river . ! \n".split(" ")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(300)] + ["", "dolt. " * 200, "you dolt " * 100]
+    got, _ = toxicity.probabilities(toxicity.Reader(MODEL), MODEL, texts)
+    # long sums go by logarithms: the same to four digits
+    assert got == pytest.approx([1 / (1 + np.exp(-brute_logit(t, MODEL))) for t in texts], rel=1e-4)
+
+
+@pytest.mark.parametrize("more,less", [("you are a dolt", "a dolt"), ("a dolt", "not a dolt"), ("you dolt", "he said you dolt"), ("they will kill you", "they will not kill you"), ("dolt. dolt", "dolt"), ("dolt", "odd"), ("dolt", "you are not a dolt"), ("kill you", "kill the river")])
+def test_clauses_order_scores(more, less):
+    a, b = toxicity.probabilities(toxicity.Reader(MODEL), MODEL, [more, less])[0]
+    assert a > b
+
+
+def test_stems_that_begin_plain_words_give_way_to_longer_ones():
+    found = {"idio": (3.0, 9, 0), "idiot": (3.0, 9, 0), "idiot$": (2.9, 8, 0), "path": (3.0, 7, 1), "pathetic": (3.0, 7, 1), "pathetic$": (3.0, 7, 1), "oaf$": (2.0, 6, 0)}
+    assert set(toxicity.told_apart(found)) == {"idiot", "pathetic", "oaf$"}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_the_grammar_changes_scores_of_the_given_documents(spark):
+    """Without negations, reports, targets and threats other documents of the table are toxic; a threat is toxic unseen."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    words = toxicity.Grammar(model.lexicon, (*model.weights[:3], 0.0, 0.0, 0.0, 0.0), model.bias)
+    a, b = ({r.doc_id: r.score for r in toxicity.score(docs, m).collect()} for m in (model, words))
+    assert any(abs(a[i] - b[i]) > 0.01 for i in a)
+    said = dict(zip(("threat", "negated threat", "plain"), toxicity.probabilities(toxicity.Reader(model), model, ["I will kill you.", "I will not kill you.", "a stone"])[0], strict=True))
+    assert said["threat"] > 0.5 > said["negated threat"] and said["plain"] < 0.1
 
 
 def test_clauses_and_not_words_decide(spark):

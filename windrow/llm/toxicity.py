@@ -1,25 +1,28 @@
 """Toxicity as a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer reads every word letter by letter (the longest entry that is a prefix of the word wins, so inflected
-and compounded forms are read by their stem) and gives its class: an insult of some strength, a threat, a target, a
+A lexicon transducer reads every word letter by letter (a whole word first, then the longest entry that is a prefix of the
+word, so inflected forms are read by their stem) and gives its class: an insult of some strength, a threat, a target, a
 negation, a reporting verb. Five small transducers over these classes - negation and report with their scope in words,
 target, insult, threat - are composed into one machine. Their arcs carry marks, and composing adds them up: an insult in
 the scope of a negation is marked as insult and as negated. Every mark has a weight, so every arc of the composed machine
-has one, and a clause (a stretch of words between stops, or a table cell) weighs what its path weighs: a negation or a
-report lowers it, a target raises it. A document's score is the logistic function of its clauses' marks, of which
-repetitions count less and less.
+has one: its marks' sum, or nothing if a negation or a report cancels it. A clause (a stretch of words between stops, or a
+table cell) weighs what its path's arcs weigh, the heaviest in full and each further one a smaller share (a half, a third
+...); a document weighs what its clauses weigh, added up in the same way. Its score is the logistic function of that.
 
-Fixed function words give targets, negations, threats and reporting verbs. The insult entries with their strengths, and
-the weights of the marks, are learnt from labelled documents.
+Fixed function words give targets, negations, threats and reporting verbs. The insult entries with their strengths are
+learnt from labelled documents, and so are the weights, which are held near priors: labelled documents have next to no
+threats, negated or reported insults to learn from, and a grammar that waited for them would read isolated words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -31,10 +34,9 @@ from windrow.llm.common import batches, held_out, materialised, strings, table,
 
 #: Bound on the labelled rows that lexicon and weights are fitted on.
 TRAINING_ROWS = 16_384
-#: Bound on the learnt lexicon's entries.
-LEXICON_ROWS = 2_000
 REMEMBERED = 60_000
-STEM = (3, 12)
+#: Letters of the shortest entry, and of the longest stem; whole words may be longer.
+SHORTEST, LONGEST = 3, 40
 
 # Function words of the grammar's closed classes, in the corpus's four languages.
 TARGETS = "you your yours yourself he him she her they them their we us people everyone tu toi vous votre ils elles eux du dich dir ihr euch sie ihnen usted ustedes vosotros ellos ellas te".split()
@@ -48,11 +50,11 @@ CLASSES = INSULT + STRENGTHS
 STOP = -1
 #: What arcs are marked with: insults by strength, their target, negation and report, and threats at a target.
 MARKS = ("weak insult", "insult", "strong insult", "at target", "negated", "reported", "threat")
-#: Where the weights of marks lie without evidence, how strongly they are held there, and their bounds: whatever
-#: the sample says, a target raises a clause's weight, a negation or a report lowers it.
-PRIOR = (0.0, 0.0, 0.0, 0.5, -2.0, -1.0, 0.0)
-HELD = (0.05, 0.05, 0.05, 1.0, 1.0, 1.0, 0.5)
-BOUNDS = ((-9.0, 12.0), (0.0, 12.0), (0.0, 12.0), (0.0, 6.0), (-9.0, -0.5), (-9.0, -0.25), (0.0, 12.0))
+#: Where the weights of marks lie without evidence, how strongly they are held there, and their bounds: a target raises
+#: an arc's weight, a negation cancels even a strong insult, a report takes most of it, and a threat is toxic by itself.
+PRIOR = (0.0, 0.0, 0.0, 1.0, -8.0, -4.0, 7.0)
+HELD = (0.05, 0.05, 0.05, 10.0, 10.0, 10.0, 10.0)
+BOUNDS = ((-9.0, 12.0), (0.0, 12.0), (0.0, 12.0), (0.0, 6.0), (-20.0, -6.0), (-12.0, -2.0), (4.0, 12.0))
 #: Words that a negation or a report reaches over.
 SCOPE = 4
 
@@ -170,6 +172,16 @@ def tables() -> tuple[list[list[int]], list[list[tuple[int, ...]]]]:
     return after, marks
 
 
+@lru_cache(maxsize=1)
+def arcs() -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
+    """(distinct marks of arcs, their number by state and class or -1, how often each has each mark)."""
+    marks = tables()[1]
+    kinds = sorted({m for row in marks for m in row if m})
+    number = {m: i for i, m in enumerate(kinds)}
+    counts = np.array([[m.count(i) for i in range(len(MARKS))] for m in kinds], dtype=float)
+    return kinds, [[number.get(m, -1) for m in row] for row in marks], counts
+
+
 CLOSED = {w: k for k, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (THREAT, THREATS), (REPORT, REPORTING)) for w in words}
 
 
@@ -181,9 +193,38 @@ class Grammar:
     weights: tuple[float, ...]
     bias: float
 
-    def arc_weights(self) -> list[list[float]]:
-        """The weights of the composed machine's arcs, by state and class."""
-        return [[sum(self.weights[m] for m in marks) for marks in row] for row in tables()[1]]
+    def arc_weights(self) -> np.ndarray:
+        """The weights of the composed machine's kinds of arcs, as arcs() numbers them; none is below zero."""
+        return np.maximum(0.0, arcs()[2] @ np.array(self.weights))
+
+
+def share(k: int, n: int) -> float:
+    """What the k-th to the (k + n - 1)-th heaviest weigh in all: 1/k + ..., for k from 1 on."""
+    if n < 64:
+        return sum(1 / i for i in range(k, k + n))
+    return sum(1 / i for i in range(k, k + 8)) + np.log((k + n - 0.5) / (k + 7.5))
+
+
+def weighed(clauses: Counter, weights: np.ndarray) -> np.ndarray:
+    """By kind of arc, how much of its weight a document's clauses hand on.
+
+    clauses: how often each pattern, ((arc, number), ...), occurs. The document weighs the sum of these shares times the
+    arcs' weights; arcs and patterns of equal weight are taken in the order of their numbers.
+    """
+    found = []
+    for pattern, n in clauses.items():
+        own, k = np.zeros(len(weights)), 1
+        for arc, times in sorted(pattern, key=lambda a: (-weights[a[0]], a[0])):
+            own[arc] = share(k, times)
+            k += times
+        found.append((-float(own @ weights), pattern, n, own))
+    out, k = np.zeros(len(weights)), 1
+    for weight, _, n, own in sorted(found, key=lambda f: f[:2]):
+        if weight >= 0:
+            break
+        out += share(k, n) * own
+        k += n
+    return out
 
 
 class Reader:
@@ -191,6 +232,7 @@ class Reader:
 
     def __init__(self, model: Grammar):
         self.strengths = model.lexicon
+        self.longest = max((len(e) for e in model.lexicon), default=0)
         self.known: dict[str, int] = {}
 
     def classify(self, word: str) -> int:
@@ -203,7 +245,7 @@ class Reader:
             return found
         # an entry that is a whole word, of any length, carries an end mark
         s = self.strengths.get(low + "$")
-        for n in range(min(len(low), STEM[1]), STEM[0] - 1, -1):
+        for n in range(min(len(low), self.longest), SHORTEST - 1, -1):
             if s is not None:
                 break
             s = self.strengths.get(low[:n])
@@ -238,26 +280,22 @@ class Reader:
             state = after[state][kind]
         return out
 
-    def features(self, text: str) -> np.ndarray:
-        """Per mark the number of arcs with it, damped; then the number of clauses that have any."""
-        x = np.zeros(len(MARKS) + 1)
-        found = self.readings(text)
-        for _, marks in found:
-            for m in marks:
-                x[m] += 1
-        x[:-1] = np.log1p(x[:-1])
-        x[-1] = len({c for c, _ in found})
-        return x
+    def clauses(self, text: str) -> Counter:
+        """How often each pattern of marked arcs, ((arc, number), ...), makes a clause's path."""
+        kinds = {m: i for i, m in enumerate(arcs()[0])}
+        paths: dict[int, Counter] = {}
+        for clause, marks in self.readings(text):
+            paths.setdefault(clause, Counter())[kinds[marks]] += 1
+        return Counter(tuple(sorted(p.items())) for p in paths.values())
 
 
-def stems(text: str) -> set[str]:
-    """The lexicon entries that a text could speak for: its words and the beginnings of its words."""
+def entries_of(text: str) -> set[str]:
+    """The lexicon entries that a text could speak for: its words, marked at their end, and the beginnings of its words."""
     out = set()
     for w in {w.lower() for w in WORD.findall(text)}:
-        if w[0].isalpha() and w not in CLOSED and len(w) >= STEM[0]:
+        if w[0].isalpha() and w not in CLOSED and len(w) >= SHORTEST:
             out.add(w + "$")
-            for n in range(STEM[0] + 1, min(len(w), STEM[1]) + 1):
-                out.add(w[:n])
+            out.update(w[:n] for n in range(SHORTEST + 1, min(len(w), LONGEST) + 1))
     return out
 
 
@@ -266,53 +304,63 @@ def strength(odds: float, toxic: int, all_toxic: int) -> int:
     return 0 if odds < 4 else 1 if toxic < max(8, 0.02 * all_toxic) else 2
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ROWS, least: int = 5) -> dict[str, int]:
-    """Strengths of the entries with high smoothed log odds of toxic against other documents, counted over the sample.
+def counted(sample: DataFrame) -> DataFrame:
+    """(entry, other, toxic): in how many other and toxic documents each possible entry is."""
 
-    An entry that only repeats a shorter one (the same documents) is dropped. The result has at most `entries` entries.
-    """
+    def flush(hits: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(hits[0].keys() | hits[1].keys())
+        columns = [pa.array(keys, pa.string()), *(pa.array([h[k] for k in keys], pa.int64()) for h in hits)]
+        for h in hits:
+            h.clear()
+        return pa.RecordBatch.from_arrays(columns, ["entry", "other", "toxic"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in it:
+        for batch in batches(it):
             for text, y in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                hits[int(y > 0)].update(stems(text))
+                hits[int(y > 0)].update(entries_of(text))
                 if len(hits[0]) + len(hits[1]) > REMEMBERED:
                     yield flush(hits)
         yield flush(hits)
 
-    def flush(hits: tuple[Counter, Counter]) -> pa.RecordBatch:
-        keys = list(hits[0].keys() | hits[1].keys())
-        columns = [pa.array(keys, pa.string()), *(pa.array([h[k] for k in keys], pa.int64()) for h in hits)]
-        for h in hits:
-            h.clear()
-        return pa.RecordBatch.from_arrays(columns, ["stem", "other", "toxic"])
+    found = sample.select("text", "y").mapInArrow(count, "entry string, other bigint, toxic bigint")
+    return found.groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+
+
+def learn_lexicon(sample: DataFrame, least: int = 5, odds: float = 1.7) -> dict[str, int]:
+    """Strengths of the entries with high smoothed log odds of toxic against other documents, in `least` toxic ones or more.
 
+    All entries are counted over the whole sample, and all that pass stay, but those that repeat others: see told_apart.
+    """
     totals = sample.agg(F.sum(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
     p, n = totals.p or 0, totals.n or 0
     if not p:
         return {}
-    odds = F.log((F.col("toxic") + 0.5) / (p + 1.0)) - F.log((F.col("other") + 0.5) / (n - p + 1.0))
-    top = (
-        sample.select("text", "y")
-        .mapInArrow(count, "stem string, other bigint, toxic bigint")
-        .groupBy("stem")
-        .agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        .where(F.col("toxic") >= least)
-        .withColumn("odds", odds)
-        .where("odds >= 1.7")
-        .orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "stem")
-        .limit(entries)
-        .collect()
-    )
-    best = {r.stem: (r.odds, r.toxic, r.other) for r in top}
-    kept = {}
-    for stem, (value, toxic, other) in best.items():
-        bare = stem.rstrip("$")
-        shorter = [best.get(bare[:k]) for k in range(STEM[0], len(bare) + (stem != bare))]
-        if not any(s and s[1] >= toxic and s[2] <= other for s in shorter):
-            kept[stem] = strength(value, toxic, p)
-    return kept
+    value = F.log((F.col("toxic") + 0.5) / (p + 1.0)) - F.log((F.col("other") + 0.5) / (n - p + 1.0))
+    found = counted(sample).where(F.col("toxic") >= least).withColumn("odds", value).where(F.col("odds") >= odds).collect()
+    return {e: strength(v, toxic, p) for e, (v, toxic, _) in told_apart({r.entry: (r.odds, r.toxic, r.other) for r in found}).items()}
+
+
+def told_apart(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
+    """Of entries (odds, toxic, other) that say the same, one: of stems in the same documents the longest, which begins
+    fewest words that are none of the learnt; of a stem and a whole word in the same documents the stem; and of a stem and
+    a longer one that is no stronger the shorter."""
+    out, stems = {}, sorted(e for e in found if not e.endswith("$"))
+    for entry, r in sorted(found.items()):
+        bare = entry.rstrip("$")
+        if bare != entry:
+            stem = found.get(bare)
+            if stem and stem[1:] == r[1:]:
+                continue
+        else:
+            longer = takewhile(lambda x: x.startswith(bare), islice(stems, bisect_right(stems, bare), None))  # noqa: B023
+            if any(found[x][1:] == r[1:] for x in longer):
+                continue
+        shorter = [found.get(bare[:k]) for k in range(SHORTEST + 1, len(bare) + (entry != bare))]
+        if any(x and x[1] > r[1] and x[2] <= r[2] for x in shorter):
+            continue
+        out[entry] = r
+    return out
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS) -> Grammar:
@@ -320,27 +368,39 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", rows: int
     lexicon of the whole sample.
 
     Null texts are empty ones. Without toxic labels, or without documents, the grammar scores every document a little
-    above zero.
+    above zero, but for threats.
     """
     sample = materialised(training_sample(documents, labels, label, rows))
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
     halves = [sample.where(half == k) for k in (0, 1)]
     lexicons = [learn_lexicon(h) for h in halves]
-    got = [r for k in (0, 1) for r in read_features(halves[k], lexicons[1 - k])]
-    x = np.array([r.x for r in got]).reshape(-1, len(MARKS))
-    weights, bias = logistic(x, np.array([float(r.y > 0) for r in got]), np.array([float(r["count"]) for r in got]))
+    got = [r for k in (0, 1) for r in read_clauses(halves[k], lexicons[1 - k])]
+    weights, bias = learn_weights([Counter({tuple(map(tuple, c.pattern)): c.times for c in r.clauses}) for r in got], np.array([float(r.y > 0) for r in got]), np.array([float(r["count"]) for r in got]))
     return Grammar(learn_lexicon(sample), tuple(weights), bias)
 
 
-def read_features(sample: DataFrame, lexicon: dict[str, int]) -> list[Row]:
-    """(y, x, count): the distinct features of a bounded sample's texts, a few numbers a row."""
+def read_clauses(sample: DataFrame, lexicon: dict[str, int]) -> list[Row]:
+    """(y, clauses, count): the distinct readings of a bounded sample's texts, a few numbers a clause."""
 
-    def featured(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(Grammar(lexicon, (), 0.0))
         for pdf in it:
-            yield pd.DataFrame({"y": pdf.y, "x": [reader.features(t)[:-1] for t in pdf.text]})
+            yield pd.DataFrame({"y": pdf.y, "clauses": [[{"pattern": [list(a) for a in p], "times": n} for p, n in sorted(reader.clauses(t).items())] for t in pdf.text]})
 
-    return sample.select("text", "y").mapInPandas(featured, "y int, x array<double>").groupBy("y", "x").count().collect()
+    return sample.select("text", "y").mapInPandas(read, "y int, clauses array<struct<pattern:array<array<int>>,times:int>>").groupBy("y", "clauses").count().collect()
+
+
+def learn_weights(documents: list[Counter], y: np.ndarray, n: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, float]:
+    """Weights of the marks and bias. Which arcs count, and with what shares, follows from the weights: both are found in turn."""
+    weights = np.array(PRIOR) + np.array([1.0, 4.0, 5.0, 0.0, 0.0, 0.0, 0.0])
+    for _ in range(rounds):
+        of_arcs = np.maximum(0.0, arcs()[2] @ weights)
+        x = np.array([weighed(d, of_arcs) for d in documents]).reshape(-1, len(of_arcs)) @ arcs()[2]
+        before = weights
+        weights, bias = logistic(x, y, n)
+        if np.abs(weights - before).max() < 1e-3:
+            break
+    return weights, bias
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -370,9 +430,10 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, rounds: int = 200) ->
 
 def probabilities(reader: Reader, model: Grammar, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(probability, number of clauses with a reading) of each text."""
-    x = np.array([reader.features(t) for t in texts]).reshape(-1, len(MARKS) + 1)
-    p = 1 / (1 + np.exp(-np.clip(x[:, :-1] @ np.array(model.weights) + model.bias, -35, 35)))
-    return p, x[:, -1].astype("int64")
+    weights = model.arc_weights()
+    found = [reader.clauses(t) for t in texts]
+    logits = np.array([weighed(c, weights) @ weights if c else 0.0 for c in found]) + model.bias
+    return 1 / (1 + np.exp(-np.clip(logits, -35, 35))), np.array([sum(c.values()) for c in found], dtype="int64")
 
 
 def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataFrame:
@@ -382,7 +443,7 @@ def score(documents: DataFrame, model: Grammar, threshold: float = 0.5) -> DataF
     shuffled. A null doc_id is not held out. Repeated rows are scored each; columns other than doc_id and text are not
     read; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_ROWS entries
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # a lexicon learnt from a bounded sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
