@@ -51,12 +51,14 @@ def test_time_is_linear_in_the_length(part):
     assert seconds(20_000) < 4.0
 
 
-@pytest.mark.parametrize("block,text", [('<h2 id="related">Related work</h2>', "Related work"), ('<p id="comments">On comments</p>', "On comments"), ('<p class="side">Aside</p>', "Aside"), ('<div class="tags">Tagged</div>', "Tagged"), ('<section id="related-work"><p>Prior</p></section>', "Prior")])
+@pytest.mark.parametrize("block,text", [('<h2 id="related">Related work</h2>', "Related work"), ('<p id="comments">On comments</p>', "On comments"), ('<p class="side">Aside</p>', "Aside"), ('<div class="tags">Tagged</div>', "Tagged"), ('<section id="related-work"><p>Prior</p></section>', "Prior"),
+    ('<section id="discussion"><h2>Discussion</h2><p>We found, as others did, more.</p></section>', "Discussion\nWe found, as others did, more."), ('<div class="header">Chapter header</div>', "Chapter header"), ('<div class="share-price">The price rose.</div>', "The price rose."),
+    ('<div class="navigation-systems"><p>Satellites, mostly.</p></div>', "Satellites, mostly."), ('<p class="copyright">On the law of copyright.</p>', "On the law of copyright."), ('<div class="menu"><p>Soup, then fish, then a pudding that nobody had asked for.</p></div>', "Soup, then fish, then a pudding that nobody had asked for.")])
 def test_named_blocks_inside_the_article_stay(block, text):
     assert html.extract(page(f"<article><p>{LONG}</p>{block}<p>{LONG}</p></article>")) == f"{LONG}\n{text}\n{LONG}"
 
 
-@pytest.mark.parametrize("block", ['<div class="comments"><p>Nice, very nice</p></div>', '<section id="comments">no</section>', '<div class="ad">no</div>', '<p class="cookie-notice">no</p>', '<div class="newsletter">no</div>', "<form>no</form>", '<ul class="menu"><li>no</ul>'])
+@pytest.mark.parametrize("block", ['<div class="comments"><p>Nice, very nice</p></div>', '<section id="comments">no</section>', '<div class="ad">no</div>', '<p class="cookie-notice">no</p>', '<div class="newsletter">no</div>', "<form>no</form>", '<ul class="menu"><li>no</ul>', '<div class="share"><a href=x>Share</a> <a href=y>Tweet</a></div>', '<div class="navigation"><ul><li><a href=x>Back</a></ul></div>', '<div id="discussion"><p>Say what you think</p><form>x</form></div>', '<div class="sidebar"><p>More, of this</p></div>', '<p class="breadcrumb"><a href=x>Home</a></p>'])
 def test_notices_adverts_and_comments_inside_the_article_go(block):
     assert html.extract(page(f"<article><p>{LONG}</p>{block}<p>{LONG}</p></article>")) == f"{LONG}\n{LONG}"
 

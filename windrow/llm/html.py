@@ -31,6 +31,13 @@ WORDS_OF = r"(?:^|[\s_-])(?:{})(?:$|[\s_-])"
 #: Names of what is never part of an article: menus, headers, footers, sidebars, notices, adverts, forms, reader comments.
 APART = "ads?|advert\\w*|sponsor\\w*|promo\\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|share|sharing|social|sidebar|menu|nav\\w*|breadcrumbs?|pagination|pager|masthead|header|footer|copyright|comments?|disqus|replies|discussion|widget|toolbar|login"
 UNLIKELY = re.compile(WORDS_OF.format(APART), re.I)
+#: Those of them that say so inside an article too, wherever they stand in a name.
+SURE = re.compile(WORDS_OF.format("ads?|advert\\w*|sponsor\\w*|promo\\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|subscription|paywall|sidebar|comments?|disqus|replies|login"), re.I)
+#: Inside an article others must be the whole name, and the block must look like it as well.
+DOUBTFUL = re.compile(rf"(?:{APART})", re.I)
+CONTROLS = frozenset("form input button select textarea".split())
+#: Share of links, share of text in list items, and characters of such an item, from which a doubtful block is no part of the article.
+LINKED, LISTED, ITEM = 0.4, 0.8, 40
 #: Names that tell a container around an article from one inside it only by where it stands.
 AROUND = re.compile(WORDS_OF.format("side|rail|foot|related|recommend\\w*|reply|search|skip|hidden|tags?"), re.I)
 #: Names of paragraphs and phrases that are adverts or notices, where the class says so.
@@ -52,45 +59,56 @@ COMMAS = re.compile(r"[,،、，;]")
 class Node:
     """An element. kind: -1 never content, 1 named as content, 0 neither. within: whether it stands in an article.
 
-    size, lead, trail, told, links and commas describe the visible text below: its characters, its white space at either
+    doubtful: in an article, but named as what is not part of one; measure() decides. items and listed: list items below and
+    their characters; controls: form controls below. size, lead, trail, told, links and commas describe the visible text below: its characters, its white space at either
     end, its characters without the ends of its pieces, those of them in links, and its commas (see measure).
     """
 
-    __slots__ = ("tag", "parent", "children", "depth", "within", "kind", "points", "size", "lead", "trail", "told", "links", "commas", "own")
+    __slots__ = ("tag", "parent", "children", "depth", "within", "kind", "points", "size", "lead", "trail", "told", "links", "commas", "own", "doubtful", "items", "listed", "controls")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children, self.points = tag, parent, [], 0.0
         self.depth = parent.depth + 1 if parent else 0
         self.within = parent is not None and (parent.within or parent.tag == "article" or (parent.kind > 0 and parent.tag in ("div", "section")))
-        self.kind = judged(tag, attributes, self.within)
+        self.kind, self.doubtful = judged(tag, attributes, self.within)
+        self.items = self.listed = self.controls = 0
 
     @property
     def length(self) -> int:
         return max(0, self.size - self.lead - self.trail)
 
 
-def judged(tag: str, attributes: str, within: bool = False) -> int:
-    """An element's kind by its tag, role and names."""
+def judged(tag: str, attributes: str, within: bool = False) -> tuple[int, bool]:
+    """An element's kind by its tag, role and names, and whether it is doubtful."""
     if tag in NEVER:
-        return -1
+        return -1, False
     if not attributes or tag in ("html", "body"):
-        return 1 if tag in ("article", "main") else 0
+        return int(tag in ("article", "main")), False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "") == "true" or INVISIBLE.search(found.get("style", "")):
-        return -1
+        return -1, False
     if found.get("role", "").lower() in UNLIKELY_ROLES:
-        return -1
+        return -1, False
     style = unescape(found.get("class", ""))
     names = f"{style} {unescape(found.get('id', ''))}"
     if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article"):
-        return -1 if NOT_ARTICLE.search(names) else 1
+        return -1 if NOT_ARTICLE.search(names) else 1, False
+    named = int(bool(CONTENT.search(names)))
     if tag in CONTAINERS:
-        apart = UNLIKELY.search(names) or (not within and AROUND.search(names))
-        if apart and not (tag in ("section", "div") and CONTENT.search(names) and not FOREIGN.search(names)):
-            return -1
-    elif tag in PHRASES and SMALL.search(style):
-        return -1
-    return 1 if CONTENT.search(names) else 0
+        apart = SURE.search(names) if within else UNLIKELY.search(names) or AROUND.search(names)
+        if apart and not (tag in ("section", "div") and named and not FOREIGN.search(names)):
+            return -1, False
+    elif tag in PHRASES and (SURE if within else SMALL).search(style):
+        return -1, False
+    doubtful = within and (tag in CONTAINERS or tag in PHRASES) and any(DOUBTFUL.fullmatch(x) for x in names.split())
+    return named, doubtful
+
+
+def looks_apart(node: Node) -> bool:
+    """Whether a doubtful block is made of links, of short list items, or around form controls."""
+    if node.controls or (node.length and node.links >= LINKED * node.length):
+        return True
+    return node.items > 0 and node.listed >= LISTED * node.told and node.listed <= ITEM * node.items
 
 
 class Tags:
@@ -210,7 +228,7 @@ def measure(root: Node) -> list[Node]:
 
     Every element hands its figures up once, children before parents, so the tree's depth costs nothing.
     """
-    found = list(walk(root))
+    found, apart = list(walk(root)), False
     for node in reversed(found):
         size = lead = trail = told = links = commas = own = 0
         for c in node.children:
@@ -220,8 +238,12 @@ def measure(root: Node) -> list[Node]:
                 more = (n, before, n - before - bare, bare, 0, len(COMMAS.findall(c)))
                 own = own or bare
             elif c.kind >= 0:
+                node.items += c.items + (c.tag == "li")
+                node.listed += c.told if c.tag == "li" else c.listed
+                node.controls += c.controls
                 more = (c.size, c.lead, c.trail, c.told, c.links, c.commas)
             else:
+                node.controls += c.tag in CONTROLS
                 continue
             n, before, behind, bare, linked, points = more
             if lead == size:  # white space only so far
@@ -231,7 +253,9 @@ def measure(root: Node) -> list[Node]:
             size, told, links, commas = size + n, told + bare, links + linked, commas + points
         node.size, node.lead, node.trail, node.told, node.commas, node.own = size, lead, trail, told, commas, own
         node.links = told if node.tag == "a" else links
-    return found
+        if node.doubtful and looks_apart(node):
+            node.kind, apart = -1, True
+    return found if not apart else list(walk(root))
 
 
 def score_tree(found: list[Node]) -> list[Node]:
