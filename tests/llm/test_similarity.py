@@ -222,3 +222,15 @@ def test_the_same_rows_stay_where_tables_are_too_large_to_broadcast(spark, clash
     monkeypatch.setattr("windrow.llm.common.BROADCAST_BYTES", -1)
     assert (sorted(map(str, ngram_join.one_of_each(df).collect())), sorted(map(str, ngram_join.one_of_each(clashing).collect()))) == want
     assert len(want[0]) < len(rows)
+
+
+def test_cells_do_not_grow_with_exact_copies(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (50, 300, 2000)]
+    once = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    copies = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "doc_id bigint, text string").repartition(6)
+    cells = [ngram_join.column_blocks(ngram_join.classes_of(ngram_join.incidence(d, 3, 90, 100))) for d in (once, copies)]
+    a, b = (sorted(map(tuple, c.collect())) for c in cells)
+    assert a == b and len(a) > 300
+    written = ngram_join.incidence(copies.coalesce(1), 3, 90, 100).where("blocks IS NOT NULL").count()
+    assert written == 3

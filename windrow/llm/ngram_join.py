@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.common import batches, if_small, partitions, possible, small_batches, stored, strings, table, without
-from windrow.llm.similarity import U, Words, cluster_links, components, components_sql, mix, shingle_hashes
+from windrow.llm.similarity import REMEMBERED, U, Words, cluster_links, components, components_sql, mix, shingle_hashes
 
 
 class Bands:
@@ -111,20 +111,34 @@ def word_set(words: Words, text: str, size: int) -> np.ndarray:
 
 
 def incidence(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, even, odd: the set's size, a 64-bit hash of it (null for an empty one), and on how many column
-    blocks it must agree with others in bands of even and odd number.
+    """doc_id, n, cls, even, odd, blocks: the set's size, a 64-bit hash of it (null for an empty one), on how many column
+    blocks it must agree with others in bands of even and odd number, and the signatures of its column blocks.
+
+    Of equal sets that a task meets only the first has its blocks; the task remembers classes in bounded memory.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches(it):
-            sets = [word_set(words, text, size) for text in strings(batch.column(1))]
-            needs = [block_signatures(s, num, den)[1] if len(s) else (None, None) for s in sets]
-            values = [[len(s) for s in sets], [class_of(s) for s in sets], [e for e, _ in needs], [o for _, o in needs]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in values)], ["doc_id", "n", "cls", "even", "odd"])
+        words, met = Words(), set()
+        for batch in batches(it, rows=256):
+            rows = []
+            for text in strings(batch.column(1)):
+                s = word_set(words, text, size)
+                cls, (found, needs) = class_of(s), block_signatures(s, num, den) if len(s) else (None, (None, None))
+                rows.append((len(s), cls, *needs, None if cls is None or cls in met else found.view(np.int64)))
+                met.add(cls)
+            if len(met) > REMEMBERED:
+                met.clear()
+            *values, blocks = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in values), pa.array(blocks, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "even", "odd", "blocks"])
 
     key = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n bigint, cls bigint, even bigint, odd bigint")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n bigint, cls bigint, even bigint, odd bigint, blocks array<bigint>")
+
+
+def classes_of(read: DataFrame) -> DataFrame:
+    """cls, rep, n, even, odd, blocks: one row for all documents of equal sets, rep being the smallest doc_id."""
+    first = [F.first(c).alias(c) for c in ("n", "even", "odd")]
+    return read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *first, F.first("blocks", ignorenulls=True).alias("blocks"))
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -145,24 +159,9 @@ def class_of(s: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
 
 
-def column_blocks(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(cls, block): the signature of every column block of every document's set."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches(it, rows=256):
-            classes, counts, arrays = [], [], []
-            for text in strings(batch.column(0)):
-                s = word_set(words, text, size)
-                if len(s):
-                    found, _ = block_signatures(s, num, den)
-                    classes.append(class_of(s))
-                    counts.append(len(found))
-                    arrays.append(found)
-            if arrays:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(classes, dtype=np.int64), counts)), pa.array(np.concatenate(arrays).view(np.int64))], ["cls", "block"])
-
-    return documents.select("text").mapInArrow(run, "cls bigint, block bigint")
+def column_blocks(classes: DataFrame) -> DataFrame:
+    """(cls, block): the signature of every column block of every class, however many documents it has."""
+    return classes.select("cls", F.explode("blocks").alias("block"))
 
 
 def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -179,11 +178,10 @@ def jaccard_components(documents: DataFrame, size: int = 3, num: int = 90, den:
 
 def _components(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
     read = stored(incidence(documents, size, num, den), "incidence")
-    first = [F.first(c).alias(c) for c in ("n", "even", "odd")]
-    classes = stored(read.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), *first), "classes")
+    classes = stored(classes_of(read), "classes")
     # dealt out once; the blocks' leaders and those who share them are read from the same shuffle, which takes the same filters on both sides
     # four times as many partitions: there are many times as many rows as documents, and the joins' memory is by partition
-    cells = column_blocks(documents, size, num, den).where("cls IS NOT NULL AND block IS NOT NULL").repartition(4 * partitions(documents.sparkSession), "block")
+    cells = column_blocks(classes).where("cls IS NOT NULL AND block IS NOT NULL").repartition(4 * partitions(documents.sparkSession), "block")
     leaders = cells.groupBy("block").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("block", "leader")
     shared = cells.join(leaders, "block").select("block", "cls", "leader").distinct()
     agreed = shared.groupBy("cls", F.col("block").bitwiseAND(1).alias("parity")).agg(F.count("*").alias("agreed"), F.collect_set("leader").alias("leaders"))
