@@ -1,3 +1,4 @@
+import os
 import hashlib
 import itertools
 import random
@@ -278,3 +279,16 @@ def test_repeated_rows_change_no_disclosure(spark):
     for table in (docs.union(docs), docs.select(F.lit(None).cast("bigint").alias("doc_id"), "text").union(docs.selectExpr("CAST(NULL AS BIGINT)", "text"))):
         once, again = (sorted(map(tuple, pii.disclosing_terms(df)[0].collect())) for df in (table.distinct(), table))
         assert once == again and ("zephyrproject", 6, 7) in [(r[0], r[3], r[4]) for r in again]
+
+
+def test_nothing_stays_in_the_shared_folder(spark, tmp_path):
+    from windrow.llm import common
+
+    df = spark.range(10)
+    common.clear_scratch(spark)
+    kept, rows = common.materialised(df), common.stored(df, "x")
+    assert kept.count() == rows.count() == 10 and len(common.SCRATCH) == 2
+    places = [p.removeprefix("file:") for p in common.SCRATCH]
+    assert all(os.path.isdir("/" + p.lstrip("/")) for p in places)
+    common.clear_scratch(spark)
+    assert common.SCRATCH == [] and not any(os.path.exists("/" + p.lstrip("/")) for p in places)

@@ -72,9 +72,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage, in the shared folder (survives the loss of executors)."""
+    """df computed once and cut from its lineage, in the shared folder (survives the loss of executors).
+
+    clear_scratch() deletes it.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    written = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if written.isDefined():
+        SCRATCH.append(written.get())
+    return out
 
 
 def if_small(df: DataFrame, more: Column | None = None) -> DataFrame:
