@@ -215,6 +215,31 @@ def test_asof_range_and_topk(spark):
     assert relational.top_k(left, ["k"], [F.desc("t")], 1).count() == 3
 
 
+@pytest.mark.parametrize("slices", [2, 5, 50])
+def test_asof_in_slices_of_time(spark, slices):
+    import random
+
+    rng = random.Random(slices)
+    at = lambda: rng.choice([None, *range(60)])
+    left = spark.createDataFrame([(i, at(), rng.choice(["hot", "hot", "hot", "b", None])) for i in range(200)], "id int, t int, k string")
+    right = spark.createDataFrame([(at(), rng.choice(["hot", "hot", "c", None]), str(i)) for i in range(60)], "u int, k string, v string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    sliced = relational.asof_join(left, right, "k", "t", "u", ["v"], slices)
+    assert rows(sliced) == rows(relational.asof_join(left, right, "k", "t", "u", ["v"]))
+    assert relational.asof_join(left.limit(0), right.limit(0), "k", "t", "u", ["v"], slices).count() == 0
+
+
+def test_one_key_is_spread_over_tasks(spark):
+    left = spark.range(20_000).select("id", F.lit(1).alias("k"), F.col("id").alias("t"))
+    right = spark.range(0, 20_000, 7).select(F.lit(1).alias("k"), F.col("id").alias("u"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = relational.asof_join(left, right, "k", "t", "u", ["v"], 16).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 12_000
+
+
 def test_documents(spark):
     counted = windowed(spark).groupBy("window_start", "window_end").agg(F.count("*").alias("n"))
     docs = sinks.result_documents(counted, "q", "aggregate")

@@ -452,6 +452,16 @@ def join_asof(spark, sf_dir):
     return relational.asof_join(bought, seen, "user_id", "ts", "ts", ["seen_id"]).select("event_id", "seen_id")
 
 
+@query("""WITH s AS (SELECT event_id, ts, event_type = 'purchase' AS bought, CASE WHEN event_type = 'view' THEN event_id END AS seen FROM events WHERE event_type IN ('purchase', 'view')),
+    c AS (SELECT *, last_value(seen IGNORE NULLS) OVER (ORDER BY ts, bought, seen ROWS UNBOUNDED PRECEDING) AS seen_id FROM s) SELECT event_id, seen_id FROM c WHERE bought""")
+def join_asof_one_key(spark, sf_dir):
+    """The last view by anybody before each purchase: one key, cut into stretches of time."""
+    events = read(spark, sf_dir, "events").withColumn("site", F.lit(1))
+    bought = events.where("event_type = 'purchase'").select("event_id", "site", "ts")
+    seen = events.where("event_type = 'view'").select("site", "ts", F.col("event_id").alias("seen_id"))
+    return relational.asof_join(bought, seen, "site", "ts", "ts", ["seen_id"], slices=16).select("event_id", "seen_id")
+
+
 @query("SELECT r_name, t.n_name FROM region r, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r.r_regionkey ORDER BY n_name LIMIT 2) t")
 def join_lateral(spark, sf_dir):
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
