@@ -47,6 +47,19 @@ def test_sql_functions_agree(spark):
         assert sql == pytest.approx(g) and sql > 0
 
 
+@pytest.mark.parametrize("order", ["authority", "xy"])
+def test_known_rectangles_have_the_distance_of_any_polygon(spark, order):
+    box, turned = "POLYGON((3 4, 3.5 4, 3.5 6, 3 6, 3 4))", "POLYGON((1 1, 2 2, 1 3, 0 2, 1 1))"
+    assert spatial.bounds_of_box(spatial.known_segments(box, order)) and spatial.bounds_of_box(spatial.known_segments(turned, order)) is None
+    points = spark.createDataFrame([(float(x), float(y)) for x in range(8) for y in range(8)] + [(3.2, 5.0), (3.0, 4.0)], "x double, y double")
+    sql = "SELECT x, y, " + ", ".join(f"st_distance(st_transform(st_point(x, y), 'EPSG:4326', 'EPSG:3857'), st_transform(st_geomfromtext('{w}'), 'EPSG:4326', 'EPSG:3857')) AS d{i}" for i, w in enumerate((box, turned))) + " FROM {points}"
+    spatial.register(spark, order)
+    want = {(r.x, r.y): (r.d0, r.d1) for r in spark.sql(sql, points=points).collect()}
+    spatial.register(spark, order, (box, turned))
+    for r in spark.sql(sql, points=points).collect():
+        assert (r.d0, r.d1) == pytest.approx(want[r.x, r.y], abs=1e-6)
+
+
 def test_near_zones_joins_without_shuffling_events(spark):
     zones = spark.createDataFrame([("z", "POLYGON((10 57, 11 57, 11 58, 10 58, 10 57))", 2.0)], "zone_name string, geom_wkt string, threshold_nm double")
     ships = spark.createDataFrame([(1, 10.5, 57.5), (2, 11.01, 57.5), (3, 12.0, 57.5), (4, None, 57.5)], "id int, lon double, lat double")

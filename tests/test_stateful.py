@@ -213,6 +213,27 @@ def test_documents_from_columns_and_aborted_epochs(tmp_path):
     assert [json.loads(f.read_text()) for f in (tmp_path / "d").rglob("*.json")] == [{"results": [{"n": 1}], "window_start": 0}]
 
 
+def test_streaming_top_k_gives_the_batch_result(spark, tmp_path):
+    from windrow.plans import positions as plans
+
+    rows = [(k, f"2024-01-01 {k * 37 // 3600:02}:{k * 37 // 60 % 60:02}:{k * 37 % 60:02}", k % 9, ["view", "error", "buy"][k % 3], float(k % 7)) for k in range(1, 300)]
+    schema = "event_id bigint, ts string, user_id int, event_type string, value double"
+    for i in range(0, len(rows), 60):
+        spark.createDataFrame(rows[i : i + 60], schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    stamped = lambda df: plans.positions(df.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    near = lambda df: df.where("lat IS NOT NULL").withColumn("approx_distance", plans.rounded(F.sqrt(F.pow(F.col("lat") - 57.25, 2) + F.pow(F.col("lon") - 10.25, 2)), 4))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    timed = near(stamped(stream)).withColumn("time", F.timestamp_seconds("sec")).withWatermark("time", "0 seconds")
+    found = stateful.streaming_top_k(win.epoch_aligned(timed, 600), [("approx_distance", True), ("event_id", True)], 5, ["event_id", "mmsi", "approx_distance"])
+    with stateful.state_provider(spark):
+        q = found.writeStream.format("memory").queryName("best").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = win.epoch_aligned(stamped(spark.createDataFrame(rows, schema)), 600)
+    last = batch.agg(F.max("sec")).first()[0]
+    want = {tuple(r) for r in plans.kattegat_knn(batch.where(F.col("window_end") < last)).collect()}
+    assert {tuple(r) for r in spark.table("best").collect()} == want and len(want) > 50
+
+
 def test_references_are_the_small_side_of_lifted_joins(spark):
     from windrow import queries
 

@@ -142,6 +142,16 @@ def segments_sql(lines: list[tuple[float, float, float, float]]) -> str:
     return "array(" + ", ".join("named_struct({})".format(", ".join(f"'{n}', {v!r}D" for n, v in zip(("x1", "y1", "x2", "y2"), s))) for s in lines) + ")"
 
 
+def bounds_of_box(lines: list[tuple[float, float, float, float]]) -> tuple[float, float, float, float] | None:
+    """(x0, x1, y0, y1) if the segments are the four sides of a rectangle along the axes."""
+    if len(lines) != 4 or lines[0][:2] != lines[3][2:] or any((x1 == x2) == (y1 == y2) for x1, y1, x2, y2 in lines):
+        return None
+    if any((a[0] == a[2]) == (b[0] == b[2]) for a, b in zip(lines, lines[1:])):
+        return None
+    xs, ys = [s[0] for s in lines], [s[1] for s in lines]
+    return min(xs), max(xs), min(ys), max(ys)
+
+
 def register(spark: SparkSession, axis_order: str = "authority", known: Iterable[str] = ()) -> None:
     """st_point, st_geomfromtext, st_transform and st_distance as SQL functions of the session, inlined by the optimizer.
 
@@ -153,6 +163,10 @@ def register(spark: SparkSession, axis_order: str = "authority", known: Iterable
     literal = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
     lines = {wkt: made for wkt in dict.fromkeys(known) if (made := known_segments(wkt, axis_order))}
     chosen = " ".join(f"WHEN {literal(wkt)} THEN {segments_sql(made)}" for wkt, made in lines.items())
+    boxes = {wkt: box for wkt, made in lines.items() if (box := bounds_of_box(made))}
+    # to a rectangle along the axes the distance is a line of arithmetic, which is compiled; loops are not
+    of_box = lambda x0, x1, y0, y1: f"hypot(greatest({x0!r}D - px, 0D, px - {x1!r}D), greatest({y0!r}D - py, 0D, py - {y1!r}D))"
+    boxed = " ".join(f"WHEN {literal(wkt)} THEN {of_box(*box)}" for wkt, box in boxes.items())
     read = "__st_lines(__st_project(__st_rings(wkt)))"
     east = lambda v: f"{RADIUS}e0 * radians({v})"
     north = lambda v: f"{RADIUS}e0 * ln(tan(0.7853981633974483e0 + radians({v}) / 2))"
@@ -173,12 +187,14 @@ def register(spark: SparkSession, axis_order: str = "authority", known: Iterable
         f"__st_y(g {SHAPE}) RETURNS DOUBLE RETURN CASE WHEN g.wkt IS NULL THEN g.y ELSE {number(2)} END",
         f"""__st_at(x DOUBLE, y DOUBLE, srid STRING) RETURNS struct<x:double,y:double> RETURN CASE WHEN srid = '' THEN named_struct('x', x, 'y', y) ELSE named_struct('x', {east(lon)}, 'y', {north(lat)}) END""",
         # the operands are bound once, as the element of an array, so the segments' loop does not compute them again
-        f"""st_distance(a {SHAPE}, b {SHAPE}) RETURNS DOUBLE RETURN transform(array(named_struct('p', __st_at(__st_x(a), __st_y(a), a.srid), 'closed', b.wkt RLIKE '(?i)^\\\\s*POLYGON', 'lines',
+        f"""__st_looped(a {SHAPE}, b {SHAPE}) RETURNS DOUBLE RETURN transform(array(named_struct('p', __st_at(__st_x(a), __st_y(a), a.srid), 'closed', b.wkt RLIKE '(?i)^\\\\s*POLYGON', 'lines',
             CASE WHEN b.wkt IS NULL THEN transform(array(__st_at(b.x, b.y, b.srid)), e -> named_struct('x1', e.x, 'y1', e.y, 'x2', e.x, 'y2', e.y)) WHEN b.srid = '' THEN __st_lines(__st_rings(b.wkt)) ELSE __st_projected(b.wkt) END)),
             q -> CASE WHEN q.closed AND size(filter(q.lines, s -> (s.y1 > q.p.y) != (s.y2 > q.p.y) AND q.p.x < s.x1 + (q.p.y - s.y1) / (CASE WHEN s.y2 = s.y1 THEN 1e0 ELSE s.y2 - s.y1 END) * (s.x2 - s.x1))) % 2 = 1 THEN 0e0
             ELSE array_min(transform(q.lines, s -> array_max(transform(array(least(1e0, greatest(0e0, ((q.p.x - s.x1) * (s.x2 - s.x1) + (q.p.y - s.y1) * (s.y2 - s.y1))
                 / (CASE WHEN s.x2 = s.x1 AND s.y2 = s.y1 THEN 1e0 ELSE (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1) END)))),
                 t -> hypot(q.p.x - (s.x1 + t * (s.x2 - s.x1)), q.p.y - (s.y1 + t * (s.y2 - s.y1))))))) END)[0]""",
+        f"__st_boxed(px DOUBLE, py DOUBLE, wkt STRING) RETURNS DOUBLE RETURN {f'CASE wkt {boxed} END' if boxes else 'CAST(NULL AS DOUBLE)'}",
+        f"""st_distance(a {SHAPE}, b {SHAPE}) RETURNS DOUBLE RETURN {f"CASE WHEN a.srid <> '' AND b.srid <> '' AND b.wkt IN ({', '.join(map(literal, boxes))}) THEN __st_boxed({east('__st_' + lon + '(a)')}, {north('__st_' + lat + '(a)')}, b.wkt) ELSE __st_looped(a, b) END" if boxes else "__st_looped(a, b)"}""",
     )
     for d in definitions:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {d}")

@@ -123,6 +123,60 @@ class Sessions(StatefulProcessor):
         pass
 
 
+class Best(StatefulProcessor):
+    """The k first rows of a window in some order: what is kept is never more than they are."""
+
+    def __init__(self, k: int, columns: list[str], schema: str, order: list[tuple[str, bool]]):
+        self.k, self.columns, self.schema, self.order = k, columns, schema, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.rows = handle, handle.getListState("best", self.schema)
+
+    def first(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values([c for c, _ in self.order], ascending=[up for _, up in self.order], kind="stable").head(self.k)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fires = (int(key[1]) + 1) * 1000
+        if timerValues.getCurrentWatermarkInMs() >= fires:
+            return iter(())
+        held = list(self.rows.get()) if self.rows.exists() else []
+        if not held:
+            self.handle.registerTimer(fires)
+        best = pd.DataFrame(held, columns=self.columns) if held else None
+        for pdf in rows:
+            best = self.first(pdf[self.columns] if best is None else pd.concat([best, pdf[self.columns]], ignore_index=True))
+        self.rows.put(list(best.itertuples(index=False, name=None)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        best = self.first(pd.DataFrame(list(self.rows.get()), columns=self.columns)).reset_index(drop=True)
+        self.rows.clear()
+        yield best.assign(window_start=int(key[0]), window_end=int(key[1]), place=best.index + 1)[["window_start", "window_end", "place", *self.columns]]
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_top_k(windowed: DataFrame, order: list[tuple[str, bool]], k: int, columns: list[str]) -> DataFrame:
+    """(window_start, window_end, place, columns) of each closed window's k first rows by order (column, ascending); a stream.
+
+    windowed: a stream with a watermark, and windows assigned. Order columns must not be null; put one that breaks ties
+    last. Before the shuffle every batch of rows is cut to its own k first of each window. Start the query inside
+    state_provider(). Late rows of windows that have closed are dropped.
+    """
+    keys = ["window_start", "window_end"]
+    kept = windowed.select(*keys, *columns)
+    names, up = [c for c, _ in order], [u for _, u in order]
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf.sort_values(names, ascending=up, kind="stable").groupby(keys, sort=False).head(k)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name in columns)
+    best = Best(k, columns, own, order)
+    return kept.mapInPandas(cut, kept.schema).groupBy(*keys).transformWithStateInPandas(best, f"window_start bigint, window_end bigint, place int, {own}", "Append", "EventTime")
+
+
 @contextmanager
 def state_provider(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB, which state with timers asks for."""
