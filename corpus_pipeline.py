@@ -3,6 +3,10 @@
 Toxic documents go; of every group of near duplicates one document stays; documents that overlap with a benchmark go;
 personal data in the texts is generalised; what is left is encoded. All stages but the last return the columns of
 documents.
+
+For every stage: null texts are read as empty ones and stay null; empty texts stay; long texts are read whole; columns
+besides doc_id and text pass unchanged, whatever their names; an empty table gives no rows. Each stage's docstring says
+what becomes of ties and repeated rows.
 """
 
 from __future__ import annotations
@@ -19,28 +23,37 @@ from windrow.llm.toxicity import fit, keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half; the grammar is learnt from the labels of the documents given."""
+    """Documents whose toxicity score is below one half; the grammar is learnt from the labels of the documents given.
+
+    Repeated rows go or stay together. A score of exactly one half goes.
+    """
     return keep_clean(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of every group linked at 0.8 over five-word shingles."""
+    """One document, that of the smallest doc_id, of every group linked at 0.8 over five-word shingles.
+
+    Of rows of equal doc_id and text one stays; null and empty texts are linked with nothing. Rows without doc_id come last.
+    """
     return one_of_each(docs, size=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with a benchmark item."""
+    """Documents without a verified overlap with a benchmark item. Repeated rows go or stay together."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data in its text generalised to its kind; n_chars is the new text's length."""
+    """Every document, personal data in its text generalised to its kind; n_chars is the new text's length.
+
+    Repeated rows are changed alike; overlapping spans are replaced as one, by the kind of the first.
+    """
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text decoded from them."""
+    """doc_id, n_tokens, ids and the text decoded from them, for every row; of null texts there are no tokens."""
     return encode_documents(docs)
 
 

@@ -143,7 +143,8 @@ def format_conversations(conversations: DataFrame, template: Template = turn_tem
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have one order; repeated rows
     are turns of their own. Null roles and texts are empty. Rows with a null conv_id belong to no conversation: each is
-    one of its own. An empty table gives no rows. Other columns are not read.
+    one of its own. Long texts are formatted whole; a conversation is one task's work. An empty table gives no rows. Other
+    columns are not read.
     """
     spark = conversations.sparkSession
     kind = conversations.schema["conv_id"].dataType.simpleString()

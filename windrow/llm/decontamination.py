@@ -138,7 +138,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_SC
 
     The best alignment of each pair, then the first; starts are token positions of the item's beginning in the document
     (below zero where the item is cut) and of the overlap's first token in the item. Null and empty texts have no
-    tokens and no overlaps; empty tables have none either. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
+    tokens and no overlaps; empty tables have none either. Long texts are read whole. Repeated rows and rows that share a doc_id yield one row a pair. Null ids are ids like
     others. Other columns are not read.
     """
     best = overlaps(documents, benchmark, least, share).groupBy("doc_id", "item_id").agg(F.max("top").alias("top"))

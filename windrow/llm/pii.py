@@ -164,7 +164,7 @@ def find_pii(documents: DataFrame, base: str = "base", spans: str = "spans") ->
     """documents plus base (the contract's spans) and spans (these, secrets and disclosing terms), by kind and start.
 
     Null texts have no spans. Rows keep all their columns; repeated rows keep theirs. Offsets are code points, ends
-    exclusive. An empty table gives no rows. The two columns' names can be chosen; columns of those names are replaced.
+    exclusive. Long texts are read whole. An empty table gives no rows. The two columns' names can be chosen; columns of those names are replaced.
     """
     documents = documents.drop(base, spans)
     text, own = F.coalesce("text", F.lit("")), uuid4().hex[:8]
@@ -190,7 +190,7 @@ def named(spans: Column) -> Column:
 def sanitise(documents: DataFrame) -> DataFrame:
     """documents with their texts' protected entities generalised to [KIND] and disclosing terms to [TERM].
 
-    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null. All columns stay, whatever
+    Overlapping spans are replaced as one, by the kind of the first. Null texts stay null; long ones are read whole. All columns stay, whatever
     their names, and so do repeated rows; an empty table gives no rows.
     """
     own = uuid4().hex[:8]

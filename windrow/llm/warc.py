@@ -59,7 +59,8 @@ def write_archives(pages: DataFrame, path: str, captured_at: str | None = None)
     """One WARC record a row below `path`, in gzipped files of a bounded number of records.
 
     captured_at names a timestamp column; without one, captures are a second apart in the order of page_id, from the
-    epoch on. Line breaks inside URLs are percent-encoded. Null urls and page_ids leave their header out.
+    epoch on. Line breaks inside URLs are percent-encoded. Null urls and page_ids leave their header out. Null html is an
+    empty payload; long ones are written whole. Repeated rows are records of their own; an empty table gives no records.
     """
     seconds = F.col(captured_at).cast("timestamp") if captured_at else F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(2_000_000_000)))
     stamped = pages.select("page_id", F.struct("url", F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")).alias("url"), "html")
@@ -256,7 +257,8 @@ def merge_index(runs: DataFrame) -> DataFrame:
     """The runs' captures in global order (partition by partition): capture histories by URL key and timestamp.
 
     Ranges are cut by key, timestamp and page_id, so a hot URL is split too; their number follows the number of captures,
-    which bounds what a task holds. Null timestamps and page_ids come first. No captures give an empty index.
+    which bounds what a task holds. Null timestamps and page_ids come first. Repeated captures stay, one after the other.
+    No captures give an empty index.
     """
     spark = runs.sparkSession
     with small_batches(spark, 256):
