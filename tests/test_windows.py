@@ -2,6 +2,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from windrow.operators import windows as win
 
 
@@ -75,3 +77,8 @@ def test_sliding_against_brute_force(spark, size, slide):
         if inside:
             want[(start, start + size)] = inside
     assert got(win.sliding(events(spark, seconds), size, slide)) == want
+
+
+def test_clock(spark):
+    rows = spark.createDataFrame([(0,), (86_399,), (86_400 + 3_661,), (-1,)], "s bigint")
+    assert [r.c for r in rows.select(win.clock(F.col("s")).alias("c")).collect()] == ["00:00:00", "23:59:59", "01:01:01", "23:59:59"]

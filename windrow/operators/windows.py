@@ -96,6 +96,12 @@ def nonempty_windows(windowed: DataFrame) -> DataFrame:
     return windowed.groupBy("window_start", "window_end").agg(F.count("*").alias("events"))
 
 
+def clock(sec: Column) -> Column:
+    """A second of the epoch as HH:MM:SS, in UTC whatever the session's time zone."""
+    part = lambda size, wrap: F.lpad(F.pmod(F.floor(sec / size), F.lit(wrap)).cast("string"), 2, "0")
+    return F.concat_ws(":", part(3600, 24), part(60, 60), part(1, 60))
+
+
 def retained(events: DataFrame, window_end: int, size: int) -> DataFrame:
     """What stays buffered after the window that ended at window_end has fired: later than two sizes before it."""
     return events.where(F.col("sec") > window_end - 2 * size)

@@ -240,6 +240,14 @@ def window_range_scan(spark, sf_dir):
     return plans.valid(plans.positions(own)).select("event_id", "sec")
 
 
+@query(f"""WITH {inclusive_sql(HOUR)} SELECT window_start, strftime(make_timestamp(window_start * 1000000), '%H:%M:%S') AS opens, strftime(make_timestamp(window_end * 1000000), '%H:%M:%S') AS closes, event_id,
+    CAST(row_number() OVER (PARTITION BY window_start ORDER BY sec, event_id) AS INT) AS place FROM win""")
+def ordered_window_read(spark, sf_dir):
+    """Every window's events in the order of a range read: by second, ties by id; and its bounds as times of day."""
+    in_order = Window.partitionBy("window_start").orderBy("sec", "event_id")
+    return hourly(spark, sf_dir).select("window_start", win.clock(F.col("window_start")).alias("opens"), win.clock(F.col("window_end")).alias("closes"), "event_id", F.row_number().over(in_order).alias("place"))
+
+
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 SOURCE = SourceSpec(
