@@ -81,7 +81,7 @@ def test_vectors_that_do_not_fit_are_refused(spark):
 def test_large_components_are_exact(spark):
     rng = np.random.default_rng(5)
     data = [(i, [float(x) for x in rng.integers(-120_000, 120_000, 8)]) for i in range(60)]
-    assert run(frame(spark, data), entries=8)[0] == brute(data, entries=8)[0]
+    assert sorted(run(frame(spark, data), entries=8)[0], key=str) == brute(data, entries=8)[0]
 
 
 def test_only_what_drift_has_violated_is_scanned(monkeypatch):
