@@ -31,6 +31,8 @@ HASHES = 3
 BYTES_A_BIT, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Bytes of a filter that travel as one row.
 SEGMENT = 1 << 17
+#: Input partitions that one filter is filled from, at most.
+READ_BY_ONE = 256
 #: Digests that a task counts before it hands them on.
 COUNTED = 100_000
 #: Bytes of a line's digest.
@@ -88,7 +90,8 @@ def holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 def seen_twice(documents: DataFrame, bits: int, least_chars: int) -> DataFrame:
     """(segment, twice): the filter of hashes that two documents have, in segments; of a fixed size whatever the table.
 
-    As many tasks as run at once fill filters of their own. Those of a segment are merged one after the other.
+    As many tasks as run at once fill filters of their own, or more, so that none reads more than READ_BY_ONE partitions.
+    Those of a segment are merged one after the other.
     """
     size = bits // 8
     step = min(size, SEGMENT)
@@ -116,9 +119,10 @@ def seen_twice(documents: DataFrame, bits: int, least_chars: int) -> DataFrame:
                 once |= a
         yield pa.RecordBatch.from_pydict({"segment": pa.array([segment.as_py()], pa.int32()), "twice": [twice.tobytes()]})
 
-    few = max(2, documents.sparkSession.sparkContext.defaultParallelism)
+    own = documents.select("text")
+    few = max(2, documents.sparkSession.sparkContext.defaultParallelism, -(-own.rdd.getNumPartitions() // READ_BY_ONE))
     merge.__annotations__ = {"it": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    filled = documents.select("text").coalesce(few).mapInArrow(fill, "segment int, once binary, twice binary")
+    filled = own.coalesce(few).mapInArrow(fill, "segment int, once binary, twice binary")
     return filled.groupBy("segment").applyInArrow(merge, "segment int, twice binary")
 
 
