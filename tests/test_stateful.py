@@ -97,6 +97,21 @@ def test_a_configuration_runs_in_the_state_store(spark, tmp_path):
     assert {s for s, *_ in results(spark, f"file://{tmp_path}/out/sliding")} >= {0, 60, 120, 180, 240}
 
 
+def test_the_anchor_is_looked_up_once(spark, tmp_path):
+    config = parse_config(TEXT)
+    make = lambda **more: stateful.StatefulRunner(config, config.queries[0], f"file://{tmp_path}/out{len(more)}", f"file://{tmp_path}/state{len(more)}", shards=2, **more)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="give an anchor"):
+        make(lateness=win.LATENESS, gap=5).start(engine.message_stream(spark, f"file://{tmp_path}/none"))
+    add(tmp_path / "in", 0, ["no json", message(7, "a"), message(9, "b")])
+    add(tmp_path / "in", 1, [message(3, "before the anchor"), message(80, "a"), message(300, "a")])
+    make().start(engine.message_stream(spark, f"file://{tmp_path}/in", 1)).awaitTermination()
+    add(tmp_path / "in", 2, [message(600, "a")])
+    make().start(engine.message_stream(spark, f"file://{tmp_path}/in", 1)).awaitTermination()
+    assert [(s, json.loads(r)["n"]) for s, _, r in results(spark, f"file://{tmp_path}/out0")] == [(7, 2), (67, 1), (247, 1)]
+    assert spark.read.parquet(f"file://{tmp_path}/state0/anchor").first().anchor == BASE + 7
+
+
 def test_late_rows_are_divided_off(spark, tmp_path):
     config = parse_config(TEXT)
     runner = stateful.StatefulRunner(config, config.queries[0], f"file://{tmp_path}/out", f"file://{tmp_path}/state", anchor=BASE, shards=2)
@@ -106,8 +121,6 @@ def test_late_rows_are_divided_off(spark, tmp_path):
     assert [(s, json.loads(r)["n"]) for s, _, r in results(spark, runner.results)] == [(0, 1), (60, 1), (180, 2)]
     late = spark.read.parquet(f"{runner.results}/_late").collect()
     assert [(r.window_start - BASE, json.loads(r.fields)["id"], r.behind) for r in late] == [(0, "late", 200 - win.LATENESS - 60)]
-    with pytest.raises(ValueError, match="anchor"):
-        stateful.StatefulRunner(config, config.queries[0], "x", "y").start(None)
 
 
 class Broker:

@@ -248,20 +248,23 @@ class WindowRunner:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_config(spark: SparkSession, config: Config, messages: DataFrame, results: str, state: str, axis_order: str = "authority", runner: Callable[..., WindowRunner] = WindowRunner, **trigger) -> dict[str, StreamingQuery | Exception]:
+def run_config(spark: SparkSession, config: Config, messages: DataFrame, results: str, state: str, axis_order: str = "authority", runner: Callable[..., WindowRunner] | None = None, **trigger) -> dict[str, StreamingQuery | Exception]:
     """Every query of a configuration over one stream, each with its own state; failures stay with their query.
 
-    runner makes a query's runner: partial(StatefulRunner, anchor=...) keeps open windows in Spark's state store.
+    runner makes a query's runner: StatefulRunner, which keeps open windows in Spark's state store, unless another is given,
+    such as partial(StatefulRunner, anchor=...) or WindowRunner.
 
     Queries that the configuration rejected, or that cannot start, stand there with their error. The session gets the
     spatial functions, which know the polygons of the reference tables.
     """
+    from windrow.streaming.stateful import StatefulRunner
+
     rows = (r for s in config.sources.values() for t in s.reference_tables.values() for r in t.rows)
     register(spark, axis_order, [v for r in rows for v in r.values() if isinstance(v, str)])
     out: dict[str, StreamingQuery | Exception] = {name: ValueError(why) for name, why in config.rejected.items()}
     for q in config.queries:
         try:
-            out[q.name] = runner(config, q, f"{results}/{q.name}", f"{state}/{q.name}").start(messages, **trigger)
+            out[q.name] = (runner or StatefulRunner)(config, q, f"{results}/{q.name}", f"{state}/{q.name}").start(messages, **trigger)
         except Exception as e:
             out[q.name] = e
     return out

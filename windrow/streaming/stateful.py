@@ -2,8 +2,8 @@
 
 The rows of open windows are list state under their window; a timer per key fires once the watermark has passed the
 window's end, and hands the window's rows on, each once. Sessions are kept by entity in the same way. Results, their
-figures and alerts are then written as WindowRunner writes them. Where windows begin must be known beforehand: an anchor,
-or the epoch; WindowRunner learns its anchor from the stream instead.
+figures and alerts are then written as WindowRunner writes them. Windows begin at an anchor that is given or looked up in
+the first batch, or at the epoch.
 
 A row whose window has already fired is late: it goes to _late beside the results, with how far behind it was, and changes
 no result. What was accepted or dropped is observed in the query's progress: no second job counts it.
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
@@ -34,6 +35,8 @@ HANDED = f"window_start bigint, window_end bigint, entity string, {ROW}, behind
 SHARDS = 32
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How the search for an anchor ends.
+FOUND = "the anchor is found"
 STATE_COLUMNS = ["source", "fields", "us", "message"]
 
 
@@ -218,19 +221,51 @@ class Figures(StreamingQueryListener):
 class StatefulRunner(WindowRunner):
     """WindowRunner's results with the open windows in Spark's state store.
 
-    anchor: the second at which anchored and sliding windows begin; epoch_aligned windows and sessions need none. An
-    entity's open session is one key's state; other windows are kept in SHARDS parts.
+    anchor: the second at which anchored and sliding windows begin; epoch_aligned windows and sessions need none. Without
+    one it is the first batch's earliest accepted event, which is looked up once and kept below state: the source must be
+    one that reads what it has again. An entity's open session is one key's state; other windows are kept in SHARDS parts.
     """
 
     anchor: int | None = None
     shards: int = SHARDS
 
-    def begun(self) -> int:
+    def begun(self, messages: DataFrame) -> int:
         if self.query.window_type == "session" or self.mode == "epoch_aligned":
             return 0
-        if self.anchor is None:
-            raise ValueError(f"query {self.query.name}: anchored windows need an anchor")
-        return self.anchor
+        if self.anchor is not None:
+            return self.anchor
+        kept = self.kept_anchor(messages.sparkSession)
+        return self.learnt_anchor(messages) if kept is None else kept
+
+    def kept_anchor(self, spark: SparkSession) -> int | None:
+        try:
+            return spark.read.schema("anchor bigint").parquet(f"{self.state}/anchor").first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def learnt_anchor(self, messages: DataFrame) -> int:
+        """The earliest second of the first batch that has any. That batch is not finished here, so nothing of it is
+        acknowledged; the query itself reads it again."""
+
+        def look(batch: DataFrame, _: int) -> None:
+            found = win.anchor_of(batch)
+            if found is not None:
+                batch.sparkSession.createDataFrame([(found,)], "anchor bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/anchor")
+                raise StopIteration(FOUND)
+
+        own = accepted(parse_messages(messages, self.config.sources)).where(F.col("source").isin([s.name for s in self.sources]))
+        looking = own.writeStream.foreachBatch(look).option("checkpointLocation", f"{self.state}/looking").trigger(availableNow=True).start()
+        try:
+            looking.awaitTermination()
+        except StreamingQueryException as e:
+            if FOUND not in str(e):
+                raise
+        found = self.kept_anchor(messages.sparkSession)
+        if found is None:
+            raise ValueError(f"query {self.query.name}: no event yet that windows could begin at; give an anchor")
+        return found
 
     def kept(self, messages: DataFrame) -> DataFrame:
         """(keys..., ROW) of the query's own accepted messages, with the watermark on their time."""
@@ -241,7 +276,7 @@ class StatefulRunner(WindowRunner):
         if self.query.window_type == "session":
             entity = reduce(lambda e, s: F.when(F.col("source") == s.name, F.col("fields")[s.id_field]).otherwise(e), self.sources, F.lit(None).cast("string"))
             return marked.withColumn("entity", entity).where("entity IS NOT NULL AND entity <> ''").select(F.col("source").alias("of"), "entity", *row)
-        placed = self.windowed(marked, self.begun(), self.sources[0])
+        placed = self.windowed(marked, self.begun(messages), self.sources[0])
         return placed.select("window_start", "window_end", F.pmod(F.xxhash64("raw"), F.lit(self.shards)).alias("shard"), *row)
 
     def closed(self, messages: DataFrame) -> DataFrame:
@@ -271,7 +306,6 @@ class StatefulRunner(WindowRunner):
         if self.query.window_type == "session":
             for s in self.sources:
                 self.query.id_column(s)
-        self.begun()
         with state_provider(messages.sparkSession):
             writer = self.closed(messages).writeStream.foreachBatch(self.fired).option("checkpointLocation", f"{self.state}/checkpoint").queryName(self.query.name)
             return writer.trigger(**(trigger or {"availableNow": True})).start()
