@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -175,7 +177,16 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 512, chars: int = 4_000_00
             held += n
         yield batch.slice(start)
         del batch, sizes
-    pa.default_memory_pool().release_unused()  # a worker that is kept for other tasks keeps no freed arrays
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a worker that is kept for other tasks keeps neither freed arrays nor the allocator's pools."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:

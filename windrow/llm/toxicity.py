@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm.common import batches, held_out, materialised, strings, table, training_sample
+from windrow.llm.common import batches, held_out, materialised, release, strings, table, training_sample
 
 #: Bound on the labelled rows that lexicon and weights are fitted on.
 TRAINING_ROWS = 16_384
@@ -322,6 +322,7 @@ def counted(sample: DataFrame) -> DataFrame:
                 if len(hits[0]) + len(hits[1]) > REMEMBERED:
                     yield flush(hits)
         yield flush(hits)
+        release()
 
     found = sample.select("text", "y").mapInArrow(count, "entry string, other bigint, toxic bigint")
     return found.groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
