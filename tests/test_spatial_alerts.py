@@ -145,3 +145,44 @@ def test_a_hundred_thousand_zones(spark):
     # every ship is at the middle of one zone, and no zone's neighbour is near
     got = {r.ship: r.zone for r in found.collect()}
     assert got == {i: i * 7 % 400 + i * 11 % 250 * 400 for i in range(2000)} and found.where("distance_nm > 0").count() == 0
+
+
+def rectangles():
+    """Rectangles along the axes from any corner, either way round, of sizes from metres to degrees; and what only looks like one."""
+    import random
+
+    rng = random.Random(7)
+    out = []
+    for k in range(90):
+        x, y, w, h = rng.uniform(-3, 9), rng.uniform(-4, 6), 10 ** rng.uniform(-4, 0.5), 10 ** rng.uniform(-4, 0.5)
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)][:: rng.choice([1, -1])]
+        ring = ring[k % 4 :] + ring[: k % 4]
+        text = ", ".join(f"{a!r} {b!r}" for a, b in [*ring, ring[0]])
+        out.append((k, f"POLYGON(({text}))", rng.choice([0.1, 2.0, 20.0])))
+    odd = ["LINESTRING(0 0, 4 0, 4 4, 0 4, 0 0)", "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))", "POLYGON((0 0, 4 0, 0 0, 4 0, 0 0))", "POLYGON((0 0, 4 0, 4 4, 0 5, 0 0))", "POLYGON((0 0, 4 0, 4 0), (0 0, 4 0, 4 0))", "POLYGON((1 1, 1 1, 1 1, 1 1, 1 1))", "POLYGON((-9e5 -80, 9e5 -80, 9e5 80, -9e5 80, -9e5 -80))"]
+    return [*out, (90, *out[5][1:]), (91, out[5][1], None), (92, out[5][1], -1.0), (93, None, 2.0)], [(100 + i, wkt, 2.0) for i, wkt in enumerate(odd)]
+
+
+@pytest.mark.parametrize("axis_order, broadcast", [("xy", True), ("authority", False)])
+def test_rectangles_are_joined_once(spark, monkeypatch, axis_order, broadcast):
+    import random
+
+    rng = random.Random(8)
+    boxes, others = rectangles()
+    spots = [(rng.uniform(-4, 13), rng.uniform(-5, 10)) for _ in range(1200)] + [tuple(map(float, z[1][9:].split(",")[0].split())) for z in boxes[:90]]
+    ships = spark.createDataFrame([(k, *p) for k, p in enumerate(spots)] + [(1500, None, 5.0), (1501, 5.0, 90.0), (1502, float("nan"), 5.0), (1503, 5e9, 5.0)], "id int, lon double, lat double")
+    rows = lambda df: {(r.id, r.zone): r.distance_nm for r in df.collect()}
+    monkeypatch.setattr(cells, "BROADCAST_BYTES", 1 << 30 if broadcast else 0)
+    for made in (boxes, boxes + others):
+        zones = spark.createDataFrame(made, "zone int, geom_wkt string, threshold_nm double")
+        monkeypatch.setattr(spatial, "FEW_ZONES", 1000)
+        want = rows(spatial.near_zones(ships, zones, "lon", "lat", axis_order=axis_order))
+        found = cells.near_zones_by_cells(ships, zones, "lon", "lat", axis_order=axis_order)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = found.collect()
+        assert len(got) == len(want) > 200 and found.columns == ["id", "lon", "lat", "zone", "geom_wkt", "threshold_nm", "distance_nm"]
+        assert {(r.id, r.zone): r.distance_nm for r in got} == pytest.approx(want, rel=1e-9, abs=1e-9)
+        if made is boxes:  # candidates meet no second join, and their distance no loop
+            assert plan.count("BroadcastHashJoin [" if broadcast else "SortMergeJoin [") == 1 == plan.count("Join [")
+            assert "lambda" not in plan[plan.index("Join [") :].splitlines()[0] and "NestedLoop" not in plan
+            assert "RoundRobinPartitioning" in plan  # texts are read by many tasks, though few files hold them

@@ -29,12 +29,12 @@ def from_wkt(wkt: Column) -> Column:
     """POINT, LINESTRING and POLYGON (with holes) texts; anything else has kind null and no rings."""
     kind = F.nullif(F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)\s*\(", 1)), F.lit(""))
     rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    words = lambda r: F.transform(F.split(r, ","), lambda p: F.split(F.trim(p), r"\s+"))
 
-    def pair(p: Column) -> Column:
-        xy = F.split(F.trim(p), r"\s+")
+    def pair(xy: Column) -> Column:
         return F.struct(F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y"))
 
-    return F.struct(kind.alias("kind"), F.transform(rings, lambda r: F.transform(F.split(r, ","), pair)).alias("rings"))
+    return F.struct(kind.alias("kind"), F.transform(rings, lambda r: F.transform(words(r), pair)).alias("rings"))
 
 
 def mercator(geometry: Column, axis_order: str = "authority") -> Column:
